@@ -188,3 +188,15 @@ def exact_quantiles(values: DataFrame, key: str, value: str,
         F.max_by("_v", "_rank").alias("_z"))
     frac = h - F.floor(h)
     return exact.select(key, "prob", (F.col("_a") + (F.col("_z") - F.col("_a")) * frac).alias("q"))
+
+
+def global_index(df: DataFrame, day: str, ts: str, ties: Sequence[str],
+                 pos: str = "pos") -> DataFrame:
+    """Zero-based position over all days: rows of earlier days plus the position in the day."""
+    indexed = positional_index(df, [day], ts, ties, pos="_at", total="_size")
+    days = df.groupBy(day).agg(F.count(F.lit(1)).alias("_c"))
+    earlier = (Window.partitionBy(F.lit(0)).orderBy(day)
+               .rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(day, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_start"))
+    return (indexed.join(days, day).withColumn(pos, F.col("_start") + F.col("_at"))
+            .select(*df.columns, pos))

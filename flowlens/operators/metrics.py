@@ -26,10 +26,10 @@ def confusion_counts(scores: DataFrame, by: Sequence[str], tau: str = "tau") ->
 
 def confusion_matrix(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Four rows per group ``(actual, predicted, n, pct)``, empty cells included."""
-    cell = F.explode(F.array(
-        F.struct(F.lit(0).alias("actual"), F.lit(0).alias("predicted"), F.col("tn").alias("n")),
-        F.struct(F.lit(0), F.lit(1), F.col("fp")), F.struct(F.lit(1), F.lit(0), F.col("fn")),
-        F.struct(F.lit(1), F.lit(1), F.col("tp")))).alias("c")
+    cells = ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp"))
+    cell = F.explode(F.array(*[
+        F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), F.col(n).alias("n"))
+        for a, p, n in cells])).alias("c")
     negatives, positives = F.col("tn") + F.col("fp"), F.col("fn") + F.col("tp")
     out = counts.select(*by, negatives.alias("_neg"), positives.alias("_pos"), cell)
     row = F.when(F.col("c.actual") == 1, F.col("_pos")).otherwise(F.col("_neg"))

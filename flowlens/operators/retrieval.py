@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -168,8 +169,8 @@ class LatentModel:
 def fit_latent(docs: DataFrame, limit: int = fv.VOCABULARY_LIMIT) -> LatentModel:
     """Truncated SVD of the TF-IDF rows.
 
-    The Gramian (vocabulary by vocabulary, at most 500 x 500) is added up on the executors;
-    only it and the component matrix reach the driver.
+    The Gramian (vocabulary by vocabulary, at most 500 x 500) is added up on the executors in
+    one pass; its leading eigenvectors, taken on the driver, are the right singular vectors.
     """
     terms = stage(vocabulary(docs, limit), "vocabulary")
     weights = stage(tfidf(docs, terms), "tfidf")
@@ -185,7 +186,8 @@ def fit_latent(docs: DataFrame, limit: int = fv.VOCABULARY_LIMIT) -> LatentModel
                         lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     vectors = MLUtils.convertVectorColumnsFromML(
         sparse.select(array_to_vector(dense).alias("v")), "v")
-    v = RowMatrix(vectors).computeSVD(k, computeU=False).V.toArray()
+    gram = RowMatrix(vectors).computeGramianMatrix().toArray()
+    v = np.linalg.eigh(gram)[1][:, ::-1][:, :k]
     return LatentModel(tuple(names), tuple(float(idf[t]) for t in names),
                        tuple(tuple(float(x) for x in row) for row in v))
 

@@ -166,7 +166,11 @@ def calibrated(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def benchmark_metrics(scored: DataFrame) -> DataFrame:
-    """All metric columns per model at its calibrated threshold, on the test split."""
+    """All metric columns per model at its calibrated threshold, on the test split.
+
+    The scores are read by the sweep, the counts and the areas, so they are written once.
+    """
+    scored = stage(scored, "scores")
     best, test = calibrated(scored)
     counts = M.with_metrics(M.confusion_counts(test, ["model"]))
     areas = M.areas(scored.where("split = 'test'"), ["model"])
@@ -279,13 +283,13 @@ def with_blend(scored: DataFrame) -> DataFrame:
     return scored.unionByName(mixed.withColumn("model", F.lit(fv.ENSEMBLE_NAME)))
 
 
-WITH_BLEND = f"""both AS (
+WITH_BLEND = f"""blended AS (
   SELECT split, event_id, y, model, p FROM sc
   UNION ALL SELECT split, event_id, y, 'Hybrid_Ensemble', round({BLEND_SQL}, 8)
   FROM sc WHERE model <> 'BiLSTM' GROUP BY split, event_id, y)"""
 BLEND_CTES = (*SPLIT_EVENTS, score_sql("rows0"), WITH_BLEND, TAUS,
-              "val AS (SELECT * FROM both WHERE split = 'val')", sweep_sql("val"), BEST,
-              """test AS (SELECT b.*, best.tau, best.tau_rounded FROM both b JOIN best USING (model)
+              "val AS (SELECT * FROM blended WHERE split = 'val')", sweep_sql("val"), BEST,
+              """test AS (SELECT b.*, best.tau, best.tau_rounded FROM blended b JOIN best USING (model)
   WHERE b.split = 'test')""", counts_sql("counts", "test", "model", "tau"), points_sql("test"),
               f"areas AS (SELECT model, {ROC_AUC} AS roc_auc, {PR_AUC} AS pr_auc "
               "FROM points GROUP BY model)",
@@ -297,7 +301,7 @@ MATRIX = (*METRICS, "roc_auc", "pr_auc", "optimal_tau")
 
 
 def _blended_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark_metrics(with_blend(stage(scores(spark, sf_dir, noise=True), "scores")))
+    return benchmark_metrics(with_blend(scores(spark, sf_dir, noise=True)))
 
 
 @query("benchmark_matrix", with_ctes(*BLEND_CTES, body="SELECT model, "

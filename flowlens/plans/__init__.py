@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ("flow_queries", "score_queries", "text_queries")
+QUERY_MODULES = ("flow_queries", "score_queries", "text_queries", "incident_queries")
 
 
 def load_queries():

@@ -48,6 +48,20 @@ def params_map(params: DataFrame) -> Column:
     return params.agg(F.map_from_entries(F.collect_list(entry))).scalar()
 
 
+def apply_robust_windows(table: DataFrame, features: Sequence[str],
+                         params: dict[str, tuple[float, float]],
+                         clip: float = fv.CLIP_TRAINING) -> DataFrame:
+    """Scale the array columns of a window table in place."""
+    from flowlens.functions.numeric import clip as clip_to, finite_or_zero
+
+    def one(f: str) -> Column:
+        median, scale = params[f]
+        return F.transform(F.col(f"`{f}`"), lambda v: clip_to(
+            (finite_or_zero(v) - F.lit(median)) / F.lit(scale), clip))
+
+    return table.withColumns({f: one(f) for f in features})
+
+
 def scaled(feature: str, median: Column, scale: Column, clip: float) -> Column:
     """Sanitised, centred, scaled and clipped. Sanitise first: a clip would keep NaN at +clip."""
     from flowlens.functions.numeric import clip as clip_to, finite_or_zero

@@ -81,30 +81,51 @@ def statistic_columns(features: Sequence[str]) -> list[str]:
 def window_stats(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Last, mean, max, min and population standard deviation per feature and window."""
     if len(features) > WIDE_LIMIT:
-        return _window_stats_long(rows, features)
+        return window_table_stats(window_table(rows, features), features)
     build = {"last": lambda f: F.max_by(f, "step"), "mean": F.avg, "max": F.max,
              "min": F.min, "std": F.stddev_pop}
-    aggs = [build[s](f).alias(f"{f}__{s}") for s in STATISTICS for f in features]
+    aggs = [build[s](f"`{f}`").alias(f"{f}__{s}") for s in STATISTICS for f in features]
     return rows.groupBy(*WINDOW_KEY).agg(vote(), *aggs)
 
 
-def _window_stats_long(rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Same columns for wide inputs, from the window's own array (ten values per feature)."""
-    seqs = sequences(rows, features)
-    length = F.size("x")
+def window_table(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """One row per window with one ordered array column per feature.
 
-    def columns(i: int, f: str) -> list[Column]:
-        values = F.transform("x", lambda r: r[i])
+    The group is ``length`` rows by construction. What follows (statistics, scaling, scores)
+    works inside the row.
+    """
+    item = F.struct("step", *[F.col(f"`{f}`") for f in features])
+    out = rows.groupBy(*WINDOW_KEY).agg(F.sort_array(F.collect_list(item)).alias("_w"), vote())
+    return out.select(*WINDOW_KEY, "y", *[F.col(f"_w.`{f}`").alias(f) for f in features])
+
+
+def window_table_stats(table: DataFrame, features: Sequence[str],
+                       keep: Sequence[str] = (*WINDOW_KEY, "y")) -> DataFrame:
+    """The same statistics from a window table; no shuffle."""
+    def columns(f: str) -> dict[str, Column]:
+        values, length = F.col(f"`{f}`"), F.size(F.col(f"`{f}`"))
         mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / length
-        var = F.aggregate(values, F.lit(0.0),
-                          lambda a, v: a + (v - mean) * (v - mean)) / length
-        return [F.element_at(values, -1).alias(f"{f}__last"), mean.alias(f"{f}__mean"),
-                F.array_max(values).alias(f"{f}__max"), F.array_min(values).alias(f"{f}__min"),
-                F.sqrt(var).alias(f"{f}__std")]
-
-    made = [c for i, f in enumerate(features) for c in columns(i, f)]
-    return seqs.select(*WINDOW_KEY, "y", *made).select(
-        *WINDOW_KEY, "y", *statistic_columns(features))
+        var = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / length
+        return {"last": F.element_at(values, -1), "mean": mean, "max": F.array_max(values),
+                "min": F.array_min(values), "std": F.sqrt(var)}
+
+    made = {f: columns(f) for f in features}
+    return table.select(*keep, *[made[f][s].alias(f"{f}__{s}")
+                                 for s in STATISTICS for f in features])
+
+
+def window_table_rows(table: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Back to one row per step; no shuffle."""
+    zipped = F.arrays_zip(*[F.col(f"`{f}`").alias(f) for f in features])
+    return table.select(*WINDOW_KEY, "y", F.posexplode(zipped).alias("step", "_r")).select(
+        *WINDOW_KEY, "y", "step", *[F.col(f"_r.`{f}`").alias(f) for f in features])
+
+
+def window_table_steps(table: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Window table with ``x`` as an array of steps, each an array of features."""
+    zipped = F.arrays_zip(*[F.col(f"`{f}`").alias(f) for f in features])
+    return table.select(*WINDOW_KEY, "y", F.transform(
+        zipped, lambda r: F.array(*[r[f] for f in features])).alias("x"))
 
 
 def moving_kernel(feature: str, weights: Sequence[float]) -> Column:

@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ("flow_queries", "score_queries", "text_queries", "incident_queries")
+QUERY_MODULES = ("flow_queries", "score_queries", "text_queries", "incident_queries",
+                 "model_queries")
 
 
 def load_queries():

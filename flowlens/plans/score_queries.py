@@ -8,6 +8,7 @@ from flowlens import fixed_values as fv
 from flowlens.operators import ensemble as E, metrics as M, reports, sampling, thresholds as T
 from flowlens.operators.ordering import positional_index
 from flowlens.operators.windows import WINDOW_KEY, sequence_vote, window_rows
+from flowlens.plans.benchmark import (MATRIX, benchmark_metrics, side_metrics, with_blend)
 from flowlens.plans.flow_queries import (EVENT_FLOWS, EVENT_POSITIONS, MODEL, PARAMS, SCALED,
                                          SCALES, WINDOWED, model_sql, scored_flows, split_sql)
 from flowlens.plans.registry import query, with_ctes
@@ -91,7 +92,6 @@ METRIC_SQL = {
     "fpr": "CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END",
     "fnr": "CASE WHEN fn + tp > 0 THEN fn / (fn + tp) ELSE 0.0 END",
 }
-METRICS = tuple(METRIC_SQL)
 
 
 def metrics_sql(digits: int = 4) -> str:
@@ -154,31 +154,6 @@ def optimal_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("tau", F.round("tau", 9))
 
 
-def calibrated(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Thresholds from the val split, and the test scores with their model's threshold.
-
-    One threshold per model: the side is a handful of rows and is broadcast.
-    """
-    best = T.optimal_tau(T.tau_sweep(scored.where("split = 'val'"), ["model"]), ["model"])
-    test = scored.where("split = 'test'").join(
-        F.broadcast(best.select("model", "tau", "tau_rounded")), "model")
-    return best, test
-
-
-def benchmark_metrics(scored: DataFrame) -> DataFrame:
-    """All metric columns per model at its calibrated threshold, on the test split.
-
-    The scores are read by the sweep, the counts and the areas, so they are written once.
-    """
-    scored = stage(scored, "scores")
-    best, test = calibrated(scored)
-    counts = M.with_metrics(M.confusion_counts(test, ["model"]))
-    areas = M.areas(scored.where("split = 'test'"), ["model"])
-    return counts.join(areas, "model").join(best.select("model", "tau_rounded"), "model").select(
-        "model", "tp", "fp", "tn", "fn", *METRICS, F.round("roc_auc", 4).alias("roc_auc"),
-        F.round("pr_auc", 4).alias("pr_auc"), F.col("tau_rounded").alias("optimal_tau"))
-
-
 CALIBRATED_SQL = (*SPLIT_EVENTS, score_sql("rows0"), TAUS,
                   "val AS (SELECT * FROM sc WHERE split = 'val')", sweep_sql("val"), BEST,
                   """test AS (SELECT sc.*, best.tau, best.tau_rounded FROM sc JOIN best USING (model)
@@ -277,12 +252,6 @@ def ensemble_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("p", F.round("p", 8))
 
 
-def with_blend(scored: DataFrame) -> DataFrame:
-    """Member scores and the blend as one more model."""
-    mixed = E.blend(scored, ["split", "event_id", "y"]).withColumn("p", F.round("p", 8))
-    return scored.unionByName(mixed.withColumn("model", F.lit(fv.ENSEMBLE_NAME)))
-
-
 WITH_BLEND = f"""blended AS (
   SELECT split, event_id, y, model, p FROM sc
   UNION ALL SELECT split, event_id, y, 'Hybrid_Ensemble', round({BLEND_SQL}, 8)
@@ -297,11 +266,11 @@ BLEND_CTES = (*SPLIT_EVENTS, score_sql("rows0"), WITH_BLEND, TAUS,
   SELECT counts.model, tp, fp, tn, fn, {metrics_sql()}, round(roc_auc, 4) AS roc_auc,
          round(pr_auc, 4) AS pr_auc, tau_rounded AS optimal_tau
   FROM counts JOIN areas USING (model) JOIN best USING (model))""")
-MATRIX = (*METRICS, "roc_auc", "pr_auc", "optimal_tau")
 
 
 def _blended_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark_metrics(with_blend(scores(spark, sf_dir, noise=True)))
+    return benchmark_metrics(with_blend(scores(spark, sf_dir, noise=True),
+                                        ["split", "event_id", "y"], digits=8))
 
 
 @query("benchmark_matrix", with_ctes(*BLEND_CTES, body="SELECT model, "
@@ -377,14 +346,7 @@ def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.where("split = 'test'").withColumn("side", F.lit("test")))
     best = T.optimal_tau(T.tau_sweep(score_rows(rows.where("split = 'val'"), True), ["model"]),
                          ["model"])
-    scored = score_rows(both, True)
-    tagged = scored.join(F.broadcast(best.select("model", "tau_rounded")), "model")
-    counts = M.confusion_counts(tagged, ["model", "side"], "tau_rounded")
-    values = M.metric_columns()
-    counts = counts.select("model", "side", values["precision"].alias("prec"),
-                           values["recall"].alias("rec"), values["f1"].alias("f1"))
-    roc = M.areas(scored, ["model", "side"]).select("model", "side", F.col("roc_auc").alias("roc"))
-    return counts.join(roc, ["model", "side"])
+    return side_metrics(score_rows(both, True), best)
 
 
 GAP_CTES = (

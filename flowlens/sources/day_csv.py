@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -23,7 +24,7 @@ def discover_csv_files(spark: SparkSession, folder: str) -> list[str]:
     def listing(recursive: bool) -> list[str]:
         found = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
                  .option("recursiveFileLookup", str(recursive).lower()).load(folder))
-        return sorted(r["path"] for r in found.select("path").collect())
+        return sorted(unquote(path) for path in found.inputFiles())
     return listing(False) or listing(True)
 
 

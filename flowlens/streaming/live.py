@@ -37,8 +37,10 @@ def with_event_time(stream: DataFrame, ts: str = "ts", delay: str = WATERMARK) -
 
 def request_windows(requests: DataFrame, features: Sequence[str]) -> DataFrame:
     """Request matrices as one array column per feature."""
-    made = {f: F.transform("features", lambda step, i=i: step[i]) for i, f in enumerate(features)}
-    return requests.withColumns(made)
+    def column_of(i: int):
+        return F.transform("features", lambda step: step[i])
+
+    return requests.withColumns({f: column_of(i) for i, f in enumerate(features)})
 
 
 def score_requests(raw: DataFrame, features: Sequence[str], length: int,

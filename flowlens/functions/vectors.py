@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once; inside a lambda it would be per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
                        F.lit(0.0), lambda s, v: s + v)
@@ -17,15 +22,16 @@ def norm(a: Column) -> Column:
 
 def l2_normalise(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    return let(norm(a), lambda n: F.transform(
+        a, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n)))
 
 
 def min_max(a: Column) -> Column:
     """Scale an array to [0, 1]; a constant array becomes 0.5 throughout."""
-    lo, hi = F.array_min(a), F.array_max(a)
-    return F.transform(a, lambda x: F.when(hi - lo < 1e-10, F.lit(0.5))
-                       .otherwise((x - lo) / (hi - lo)))
+    ends = F.struct(F.array_min(a).alias("lo"), F.array_max(a).alias("hi"))
+    return let(ends, lambda e: F.transform(
+        a, lambda x: F.when(e["hi"] - e["lo"] < 1e-10, F.lit(0.5))
+        .otherwise((x - e["lo"]) / (e["hi"] - e["lo"]))))
 
 
 def first_max(a: Column) -> Column:

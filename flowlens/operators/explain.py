@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowlens import fixed_values as fv
 from flowlens.functions.numeric import sigmoid
 from flowlens.functions.text import explain_query
+from flowlens.functions.vectors import let
 from flowlens.operators.retrieval import HybridIndex, hybrid_retrieve
 from flowlens.operators.windows import STATISTICS, WINDOW_KEY, statistic_columns, vote
+from flowlens.session import broadcast_if_small, stage
 
 
 @dataclass(frozen=True)
@@ -55,11 +57,13 @@ def score_windows(rows: DataFrame, model: WindowModel, carry: Sequence[Column] =
 
 def top_importances(saliency: Column, n: int = 5) -> Column:
     """Largest ``n`` features, scaled to sum 1 unless all are 0."""
-    top = F.slice(F.sort_array(saliency, asc=False), 1, n)
-    total = F.aggregate(top, F.lit(0.0), lambda a, s: a + s["importance"])
-    return F.transform(top, lambda s: F.struct(
-        s["name"].alias("name"),
-        F.when(total > 0, s["importance"] / total).otherwise(s["importance"]).alias("importance")))
+    def share(top: Column) -> Column:
+        total = F.aggregate(top, F.lit(0.0), lambda a, s: a + s["importance"])
+        return let(total, lambda t: F.transform(top, lambda s: F.struct(
+            s["name"].alias("name"),
+            F.when(t > 0, s["importance"] / t).otherwise(s["importance"]).alias("importance"))))
+
+    return let(F.slice(F.sort_array(saliency, asc=False), 1, n), share)
 
 
 def name_importances(importances: DataFrame, key: Sequence[str], names: DataFrame) -> DataFrame:
@@ -113,4 +117,5 @@ def explain_detections(scored: DataFrame, index: HybridIndex, catalogue: DataFra
     texts = hits.select("query_id").distinct().withColumn("text", F.col("query_id"))
     found = hybrid_retrieve(texts, index).withColumnRenamed("doc_id", "idx")
     found = found.join(F.broadcast(catalogue.select("idx", "threat_id")), "idx").drop("idx")
+    found = broadcast_if_small(stage(found, "matched-texts"))
     return hits.join(found, "query_id").withColumnRenamed("query_id", "query")

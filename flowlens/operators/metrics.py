@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.numeric import ratio
-from flowlens.operators.ordering import running_totals
-
-SCORE_BUCKETS = 4096
+from flowlens.operators.ordering import running_totals, score_bucket
 
 
 def _count(condition: Column) -> Column:
@@ -63,12 +61,10 @@ def score_points(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     Scores are first collapsed to distinct values (partial aggregate), then summed from
     the top inside score buckets, so one model's scores never meet in one task.
     """
-    p = F.col("p")
     points = scores.groupBy(*by, "p").agg(
         F.sum(F.col("y").cast("long")).alias("pos"),
         F.sum(1 - F.col("y").cast("long")).alias("neg"))
-    points = points.withColumn(
-        "_bucket", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)) * SCORE_BUCKETS))
+    points = points.withColumn("_bucket", score_bucket(F.col("p")))
     return running_totals(points, by, ["_bucket"], [F.desc("p")], {"tp": "pos", "fp": "neg"},
                           {"positives": "pos", "negatives": "neg"}, descending=True)
 

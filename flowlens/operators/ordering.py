@@ -13,9 +13,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-TIE_BUCKETS = 32
+from flowlens.session import broadcast_if_small, stage
+
+ROWS_PER_TIE_BUCKET = 1_000_000
+MIN_TIE_BUCKETS, MAX_TIE_BUCKETS = 32, 4096
 HASH_PREFIX = 4                     # hex digits: 65,536 hash buckets
 LOG_BUCKETS_PER_OCTAVE = 64
+SCORE_BUCKETS_PER_OCTAVE = 1024
 FINE_BUCKETS = 4096
 
 
@@ -59,10 +63,17 @@ def time_slot(ts: str) -> Column:
     return days * 1440 + F.hour(t) * 60 + F.minute(t)
 
 
-def even_bucket(df: DataFrame, column: str, buckets: int = TIE_BUCKETS) -> Column:
-    """Order-preserving bucket of a numeric column between its smallest and largest value."""
+def even_bucket(df: DataFrame, column: str) -> Column:
+    """Order-preserving bucket of a numeric column between its smallest and largest value.
+
+    There is one bucket per million rows of the table, within bounds. If a third of all rows
+    share one minute, that minute is still cut into this many parts.
+    """
     ends = df.agg(F.struct(F.min(column).cast("double").alias("lo"),
-                           F.max(column).cast("double").alias("hi"))).scalar()
+                           F.max(column).cast("double").alias("hi"),
+                           (F.count(F.lit(1)) / ROWS_PER_TIE_BUCKET).alias("n"))).scalar()
+    buckets = F.floor(F.greatest(F.lit(float(MIN_TIE_BUCKETS)),
+                                 F.least(F.lit(float(MAX_TIE_BUCKETS)), ends["n"])))
     width = ends["hi"] - ends["lo"] + 1.0
     return F.floor((F.col(column).cast("double") - ends["lo"]) / width * buckets)
 
@@ -130,13 +141,23 @@ def take_by_hash(df: DataFrame, by: Sequence[str], keys: Sequence[str], quota: D
             .select(*df.columns))
 
 
-def log_bucket(value: str) -> Column:
+def log_bucket(v: Column, per_octave: int = LOG_BUCKETS_PER_OCTAVE) -> Column:
     """Order-preserving bucket of a finite double with constant relative width."""
-    v = F.col(value)
-    size = F.floor((F.log2(F.abs(v)) + 1080.0) * LOG_BUCKETS_PER_OCTAVE) + 1
+    size = F.floor((F.log2(F.abs(v)) + 1080.0) * per_octave) + 1
     return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
 
 
+def score_bucket(p: Column) -> Column:
+    """Order-preserving bucket of a score, fine near 0 and near 1 where scores crowd.
+
+    Above one half the distance to 1 is bucketed; that difference is exact in doubles.
+    """
+    per = SCORE_BUCKETS_PER_OCTAVE
+    top = 2 * 1080 * per
+    return F.when(p <= 0.5, log_bucket(p, per)).otherwise(
+        F.lit(top).cast("long") - log_bucket(1.0 - p, per))
+
+
 def exact_quantiles(values: DataFrame, key: str, value: str,
                     probs: Sequence[float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key: ``(key, prob, q)``.
@@ -144,11 +165,12 @@ def exact_quantiles(values: DataFrame, key: str, value: str,
     Three pruned passes narrow each wanted rank to a log bucket, then to one of 4,096
     equal parts of it, then to the value. Every pass counts with a partial aggregate, so
     neither a hot value nor a wide column piles up in one task. The targets carried
-    between passes are at most ``2 * len(probs)`` rows per key.
+    between passes, at most ``2 * len(probs)`` rows per key, are written out so that no
+    pass is repeated. ``values`` should be a stored or staged table.
     """
     v = (values.select(key, F.col(value).cast("double").alias("_v"))
          .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-         .withColumn("_b", log_bucket("_v")))
+         .withColumn("_b", log_bucket(F.col("_v"))))
     per_key = Window.partitionBy(key)
     coarse = v.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"),
                                       F.max("_v").alias("_hi"))
@@ -163,10 +185,12 @@ def exact_quantiles(values: DataFrame, key: str, value: str,
                .select(key, "prob", "_b", "_lo", "_hi", "_n",
                        (F.col("_rank") - F.col("_before")).alias("_r"),
                        "_rank"))
+    targets = stage(targets, "quantile-buckets")
+    few = broadcast_if_small
     part = F.when(F.col("_hi") > F.col("_lo"),
                   F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
                           * (FINE_BUCKETS - 1))).otherwise(F.lit(0).cast("long"))
-    zoom = v.join(F.broadcast(targets.select(key, "_b", "_lo", "_hi").distinct()), [key, "_b"])
+    zoom = v.join(few(targets.select(key, "_b", "_lo", "_hi").distinct()), [key, "_b"])
     zoom = zoom.select(key, "_b", part.alias("_s"), "_v")
     in_bucket = Window.partitionBy(key, "_b").orderBy("_s")
     fine = zoom.groupBy(key, "_b", "_s").agg(F.count(F.lit(1)).alias("_c"))
@@ -176,8 +200,9 @@ def exact_quantiles(values: DataFrame, key: str, value: str,
                       & (F.col("_r") < F.col("_before") + F.col("_c")))
                .select(key, "prob", "_b", "_s", "_n", "_rank",
                        (F.col("_r") - F.col("_before")).alias("_r")))
+    targets = stage(targets, "quantile-parts")
     in_part = Window.partitionBy(key, "_b", "_s").orderBy("_v")
-    leaf = (zoom.join(F.broadcast(targets.select(key, "_b", "_s").distinct()), [key, "_b", "_s"])
+    leaf = (zoom.join(few(targets.select(key, "_b", "_s").distinct()), [key, "_b", "_s"])
             .groupBy(key, "_b", "_s", "_v").agg(F.count(F.lit(1)).alias("_c")))
     leaf = leaf.select("*", (F.sum("_c").over(in_part) - F.col("_c")).alias("_before"))
     found = (targets.join(leaf, [key, "_b", "_s"])

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -108,8 +109,12 @@ def best_match(matches: DataFrame, score: str, digits: int = 6) -> DataFrame:
 
 
 def min_max_by(rows: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Min-max per group through a two-value aggregate; a constant group becomes 0.5."""
-    ends = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    """Min-max per group through a two-value aggregate; a constant group becomes 0.5.
+
+    ``rows`` should be staged: it is read for the ends, for their number and for the result.
+    """
+    ends = broadcast_if_small(
+        rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))
     width = F.col("_hi") - F.col("_lo")
     return rows.join(ends, list(by)).withColumn(
         out, F.when(width < 1e-10, F.lit(0.5)).otherwise((F.col(value) - F.col("_lo")) / width)
@@ -119,7 +124,9 @@ def min_max_by(rows: DataFrame, by: Sequence[str], value: str, out: str) -> Data
 # ---------------------------------------------------------------- TF-IDF and LSA
 
 def grams(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(with_bigrams(word_tokens(F.col("text")))).alias("term"))
+    """One row per word and word pair. Words are their own step, so the text is split once."""
+    words = docs.select("doc_id", word_tokens(F.col("text")).alias("words"))
+    return words.select("doc_id", F.explode(with_bigrams(F.col("words"))).alias("term"))
 
 
 def vocabulary(docs: DataFrame, limit: int = fv.VOCABULARY_LIMIT) -> DataFrame:
@@ -166,6 +173,17 @@ class LatentModel:
         return spark.createDataFrame(rows, "term string, idf double, v array<double>")
 
 
+def _scatter(width: int):
+    """Positions and weights (at most ``width`` per document) to a dense array, by Arrow batch."""
+    @F.pandas_udf("array<double>")
+    def dense(at: pd.Series, weight: pd.Series) -> pd.Series:
+        out = np.zeros((len(at), width))
+        for row, (i, w) in enumerate(zip(at, weight)):
+            out[row, i] = w
+        return pd.Series(list(out))
+    return dense
+
+
 def fit_latent(docs: DataFrame, limit: int = fv.VOCABULARY_LIMIT) -> LatentModel:
     """Truncated SVD of the TF-IDF rows.
 
@@ -181,11 +199,10 @@ def fit_latent(docs: DataFrame, limit: int = fv.VOCABULARY_LIMIT) -> LatentModel
     k = max(min(fv.LSA_COMPONENTS, n_docs - 1, len(names) - 1), 1)
     index = docs.sparkSession.createDataFrame(list(enumerate(names)), "i int, term string")
     sparse = (weights.join(F.broadcast(index), "term").groupBy("doc_id")
-              .agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)),
-                        lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+              .agg(F.collect_list(F.struct("i", "weight")).alias("m"))
+              .select("m.i", "m.weight"))
     vectors = MLUtils.convertVectorColumnsFromML(
-        sparse.select(array_to_vector(dense).alias("v")), "v")
+        sparse.select(array_to_vector(_scatter(len(names))("i", "weight")).alias("v")), "v")
     gram = RowMatrix(vectors).computeGramianMatrix().toArray()
     v = np.linalg.eigh(gram)[1][:, ::-1][:, :k]
     return LatentModel(tuple(names), tuple(float(idf[t]) for t in names),
@@ -195,8 +212,9 @@ def fit_latent(docs: DataFrame, limit: int = fv.VOCABULARY_LIMIT) -> LatentModel
 def latent_embedding(texts: DataFrame, model: LatentModel) -> DataFrame:
     """Unit vectors ``(doc_id, v)``; a text without a known term gets the zero vector."""
     table = model.frame(texts.sparkSession)
-    counts = (grams(texts).join(F.broadcast(table), "term")
-              .groupBy("doc_id", "term", "idf", "v").agg(F.count(F.lit(1)).alias("tf")))
+    counts = (grams(texts).join(F.broadcast(table.select("term")), "term", "left_semi")
+              .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+              .join(F.broadcast(table), "term"))
     w = (1.0 + F.ln("tf")) * F.col("idf")
     sums = counts.groupBy("doc_id").agg(*[
         F.sum(w * F.col("v")[i]).alias(f"c{i}") for i in range(model.rank)])
@@ -276,9 +294,10 @@ def hybrid_retrieve(queries: DataFrame, index: HybridIndex,
     renamed = queries.select(F.col("query_id").alias("doc_id"), "text")
     vectors = latent_embedding(renamed, index.latent).withColumnRenamed("doc_id", "query_id")
     cosines = F.array(*[dot(F.col("v"), F.array(*map(F.lit, d))) for d in index.doc_vectors])
-    both = raw.join(vectors, "query_id").select(
+    both = raw.join(vectors, "query_id").select("query_id", "bm25", cosines.alias("cosine"))
+    both = both.select(
         "query_id", (F.array_max("bm25") > 0).alias("matched"),
-        min_max(F.col("bm25")).alias("b"), min_max(cosines).alias("l"))
+        min_max(F.col("bm25")).alias("b"), min_max(F.col("cosine")).alias("l"))
     both = both.withColumn("h", F.zip_with("l", "b", lambda l, b: l * F.lit(lsa_weight)
                                            + b * F.lit(bm25_weight_)))
     best = first_max(F.col("h"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens import fixed_values as fv
+from flowlens.functions.vectors import let
 from flowlens.operators.ordering import positional_index
 
 WINDOW_KEY = ("day", "split", "seq")
@@ -105,7 +106,8 @@ def window_table_stats(table: DataFrame, features: Sequence[str],
     def columns(f: str) -> dict[str, Column]:
         values, length = F.col(f"`{f}`"), F.size(F.col(f"`{f}`"))
         mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / length
-        var = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / length
+        var = let(mean, lambda m: F.aggregate(
+            values, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))) / length
         return {"last": F.element_at(values, -1), "mean": mean, "max": F.array_max(values),
                 "min": F.array_min(values), "std": F.sqrt(var)}
 

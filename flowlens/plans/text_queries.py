@@ -12,7 +12,7 @@ from flowlens.operators.windows import WINDOW_KEY
 from flowlens.plans.flow_queries import (MODEL, PARAMS, SCALED, SCALES, WINDOWED, model_sql,
                                          scored_flows)
 from flowlens.plans.registry import query, with_ctes
-from flowlens.session import stage
+from flowlens.session import spread, stage
 from flowlens.sources.catalogue import catalogue_text, threat_catalogue
 from flowlens.sources.tables import FLOW_FEATURES, table
 
@@ -35,7 +35,7 @@ def grams_sql(words: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,8 @@ SELECT doc_id, len(g) AS grams, md5(array_to_string(g, chr(1))) AS digest
 FROM (SELECT doc_id, {grams_sql('w')} AS g
       FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents))""")
 def ngrams12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = documents(spark, sf_dir).select("doc_id", with_bigrams(word_tokens(F.col("text"))).alias("g"))
+    words = documents(spark, sf_dir).select("doc_id", word_tokens(F.col("text")).alias("w"))
+    g = words.select("doc_id", with_bigrams(F.col("w")).alias("g"))
     return g.select("doc_id", F.size("g").cast("long").alias("grams"),
                     F.md5(F.array_join("g", "\x01")).alias("digest"))
 

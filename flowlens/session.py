@@ -68,3 +68,13 @@ def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast hint behind a size check; beyond it the planner picks a shuffle join."""
     return F.broadcast(df) if is_small(df, limit) else df
+
+
+def spread(df: DataFrame, few: int = 64) -> DataFrame:
+    """Use all cores on an input of few splits; an input of many splits is left as it is.
+
+    A file with one row group is one task, however dear its rows are. Beyond ``few`` splits
+    the input is large enough to fill the cluster and moving it would cost more than it gains.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, few) else df

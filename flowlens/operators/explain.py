@@ -17,6 +17,9 @@ from flowlens.operators.windows import STATISTICS, WINDOW_KEY, statistic_columns
 from flowlens.session import broadcast_if_small, stage
 
 
+SALIENCY_DIGITS = 12
+
+
 @dataclass(frozen=True)
 class WindowModel:
     """Logistic model of a window: bias plus the mean over steps of ``w x + q x**2``."""
@@ -40,7 +43,8 @@ def score_windows(rows: DataFrame, model: WindowModel, carry: Sequence[Column] =
     """One row per window: label, probability and the saliency of every feature.
 
     Saliency is the mean over steps of ``|dp/dx|``; the derivative is closed-form, so score
-    and saliency come out of the same aggregate.
+    and saliency come out of the same aggregate. Saliency is rounded, so that features tied
+    but for the order of summation rank by position.
     """
     steps = F.count(F.lit(1))
     out = rows.groupBy(*WINDOW_KEY).agg(
@@ -48,7 +52,8 @@ def score_windows(rows: DataFrame, model: WindowModel, carry: Sequence[Column] =
         *[(F.avg(model.slope(f)) / steps).alias(f"_s_{f}") for f in model.linear], *carry)
     p = sigmoid(F.lit(model.bias) + F.col("_z"))
     listed = F.array(*[
-        F.struct((F.col("p") * (1.0 - F.col("p")) * F.col(f"_s_{f}")).alias("importance"),
+        F.struct(F.round(F.col("p") * (1.0 - F.col("p")) * F.col(f"_s_{f}"), SALIENCY_DIGITS)
+                 .alias("importance"),
                  F.lit(i).alias("idx"), F.lit(f).alias("name"))
         for i, f in enumerate(model.linear)])
     out = out.withColumn("p", p).withColumn("saliency", listed)

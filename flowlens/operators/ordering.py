@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.session import broadcast_if_small, stage
 
+ORDER_BUCKETS = ("_slot", "_sub", "_seg", "_off", "_tie")
+HOT_SHARE = 4096.0                  # a minute or time stamp with more than 1/4096 of the rows is cut
 ROWS_PER_TIE_BUCKET = 1_000_000
 MIN_TIE_BUCKETS, MAX_TIE_BUCKETS = 32, 4096
 HASH_PREFIX = 4                     # hex digits: 65,536 hash buckets
@@ -63,34 +65,50 @@ def time_slot(ts: str) -> Column:
     return days * 1440 + F.hour(t) * 60 + F.minute(t)
 
 
-def even_bucket(df: DataFrame, column: str) -> Column:
-    """Order-preserving bucket of a numeric column between its smallest and largest value.
+def order_buckets(df: DataFrame, ts: str, tie: str) -> DataFrame:
+    """Adds ``ORDER_BUCKETS``: integers that are monotone in ``(ts, tie)``.
 
-    There is one bucket per million rows of the table, within bounds. If a third of all rows
-    share one minute, that minute is still cut into this many parts.
+    The first is the minute. Only where a minute holds more than 1/4096 of all rows is it cut
+    further, into hundredths of a second, and only where one time stamp alone holds that many
+    are its rows cut by the tie-break. There are fewer than 4,096 such minutes and time stamps
+    by definition, which bounds the broadcast table of them.
     """
-    ends = df.agg(F.struct(F.min(column).cast("double").alias("lo"),
-                           F.max(column).cast("double").alias("hi"),
-                           (F.count(F.lit(1)) / ROWS_PER_TIE_BUCKET).alias("n"))).scalar()
-    buckets = F.floor(F.greatest(F.lit(float(MIN_TIE_BUCKETS)),
-                                 F.least(F.lit(float(MAX_TIE_BUCKETS)), ends["n"])))
-    width = ends["hi"] - ends["lo"] + 1.0
-    return F.floor((F.col(column).cast("double") - ends["lo"]) / width * buckets)
+    keyed = df.withColumn("_slot", time_slot(ts))
+    ends = df.agg(F.struct(F.min(tie).cast("double").alias("lo"),
+                           F.max(tie).cast("double").alias("hi"),
+                           F.count(F.lit(1)).alias("n"))).scalar()
+    too_many = F.col("_c") > ends["n"] / HOT_SHARE
+    rows = F.count(F.lit(1)).alias("_c")
+    minutes = keyed.groupBy("_slot").agg(rows).where(too_many).select("_slot")
+    stamps = (keyed.select("_slot", ts).join(F.broadcast(minutes), "_slot", "left_semi")
+              .groupBy("_slot", ts).agg(rows).where(too_many)
+              .groupBy("_slot").agg(F.collect_list(ts).alias("_stamps")))
+    hot = minutes.join(stamps, "_slot", "left").withColumn("_hot", F.lit(True))
+    out = keyed.join(F.broadcast(hot), "_slot", "left")
+    t, known = F.col(ts), F.col("_stamps").isNotNull()
+    hundredth = F.floor(F.extract(F.lit("SECOND"), t) * 100).cast("int")
+    at = F.coalesce(F.array_contains("_stamps", t), F.lit(False))
+    buckets = F.floor(F.greatest(F.lit(float(MIN_TIE_BUCKETS)), F.least(
+        F.lit(float(MAX_TIE_BUCKETS)), ends["n"] / ROWS_PER_TIE_BUCKET)))
+    share = (F.col(tie).cast("double") - ends["lo"]) / (ends["hi"] - ends["lo"] + 1.0)
+    return out.withColumns({
+        "_sub": F.when(F.col("_hot"), hundredth).otherwise(0),
+        "_seg": F.when(known, F.size(F.filter("_stamps", lambda h: h <= t))).otherwise(0),
+        "_off": F.when(at, 0).otherwise(1),
+        "_tie": F.when(at, F.floor(share * buckets)).otherwise(0)}).drop("_hot", "_stamps")
 
 
 def positional_index(df: DataFrame, by: Sequence[str], ts: str, ties: Sequence[str],
                      pos: str = "pos", total: str = "n") -> DataFrame:
     """Zero-based position of every row in its group by time, and the group size.
 
-    ``ties`` make the order total; the first one must be numeric and also splits minutes
-    that hold many rows.
+    ``ties`` make the order total; the first one must be numeric.
     """
-    keyed = df.withColumns({"_slot": time_slot(ts), "_tie": even_bucket(df, ties[0]),
-                            "_one": F.lit(1).cast("long")})
-    out = running_totals(keyed, by, ["_slot", "_tie"], [F.col(ts), *map(F.col, ties)],
+    keyed = order_buckets(df, ts, ties[0]).withColumn("_one", F.lit(1).cast("long"))
+    out = running_totals(keyed, by, ORDER_BUCKETS, [F.col(ts), *map(F.col, ties)],
                          {"_upto": "_one"}, {total: "_one"})
     return (out.withColumn(pos, F.col("_upto") - 1)
-            .drop("_slot", "_tie", "_one", "_upto"))
+            .select(*df.columns, pos, total))
 
 
 def hash_key(keys: Sequence[str], seed: int) -> Column:

@@ -237,8 +237,8 @@ def hybrid_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def saliency_sql(n: int) -> str:
     union = " UNION ALL ".join(
-        f"SELECT day, split, seq, y, p, l_suppkey, {i} AS idx, '{f}' AS name, p * (1.0 - p) * s_{f} "
-        f"AS importance FROM scored" for i, f in enumerate(FLOW_FEATURES))
+        f"SELECT day, split, seq, y, p, l_suppkey, {i} AS idx, '{f}' AS name, "
+        f"round(p * (1.0 - p) * s_{f}, {explain.SALIENCY_DIGITS}) AS importance FROM scored" for i, f in enumerate(FLOW_FEATURES))
     return f"""sal AS ({union}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY day, split, seq
                                          ORDER BY importance DESC, idx DESC) AS rn FROM sal),

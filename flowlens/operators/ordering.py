@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.session import broadcast_if_small, stage
 
-ORDER_BUCKETS = ("_slot", "_sub", "_seg", "_off", "_tie")
+ORDER_BUCKETS = ("_slot", "_sub", "_us", "_tie")
+MINUTE, HUNDREDTH = 60_000_000, 10_000      # microseconds
+MIN_HOT_ROWS = 100_000              # a minute of fewer rows is never worth cutting
 HOT_SHARE = 4096.0                  # a minute or time stamp with more than 1/4096 of the rows is cut
 ROWS_PER_TIE_BUCKET = 1_000_000
 MIN_TIE_BUCKETS, MAX_TIE_BUCKETS = 32, 4096
@@ -58,11 +60,21 @@ def running_totals(df: DataFrame, by: Sequence[str], bucket: Sequence[str],
         *totals.keys())
 
 
-def time_slot(ts: str) -> Column:
-    """Minute number of a timestamp; taken from the fields, so no time zone shift."""
+def time_code(ts: str) -> Column:
+    """Microseconds since 1970 as written; taken from the fields, so no time zone shift."""
     t = F.col(ts)
     days = F.date_diff(t.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    return days * 1440 + F.hour(t) * 60 + F.minute(t)
+    minute = days * 1440 + F.hour(t) * 60 + F.minute(t)
+    return minute * MINUTE + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+
+
+def _cell(width: int) -> Column:
+    return ((F.col("_t") - F.pmod("_t", F.lit(width))) / width).cast("long")
+
+
+def _among(column: str, values: Sequence[int]) -> Column:
+    """Membership in a literal set, looked up by hash in generated code."""
+    return F.expr(f"{column} IN ({', '.join(map(str, values))})") if values else F.lit(False)
 
 
 def order_buckets(df: DataFrame, ts: str, tie: str) -> DataFrame:
@@ -70,32 +82,32 @@ def order_buckets(df: DataFrame, ts: str, tie: str) -> DataFrame:
 
     The first is the minute. Only where a minute holds more than 1/4096 of all rows is it cut
     further, into hundredths of a second, and only where one time stamp alone holds that many
-    are its rows cut by the tie-break. There are fewer than 4,096 such minutes and time stamps
-    by definition, which bounds the broadcast table of them.
+    is its hundredth cut into microseconds and its own rows by the tie-break. There are fewer
+    than 4,096 such minutes and time stamps by definition, so they can be read to the driver
+    and stand in the plan as literals. ``df`` is read once per step, time and tie-break only.
     """
-    keyed = df.withColumn("_slot", time_slot(ts))
-    ends = df.agg(F.struct(F.min(tie).cast("double").alias("lo"),
-                           F.max(tie).cast("double").alias("hi"),
-                           F.count(F.lit(1)).alias("n"))).scalar()
-    too_many = F.col("_c") > ends["n"] / HOT_SHARE
-    rows = F.count(F.lit(1)).alias("_c")
-    minutes = keyed.groupBy("_slot").agg(rows).where(too_many).select("_slot")
-    stamps = (keyed.select("_slot", ts).join(F.broadcast(minutes), "_slot", "left_semi")
-              .groupBy("_slot", ts).agg(rows).where(too_many)
-              .groupBy("_slot").agg(F.collect_list(ts).alias("_stamps")))
-    hot = minutes.join(stamps, "_slot", "left").withColumn("_hot", F.lit(True))
-    out = keyed.join(F.broadcast(hot), "_slot", "left")
-    t, known = F.col(ts), F.col("_stamps").isNotNull()
-    hundredth = F.floor(F.extract(F.lit("SECOND"), t) * 100).cast("int")
-    at = F.coalesce(F.array_contains("_stamps", t), F.lit(False))
-    buckets = F.floor(F.greatest(F.lit(float(MIN_TIE_BUCKETS)), F.least(
-        F.lit(float(MAX_TIE_BUCKETS)), ends["n"] / ROWS_PER_TIE_BUCKET)))
-    share = (F.col(tie).cast("double") - ends["lo"]) / (ends["hi"] - ends["lo"] + 1.0)
-    return out.withColumns({
-        "_sub": F.when(F.col("_hot"), hundredth).otherwise(0),
-        "_seg": F.when(known, F.size(F.filter("_stamps", lambda h: h <= t))).otherwise(0),
-        "_off": F.when(at, 0).otherwise(1),
-        "_tie": F.when(at, F.floor(share * buckets)).otherwise(0)}).drop("_hot", "_stamps")
+    keyed = df.withColumn("_t", time_code(ts)).withColumn("_slot", _cell(MINUTE))
+    ends = df.agg(F.count(F.lit(1)), F.min(tie).cast("double"), F.max(tie).cast("double")).first()
+    n, lo, hi = ends[0], ends[1] or 0.0, ends[2] or 0.0
+    limit = max(n / HOT_SHARE, MIN_HOT_ROWS)
+
+    def crowded(rows: DataFrame, column: str) -> list[int]:
+        if n <= limit:
+            return []
+        found = rows.groupBy(column).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > limit)
+        return sorted(r[0] for r in found.select(column).collect())
+
+    minutes = crowded(keyed, "_slot")
+    stamps = crowded(keyed.where(_among("_slot", minutes)), "_t") if minutes else []
+    cells = sorted({t // HUNDREDTH for t in stamps})
+    parts = min(MAX_TIE_BUCKETS, max(MIN_TIE_BUCKETS, n // ROWS_PER_TIE_BUCKET))
+    share = (F.col(tie).cast("double") - F.lit(lo)) / F.lit(hi - lo + 1.0)
+    fine = keyed.withColumn("_cell", _cell(HUNDREDTH))
+    return fine.withColumns({
+        "_sub": F.when(_among("_slot", minutes), F.pmod("_cell", F.lit(MINUTE // HUNDREDTH)))
+        .otherwise(0).cast("int"),
+        "_us": F.when(_among("_cell", cells), F.pmod("_t", F.lit(HUNDREDTH))).otherwise(0).cast("int"),
+        "_tie": F.when(_among("_t", stamps), F.floor(share * parts)).otherwise(0).cast("int")})
 
 
 def positional_index(df: DataFrame, by: Sequence[str], ts: str, ties: Sequence[str],

@@ -17,7 +17,7 @@ from flowlens.operators import explain, metrics as M, models, ordering, retrieva
 from flowlens.operators.quality import audit_days, find_label_column, find_timestamp_column
 from flowlens.operators.selection import allowed_columns, kept_features
 
-T0 = dt.datetime(2024, 1, 1)
+T0 = dt.datetime(1969, 12, 31, 23, 59)
 
 
 @pytest.mark.parametrize("n,train,val", [(90, 62, 14), (170, 118, 26), (100, 70, 15), (7, 4, 1), (1, 0, 0)])
@@ -39,6 +39,7 @@ def test_position_with_a_hot_minute(spark, monkeypatch, share):
     rows = [(i % 2, T0 + spans[i % 3](), ids[i]) for i in range(3000)]
     df = spark.createDataFrame(rows, "day int, ts timestamp, id long")
     monkeypatch.setattr(ordering, "HOT_SHARE", share)
+    monkeypatch.setattr(ordering, "MIN_HOT_ROWS", 1)
     got = ordering.positional_index(df, ["day"], "ts", ["id"])
     w = Window.partitionBy("day").orderBy("ts", "id")
     want = df.withColumn("pos", F.row_number().over(w).cast("long") - 1)

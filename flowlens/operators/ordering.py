@@ -13,11 +13,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowlens.session import broadcast_if_small, stage
+from flowlens.session import is_small, stage
 
 ORDER_BUCKETS = ("_slot", "_sub", "_us", "_tie")
 MINUTE, HUNDREDTH = 60_000_000, 10_000      # microseconds
-MIN_HOT_ROWS = 100_000              # a minute of fewer rows is never worth cutting
+MIN_HOT_ROWS = 1_000_000            # a minute of fewer rows is never worth cutting
 HOT_SHARE = 4096.0                  # a minute or time stamp with more than 1/4096 of the rows is cut
 ROWS_PER_TIE_BUCKET = 1_000_000
 MIN_TIE_BUCKETS, MAX_TIE_BUCKETS = 32, 4096
@@ -216,7 +216,7 @@ def exact_quantiles(values: DataFrame, key: str, value: str,
                        (F.col("_rank") - F.col("_before")).alias("_r"),
                        "_rank"))
     targets = stage(targets, "quantile-buckets")
-    few = broadcast_if_small
+    few = F.broadcast if is_small(targets) else (lambda side: side)
     part = F.when(F.col("_hi") > F.col("_lo"),
                   F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
                           * (FINE_BUCKETS - 1))).otherwise(F.lit(0).cast("long"))

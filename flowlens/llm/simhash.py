@@ -140,7 +140,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH,
     through links of at most ``radius`` bits, null if the component has none. Repeated rows stay.
     """
     prints = stage(with_fingerprint(docs, {"doc_id": F.col("doc_id")}, width=width), "fingerprints")
-    first = components_of(prints, radius=radius, crowd=crowd).select("fp", F.col("first").alias("component_id"))
+    # staged, so that the join deals both sides anew and may split a fingerprint of very many copies
+    first = stage(components_of(prints, radius=radius, crowd=crowd), "firsts").withColumnRenamed("first", "component_id")
     return prints.join(first, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

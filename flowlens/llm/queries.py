@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import (decontaminate, html_text, kneser_ney, mixing, quality_model, quality_rules, simhash,
+from flowlens.llm import (decontaminate, html_text, kneser_ney, license_scan, mixing, quality_model, quality_rules, simhash,
                           token_counts, toxicity)
 from flowlens.llm.common import table
 
@@ -47,9 +47,13 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), license_scan.load_templates(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_main_text, op2_decontaminate, op3_token_counts, op4_quality_rules, op5_mix_sources,
-        op6_simhash_dedup, op7_quality_model, op8_toxicity, op9_kneser_ney)}
+        op6_simhash_dedup, op7_quality_model, op8_toxicity, op9_kneser_ney, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -57,12 +57,16 @@ def features(text: str | None) -> set[bytes]:
     return words | stems
 
 
-def swapped_features(text: str | None, terms: dict[bytes, bytes]) -> set[bytes] | None:
-    """Features with each term that names a group replaced; None if there is no such term."""
+def counterfactuals(text: str | None, terms: dict[bytes, bytes]) -> list[set[bytes]]:
+    """Features with every term that names a group replaced by another, and with none of them.
+
+    The second keeps a model from raising the weights of all terms alike. No list without such a term.
+    """
     words = plain_words(text)
     if not any(w in terms for w in words):
-        return None
-    return features(b" ".join(terms.get(w, w) for w in words).decode("utf-8", "surrogatepass"))
+        return []
+    of = lambda kept: features(b" ".join(kept).decode("utf-8", "surrogatepass"))
+    return [of(terms.get(w, w) for w in words), of(w for w in words if w not in terms)]
 
 
 @dataclass
@@ -77,9 +81,9 @@ class ToxicModel:
         return 1.0 / (1.0 + math.exp(-min(max(z, -60.0), 60.0)))
 
 
-def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, swapped: list[np.ndarray | None], size: int,
+def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, swapped: list[list[np.ndarray]], size: int,
                  ridge: float = RIDGE, penalty: float = SWAP_PENALTY, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Weights and bias of words, from the words of each row and of its counterpart with terms swapped.
+    """Weights and bias of words, from the words of each row and of its counterparts with terms swapped.
 
     Minimises log loss, in which the classes weigh alike, + ridge * |w|^2 / 2 + penalty * mean squared
     change of the score under a swap, by Newton steps solved with conjugate gradients. With one class
@@ -91,7 +95,7 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, swapped: list[np.nd
         return np.zeros(size), math.log(rate / (1 - rate))
     at = np.repeat(np.arange(n), [len(r) for r in rows])
     word = np.concatenate(rows).astype(np.int64)
-    pairs = [(i, s) for i, s in enumerate(swapped) if s is not None]
+    pairs = [(i, s) for i, others in enumerate(swapped) for s in others]
     m = max(len(pairs), 1)
     of = np.concatenate([np.full(len(rows[i]) + len(s), k) for k, (i, s) in enumerate(pairs)] or [[]]).astype(np.int64)
     moved = np.concatenate([np.concatenate([rows[i], s]) for i, s in pairs] or [[]]).astype(np.int64)
@@ -152,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, wanted, rows: int = SAMPLE_ROWS, k
     """Fit on a bounded sample of the labelled rows that meet ``wanted``, a condition on doc_id.
 
     Words and stems that split unevenly over the classes, and the group terms that occur, make the
-    vocabulary; every row that names a group has a counterfactual with these terms swapped.
+    vocabulary; every row that names a group has counterfactuals with these terms swapped.
     """
     terms = swaps(kinds)
 
@@ -160,19 +164,19 @@ def train(docs: DataFrame, labels: DataFrame, wanted, rows: int = SAMPLE_ROWS, k
         binary = pa.list_(pa.binary())
         for batch in small_batches(batches):
             texts = batch.column(1).to_pylist()
-            other = [swapped_features(t, terms) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(2), pa.array([sorted(features(t)) for t in texts], binary),
-                 pa.array([None if x is None else sorted(x) for x in other], binary)], names=["label", "own", "other"])
+                 pa.array([[sorted(x) for x in counterfactuals(t, terms)] for t in texts], pa.list_(binary))],
+                names=["label", "own", "other"])
 
     sample = stage(training_rows(docs, labels, "toxic", wanted, rows).select("doc_id", "text", "label")
-                   .mapInArrow(split, "label int, own array<binary>, other array<binary>"), "toxic-sample")
+                   .mapInArrow(split, "label int, own array<binary>, other array<array<binary>>"), "toxic-sample")
     n, toxic = sample.agg(F.count("*"), F.sum("label")).first()
     toxic = toxic or 0
     # only what occurs in toxic rows can speak for them; counting starts from that
     of_toxic = (sample.where("label = 1").select(F.explode("own").alias("word")).groupBy("word").count()
                 .where(F.col("count") >= LEAST_TOXIC).select("word"))
-    named = sample.where("other is not null").select(F.explode(F.concat("own", "other")).alias("word")).where(
+    named = sample.where("size(other) > 0").select(F.explode(F.concat("own", F.flatten("other"))).alias("word")).where(
         F.col("word").isin(list(terms)))
     counts = (sample.select("label", F.explode("own").alias("word"))
               .join(broadcast_below(stage(of_toxic, "toxic-words"), 96), "word")
@@ -186,17 +190,18 @@ def train(docs: DataFrame, labels: DataFrame, wanted, rows: int = SAMPLE_ROWS, k
 
     def index(batches):
         numbers = pa.list_(pa.int32())
+        known = lambda words: [place[w] for w in words if w in place]
         for batch in small_batches(batches):
-            own, other = ([None if words is None else [place[w] for w in words if w in place] for words in column.to_pylist()]
-                          for column in batch.columns[1:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, numbers), pa.array(other, numbers)],
-                                             names=["label", "own", "other"])
+            own, other = (column.to_pylist() for column in batch.columns[1:])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([known(x) for x in own], numbers),
+                 pa.array([[known(x) for x in y] for y in other], pa.list_(numbers))], names=["label", "own", "other"])
 
-    data = sample.mapInArrow(index, "label int, own array<int>, other array<int>").collect()
+    data = sample.mapInArrow(index, "label int, own array<int>, other array<array<int>>").collect()
     data.sort(key=lambda r: (r.label, r.own))  # the order of rows is Spark's; sums shouldn't depend on it
     as_array = lambda x: np.array(x, dtype=np.int64)
     w, b = fit_logistic([as_array(r.own) for r in data], np.array([r.label for r in data]),
-                        [None if r.other is None else as_array(r.other) for r in data], len(place), penalty=penalty)
+                        [[as_array(x) for x in r.other] for r in data], len(place), penalty=penalty)
     return ToxicModel({word: float(w[i]) for word, i in place.items()}, float(b))
 
 

@@ -10,28 +10,37 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm.common import crc_of_id, shared_path, small_batches, spread_rows, stage, text_of
 
 #: Text per shard of the hash range, and the most shards there are.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 32 << 20
 MOST_SHARDS = 1 << 16
-#: Tokens that a worker counts before it hands on, and scores, at once.
-COUNT_TOKENS = 1 << 20
+#: Tokens that a worker counts, and scores, at once, and pairs that it holds before it hands them on. These
+#: fit workers of a few hundred MB; for a corpus of many TB, raise them with the workers' memory.
+COUNT_TOKENS = 1 << 19
 SCORE_TOKENS = 1 << 19
+HELD_PAIRS = 3 << 19
+#: Files that a worker keeps mapped.
+OPEN_SHARDS = 4096
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: White space can't be in a word, so these are no words.
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" start", b" end"))
 #: What the table of words holds for each: count, distinct words before it, and as a context the sum of
 #: its pairs and how many of them are seen once, twice, more often.
 FIELDS = ("count", "before", "total", "ones", "twos", "more")
+#: What the parts of its sum hold, and of these what a shard of words tells the driver.
+PARTS = ("count", "before", "total", "ones", "twos", "threes", "fours", "over")
+SUMS = ("tokens", "types", "ones", "twos", "threes", "fours", "words", "after1", "after2", "after3", "after4", "after5")
 
 
 def token_hashes(text: str | None) -> np.ndarray:
@@ -85,30 +94,43 @@ def local_path(path: str) -> str:
 
 # ---------------------------------------------------------------- arrays
 
-def write_arrays(folder: str, shard: int, columns: list[np.ndarray]) -> str:
-    """Write a shard under a name of this attempt's own; it counts once the attempt's rows are committed."""
-    os.makedirs(folder, exist_ok=True)
-    name = f"{shard:05d}-{uuid.uuid4().hex}"
-    with open(f"{folder}/.{name}", "wb") as out:
-        for column in columns:
-            np.ascontiguousarray(column).tofile(out)
-    os.rename(f"{folder}/.{name}", f"{folder}/{name}")
-    return name
+def _file(folder: str, shard: int) -> str:
+    return f"{folder}/{shard >> 10:x}/{shard:x}"
+
+
+def write_arrays(folder: str, shard: int, keys: np.ndarray, values: list[np.ndarray]) -> None:
+    """Write a shard under its one name. A task that runs again puts equal bytes in its place."""
+    name = _file(folder, shard)
+    os.makedirs(os.path.dirname(name), exist_ok=True)
+    size = 4 if all(not len(v) or v.max() < 1 << 32 for v in values) else 8
+    with open(own := f"{name}.{uuid.uuid4().hex}", "wb") as out:
+        np.array([len(keys), size], dtype=np.uint64).tofile(out)
+        np.ascontiguousarray(keys).tofile(out)
+        for column in values:
+            column.astype(f"u{size}").tofile(out)
+    os.replace(own, name)
 
 
 class HashArrays:
     """Sorted key arrays with value columns, one memory-mapped file per shard of the hash range."""
 
-    def __init__(self, folder: str, bits: int, names: dict, widths: int):
-        self.folder, self.bits, self.names, self.columns, self.open = folder, bits, names, widths, {}
+    def __init__(self, folder: str, bits: int, columns: int):
+        self.folder, self.bits, self.columns, self.open = folder, bits, columns, OrderedDict()
 
     def _shard(self, shard: int):
-        if shard not in self.open:
-            name, n, size = self.names[shard]
-            data = np.memmap(f"{self.folder}/{name}", dtype=np.uint8, mode="r")
-            values = data[8 * n:].view(np.dtype(f"u{size}")).reshape(self.columns, n)
-            self.open[shard] = data[:8 * n].view(np.uint64), values
-        return self.open[shard]
+        if shard in self.open:
+            self.open.move_to_end(shard)
+            return self.open[shard]
+        known, values = np.zeros(0, np.uint64), np.zeros((self.columns, 0))
+        if os.path.exists(name := _file(self.folder, shard)):
+            data = np.memmap(name, dtype=np.uint8, mode="r")
+            n, size = (int(x) for x in data[:16].view(np.uint64))
+            known = data[16:16 + 8 * n].view(np.uint64)
+            values = data[16 + 8 * n:].view(np.dtype(f"u{size}")).reshape(self.columns, n)
+        self.open[shard] = known, values
+        if len(self.open) > OPEN_SHARDS:
+            self.open.popitem(last=False)
+        return known, values
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """(columns, keys) values of sorted, distinct keys; 0 where a key is unknown."""
@@ -116,9 +138,9 @@ class HashArrays:
         shards = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
         edges = np.flatnonzero(np.diff(shards, prepend=-1)) if len(keys) else np.zeros(0, np.int64)
         for low, high in zip(edges, [*edges[1:], len(keys)]):
-            if int(shards[low]) not in self.names:
-                continue
             known, values = self._shard(int(shards[low]))
+            if not len(known):
+                continue
             at = np.searchsorted(known, keys[low:high])
             at[at == len(known)] = 0
             hit = np.flatnonzero(known[at] == keys[low:high])
@@ -128,11 +150,9 @@ class HashArrays:
 
 @dataclass
 class Model:
-    """What workers get: numbers of the whole corpus, and the names of the shards, 65,536 at most."""
+    """What workers get: where the arrays are, and a dozen numbers of the whole corpus."""
     folder: str
     bits: int
-    pairs: dict
-    words: dict
     pair_discounts: list
     word_discounts: list
     tokens: int
@@ -141,8 +161,8 @@ class Model:
     word_rest: float
 
     def arrays(self) -> tuple[HashArrays, HashArrays]:
-        return (HashArrays(f"{self.folder}/pairs", self.bits, self.pairs, 1),
-                HashArrays(f"{self.folder}/words", self.bits, self.words, len(FIELDS)))
+        return (HashArrays(f"{self.folder}/pairs", self.bits, 1),
+                HashArrays(f"{self.folder}/words", self.bits, len(FIELDS)))
 
     def score(self, tokens: list[np.ndarray], arrays) -> dict[str, np.ndarray]:
         """Per text: n_tokens, n_known, base_score and score."""
@@ -182,17 +202,26 @@ def discounts(n: list) -> list:
 
 # ---------------------------------------------------------------- counting
 
-_PARTIAL = "word bigint, " + ", ".join(f"`{f}` bigint" for f in FIELDS) + ", shard int, name string, n bigint, size int"
+def pack(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs as places in the list of their words, byte planes apart, compressed: some 7 bytes a pair."""
+    order = np.argsort(first, kind="stable")
+    words, at = np.unique(np.concatenate([first[order], second[order]]), return_inverse=True)
+    one, two = np.split(at.astype(np.uint32), 2)
+    size = 4 if n.max() < 1 << 32 else 8
+    planes = [np.diff(words, prepend=np.uint64(0)), np.diff(one, prepend=np.uint32(0)), two, n[order].astype(f"u{size}")]
+    body = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in planes)
+    return np.array([len(words), len(n), size], dtype=np.uint64).tobytes() + zstandard.compress(body, 1)
 
 
-def _partial(word=None, values=None, shard=None) -> pa.RecordBatch:
-    m = 1 if word is None else len(word)
-    blank = lambda kind: pa.nulls(m, kind)
-    columns = [blank(pa.int64()) if word is None else pa.array(word.view(np.int64))]
-    columns += [pa.array(np.broadcast_to(np.asarray(v, dtype=np.int64), m)) for v in values]
-    columns += [pa.array([x], k) if shard else blank(k) for x, k in
-                zip(shard or [None] * 4, (pa.int32(), pa.string(), pa.int64(), pa.int32()))]
-    return pa.RecordBatch.from_arrays(columns, names=["word", *FIELDS, "shard", "name", "n", "size"])
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m, n, size = (int(x) for x in np.frombuffer(blob, np.uint64, 3))
+    body, at, planes = np.frombuffer(zstandard.decompress(blob[24:]), np.uint8), 0, []
+    for length, width in ((m, 8), (n, 4), (n, 4), (n, size)):
+        plane = body[at:at + length * width].reshape(width, length)
+        planes.append(np.ascontiguousarray(plane.T).view(f"u{width}").reshape(-1))
+        at += length * width
+    words = np.cumsum(planes[0], dtype=np.uint64)
+    return words[np.cumsum(planes[1], dtype=np.uint32)], words[planes[2]], planes[3].astype(np.int64)
 
 
 def _per_shard(batches):
@@ -211,81 +240,101 @@ def _per_shard(batches):
         yield int(at), pa.Table.from_batches(held)
 
 
+def _merged(first: np.ndarray, second: np.ndarray, n: np.ndarray):
+    _, at, group = np.unique(pair_keys(first, second), return_index=True, return_inverse=True)
+    return first[at], second[at], np.bincount(group, n).astype(np.int64)
+
+
 def _count_pairs(bits: int):
-    def run(batches):
+    def counted(batches):
+        held, size = [], 0
         for _, tokens in _gathered(batches, COUNT_TOKENS):
             first, second = _with_previous(tokens)
-            keys, at, n = np.unique(pair_keys(first, second), return_index=True, return_counts=True)
-            shard = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
-            arrays = [shard, first[at].view(np.int64), second[at].view(np.int64), n.astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["shard", "first", "second", "n"])
+            _, at, n = np.unique(pair_keys(first, second), return_index=True, return_counts=True)
+            held.append((first[at], second[at], n))
+            size += len(at)
+            if size >= HELD_PAIRS:
+                held = [_merged(*map(np.concatenate, zip(*held)))]
+                size = len(held[0][0])
+                if size >= HELD_PAIRS // 2:
+                    yield held[0]
+                    held, size = [], 0
+        if held:
+            yield _merged(*map(np.concatenate, zip(*held)))
+
+    def run(batches):
+        for first, second, n in counted(batches):
+            shard = (pair_keys(first, second) >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(n), np.int32)
+            order = np.argsort(shard, kind="stable")
+            edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
+            for low, high in zip(edges, [*edges[1:], len(order)]):
+                part = order[low:high]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard[part[0]]], pa.int32()), pa.array([pack(first[part], second[part], n[part])], pa.binary())],
+                    names=["shard", "pairs"])
+
     return run
 
 
 def _write_pairs(folder: str):
-    """Write each shard's pairs; hand on what they add to their words, and the counts of counts."""
+    """Sum and write each shard's pairs; hand on what the shard adds to its words."""
     def run(batches):
         for shard, rows in _per_shard(batches):
-            first, second = (rows.column(k).to_numpy().view(np.uint64) for k in (1, 2))
-            n = rows.column(3).to_numpy()
-            keys = pair_keys(first, second)
-            order = np.argsort(keys)
-            size = 4 if n.max() < 1 << 32 else 8
-            name = write_arrays(folder, shard, [keys[order], n[order].astype(f"u{size}")])
-            yield _partial(values=[*(int((n == k).sum()) for k in (1, 2, 3, 4)), 0, 0], shard=(shard, name, len(n), size))
-            word, at = np.unique(second, return_inverse=True)
-            yield _partial(word, [np.bincount(at, n), np.bincount(at), 0, 0, 0, 0])
-            word, at = np.unique(first, return_inverse=True)
-            yield _partial(word, [0, 0, np.bincount(at, n), *(np.bincount(at, k) for k in (n == 1, n == 2, n > 2))])
+            first, second, n = _merged(*map(np.concatenate, zip(*(unpack(b.as_py()) for b in rows.column(1)))))
+            write_arrays(folder, shard, pair_keys(first, second), [n])
+            words, at = np.unique(np.concatenate([first, second]), return_inverse=True)
+            one, two = np.split(at, 2)
+            m = len(words)
+            parts = [np.bincount(two, n, m), np.bincount(two, minlength=m), np.bincount(one, n, m)]
+            parts += [np.bincount(one, k, m) for k in (n == 1, n == 2, n == 3, n == 4, n > 4)]
+            for low in range(0, m, 50_000):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x[low:low + 50_000].astype(np.int64)) for x in (words.view(np.int64), *parts)], names=["word", *PARTS])
     return run
 
 
 def _write_words(folder: str):
+    """Write each shard's words; hand on its sums."""
     def run(batches):
         for shard, rows in _per_shard(batches):
             word = rows.column(1).to_numpy().view(np.uint64)
             order = np.argsort(word)
-            values = [rows.column(k + 2).to_numpy() for k in range(len(FIELDS))]
-            name = write_arrays(folder, shard, [word[order], *(v[order].astype(np.uint64) for v in values)])
-            before = values[1]
-            yield _partial(values=[*(int((before == k).sum()) for k in (1, 2, 3, 4)), int((before > 2).sum()),
-                                   int((values[0] > 0).sum())], shard=(shard, name, len(word), 8))
+            count, before, total, ones, twos, threes, fours, over = (
+                rows.column(k + 2).to_numpy()[order] for k in range(len(PARTS)))
+            write_arrays(folder, shard, word[order], [count, before, total, ones, twos, threes + fours + over])
+            sums = [count.sum(), before.sum(), ones.sum(), twos.sum(), threes.sum(), fours.sum(), (count > 0).sum(),
+                    *((before == k).sum() for k in (1, 2, 3, 4)), (before > 4).sum()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in sums], names=list(SUMS))
     return run
 
 
 def train(docs: DataFrame) -> Model:
     """Count a bigram model over all rows of ``docs``, which needs ``text``; null is an empty text.
 
-    Workers count pairs of about a million tokens before anything moves; then one shuffle by the hash
-    range brings equal pairs together, and the task that sums a shard writes its array and hands on
-    what the shard adds to its words. So no pair is shuffled twice, and a frequent word or pair is no
-    large group: it is one row per task. A second, smaller shuffle sums the words.
+    Workers merge the pairs of a task before anything moves; then one shuffle by the hash range, of
+    packed pairs, brings equal ones together. The task that sums a shard writes its array and hands on
+    what it adds to its words, so no pair is shuffled twice, and a frequent word or pair is no large
+    group: it is one row per task. A second, smaller shuffle sums the words. Files have fixed names
+    and contents, so a task that is run again for a lost executor leaves them as they were.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_SHARDS, max(1, total // SHARD_BYTES)).bit_length() - 1
     shards = 1 << bits
-    where = shared_path(spark, "bigrams")
-    folder = local_path(where)
-    counted = (spread_rows(docs).select(text_of("text").alias("text"))
-               .mapInArrow(_count_pairs(bits), "shard int, first bigint, second bigint, n bigint"))
-    pairs = (counted.repartition(shards, "shard").groupBy("shard", "first", "second").agg(F.sum("n").alias("n"))
-             .sortWithinPartitions("shard"))
-    partial = stage(pairs.mapInArrow(_write_pairs(f"{folder}/pairs"), _PARTIAL), "pair-partials")
+    folder = local_path(shared_path(spark, "bigrams"))
+    pairs = (spread_rows(docs).select(text_of("text").alias("text")).mapInArrow(_count_pairs(bits), "shard int, pairs binary")
+             .repartition(shards, "shard").sortWithinPartitions("shard"))
+    parts = pairs.mapInArrow(_write_pairs(f"{folder}/pairs"), ", ".join(f"`{c}` bigint" for c in ("word", *PARTS)))
     shard = F.shiftrightunsigned("word", 64 - bits).cast("int") if bits else F.lit(0)
-    words = (partial.where("word is not null").groupBy("word").agg(*(F.sum(f).alias(f) for f in FIELDS))
-             .select(shard.alias("shard"), "word", *FIELDS).repartition(shards, "shard").sortWithinPartitions("shard"))
-    written = stage(words.mapInArrow(_write_words(f"{folder}/words"), _PARTIAL), "word-partials")
-    named = lambda df: {r.shard: (r.name, r.n, r.size) for r in  # noqa: E731  65,536 rows at most
-                        df.where("word is null").select("shard", "name", "n", "size").collect()}
-    sums = lambda df: [x or 0 for x in df.where("word is null").agg(
-        *(F.sum(f) for f in FIELDS), F.sum("n")).first()]
-    pair_sums, word_sums = sums(partial), sums(written)
-    tokens = partial.agg(F.sum(F.when(F.col("word").isNotNull(), F.col("count")))).first()[0] or 0
-    pair_d, word_d = discounts(pair_sums[:4]), discounts(word_sums[:4])
-    types = pair_sums[6]
-    rest = (word_d[0] * word_sums[0] + word_d[1] * word_sums[1] + word_d[2] * word_sums[4]) / types if types else 1.0
-    return Model(folder, bits, named(partial), named(written), pair_d, word_d, tokens, word_sums[5], types, rest)
+    words = (parts.select(shard.alias("shard"), "*").repartition(shards, "shard").groupBy("shard", "word")
+             .agg(*(F.sum(c).alias(c) for c in PARTS)).sortWithinPartitions("shard"))
+    sums = stage(words.mapInArrow(_write_words(f"{folder}/words"), ", ".join(f"{c} bigint" for c in SUMS)), "word-sums")
+    of = {c: x or 0 for c, x in zip(SUMS, sums.agg(*(F.sum(c) for c in SUMS)).first())}
+    pair_d = discounts([of[c] for c in ("ones", "twos", "threes", "fours")])
+    after = [of[f"after{k}"] for k in range(1, 6)]
+    word_d = discounts(after[:4])
+    rest = (word_d[0] * after[0] + word_d[1] * after[1] + word_d[2] * sum(after[2:])) / of["types"] if of["types"] else 1.0
+    return Model(folder, bits, pair_d, word_d, of["tokens"], of["words"], of["types"], rest)
 
 
 # ---------------------------------------------------------------- scoring
@@ -298,12 +347,11 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
                                       text_of("text").alias("text"))
     schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, "
               "n_known bigint, train_tokens bigint, base_score double, score double")
-    most = max(SCORE_TOKENS, 1 << (model.bits + 6))
 
     def run(batches):
         known = shared.value
         arrays = known.arrays()
-        for held, tokens in _gathered(batches, most):
+        for held, tokens in _gathered(batches, SCORE_TOKENS):
             out = known.score(tokens, arrays)
             out["train_tokens"] = np.full(len(tokens), known.tokens, dtype=np.int64)
             kept = pa.Table.from_batches(held).select(["doc_id", "held_out"])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowlens import fixed_values as fv
 from flowlens.functions.text import render_rules
 from flowlens.operators.ordering import global_index
+from flowlens.session import broadcast_if_small
 
 
 def verdict(p: Column, threshold: float = fv.DETECT_THRESHOLD) -> dict[str, Column]:
@@ -19,14 +20,14 @@ def verdict(p: Column, threshold: float = fv.DETECT_THRESHOLD) -> dict[str, Colu
 
 
 def with_threat(detections: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Catalogue fields by threat id. The catalogue is a fixed handful of rows: broadcast."""
+    """Catalogue fields by threat id; null where the catalogue lacks it, so no detection is lost."""
     fields = catalogue.select("threat_id", "title", "tactic", "playbook", "indicators", "iptables")
-    return detections.join(F.broadcast(fields), "threat_id")
+    return detections.join(broadcast_if_small(fields), "threat_id", "left")
 
 
 def with_display_name(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Display name by threat id, the catalogue title where there is none."""
-    return (rows.join(F.broadcast(names), "threat_id", "left")
+    return (rows.join(broadcast_if_small(names), "threat_id", "left")
             .withColumn("threat_name", F.coalesce("display", "title")).drop("display"))
 
 

@@ -9,6 +9,7 @@ deterministic, so a recomputed task gets the same answer and no checkpoint is ne
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -172,8 +173,13 @@ def take_by_hash(df: DataFrame, by: Sequence[str], keys: Sequence[str], quota: D
 
 
 def log_bucket(v: Column, per_octave: int = LOG_BUCKETS_PER_OCTAVE) -> Column:
-    """Order-preserving bucket of a finite double with constant relative width."""
-    size = F.floor((F.log2(F.abs(v)) + 1080.0) * per_octave) + 1
+    """Order-preserving bucket of a double with constant relative width.
+
+    Infinities have the outermost buckets; NaN has none.
+    """
+    finite = F.least(F.abs(v), F.lit(sys.float_info.max))
+    size = F.floor((F.log2(finite) + 1080.0) * per_octave) + 1
+    size = F.when(F.abs(v) == float("inf"), size + 1).otherwise(size)
     return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
 
 

@@ -54,7 +54,7 @@ def figure_bars(matrix: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def threat_cards(rollup: DataFrame, catalogue: DataFrame, score: str) -> DataFrame:
     """Catalogue page: one card per detected threat."""
-    full = rollup.join(F.broadcast(catalogue), "threat_id")
+    full = rollup.join(F.broadcast(catalogue), "threat_id", "left")
     return full.select(
         "threat_id", "title", "tactic", "occurrences", F.round(score, 4).alias("score"),
         F.concat(F.substring("indicators", 1, 80), F.lit("...")).alias("indicators"))
@@ -62,7 +62,7 @@ def threat_cards(rollup: DataFrame, catalogue: DataFrame, score: str) -> DataFra
 
 def playbook_table(rollup: DataFrame, catalogue: DataFrame, src_ip: str = "0.0.0.0") -> DataFrame:
     """Playbook page: cut playbook text and the first response rules."""
-    full = rollup.join(F.broadcast(catalogue), "threat_id")
+    full = rollup.join(F.broadcast(catalogue), "threat_id", "left")
     return full.select(
         "threat_id", "title",
         F.concat(F.substring("playbook", 1, 90), F.lit("...")).alias("playbook"),

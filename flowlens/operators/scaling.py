@@ -11,9 +11,11 @@ from flowlens.operators.ordering import exact_quantiles
 
 
 def melt(rows: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Long form ``(keep..., feature, value)``."""
+    """Long form ``(keep..., feature, value)``; what is not a finite number is zero, as in scaling."""
+    from flowlens.functions.numeric import finite_or_zero
     return rows.select(*keep, F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("value"))
+        F.struct(F.lit(f).alias("feature"),
+                 finite_or_zero(F.col(f"`{f}`").cast("double")).alias("value"))
         for f in features])).alias("r")).select(*keep, "r.feature", "r.value")
 
 
@@ -78,13 +80,6 @@ def apply_robust(rows: DataFrame, features: Sequence[str], params: DataFrame,
         for f in features}).drop("_p")
 
 
-def apply_fixed(rows: DataFrame, features: Sequence[str],
-                params: dict[str, tuple[float, float]], clip: float) -> DataFrame:
-    """Same with parameters that are already known as numbers (serving, streaming)."""
-    return rows.withColumns({f: scaled(f, F.lit(params[f][0]), F.lit(params[f][1]), clip)
-                             for f in features})
-
-
 def collect_params(params: DataFrame) -> dict[str, tuple[float, float]]:
     """Parameters as numbers: one row per feature is read."""
     return {r["feature"]: (r["median"], r["scale"]) for r in params.collect()}

@@ -11,7 +11,6 @@ from flowlens.functions.vectors import let
 from flowlens.operators.ordering import positional_index
 
 WINDOW_KEY = ("day", "split", "seq")
-WIDE_LIMIT = 40            # above this many features statistics are computed in long form
 STATISTICS = ("last", "mean", "max", "min", "std")
 
 
@@ -51,11 +50,15 @@ def sequence_windows(split: DataFrame, length: int = fv.WINDOW_LENGTH) -> DataFr
             .where((F.col("seq") + 1) * length <= F.col("split_n")))
 
 
-def window_rows(rows: DataFrame, ties: Sequence[str], step: int = fv.SAMPLE_STEP,
+def window_rows(rows: DataFrame, ties: Sequence[str], step: int = 1,
                 length: int = fv.WINDOW_LENGTH) -> DataFrame:
-    """Rows of all complete windows: index, stride, split and window in one plan."""
+    """Rows of all complete windows: index, split and window in one plan.
+
+    Every row is used unless ``step`` asks for a stride.
+    """
     indexed = positional_index(rows, ["day"], "ts", list(ties))
-    return sequence_windows(temporal_split(stride_sample(indexed, step)), length)
+    kept = stride_sample(indexed, step) if step > 1 else indexed
+    return sequence_windows(temporal_split(kept), length)
 
 
 def vote(share: float = fv.WINDOW_ATTACK_SHARE) -> Column:
@@ -80,13 +83,11 @@ def statistic_columns(features: Sequence[str]) -> list[str]:
 
 
 def window_stats(rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Last, mean, max, min and population standard deviation per feature and window."""
-    if len(features) > WIDE_LIMIT:
-        return window_table_stats(window_table(rows, features), features)
-    build = {"last": lambda f: F.max_by(f, "step"), "mean": F.avg, "max": F.max,
-             "min": F.min, "std": F.stddev_pop}
-    aggs = [build[s](f"`{f}`").alias(f"{f}__{s}") for s in STATISTICS for f in features]
-    return rows.groupBy(*WINDOW_KEY).agg(vote(), *aggs)
+    """Last, mean, max, min and population standard deviation per feature and window.
+
+    However many features there are, the way is the same; nulls are as in ``window_table_stats``.
+    """
+    return window_table_stats(window_table(rows, features), features)
 
 
 def window_table(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -102,13 +103,19 @@ def window_table(rows: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def window_table_stats(table: DataFrame, features: Sequence[str],
                        keep: Sequence[str] = (*WINDOW_KEY, "y")) -> DataFrame:
-    """The same statistics from a window table; no shuffle."""
+    """The same statistics from a window table; no shuffle.
+
+    The last value is that of the last step, null or not. The others are of the non-null values,
+    and null if there are none.
+    """
     def columns(f: str) -> dict[str, Column]:
-        values, length = F.col(f"`{f}`"), F.size(F.col(f"`{f}`"))
+        whole = F.col(f"`{f}`")
+        values = F.filter(whole, lambda v: v.isNotNull())
+        length = F.nullif(F.size(values), F.lit(0))
         mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / length
         var = let(mean, lambda m: F.aggregate(
             values, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))) / length
-        return {"last": F.element_at(values, -1), "mean": mean, "max": F.array_max(values),
+        return {"last": F.element_at(whole, -1), "mean": mean, "max": F.array_max(values),
                 "min": F.array_min(values), "std": F.sqrt(var)}
 
     made = {f: columns(f) for f in features}

@@ -21,7 +21,7 @@ class ScaledWindows:
 
 
 def scaled_windows(rows: DataFrame, features: Sequence[str], ties: Sequence[str],
-                   clip: float = fv.CLIP_TRAINING, step: int = fv.SAMPLE_STEP,
+                   clip: float = fv.CLIP_TRAINING, step: int = 1,
                    length: int = fv.WINDOW_LENGTH) -> ScaledWindows:
     """Window the rows, fit the robust scaler on train rows and apply it to all.
 

@@ -22,7 +22,7 @@ class Extraction:
 
 
 def build_features(spark: SparkSession, csv_dir: str, store_dir: str,
-                   length: int = fv.WINDOW_LENGTH, step: int = fv.SAMPLE_STEP,
+                   length: int = fv.WINDOW_LENGTH, step: int = 1,
                    force: bool = False) -> Extraction | None:
     """Extract, split, window and store all days; None if the store is already there.
 

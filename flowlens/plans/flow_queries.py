@@ -52,7 +52,7 @@ parted AS (
 WIN = """win AS (
   SELECT *, off // 10 AS seq, off % 10 AS step FROM parted
   WHERE (off // 10 + 1) * 10 <= split_n)"""
-WINDOWED = (FLOWS, POSITIONS, STRIDED, split_sql("strided"), WIN)
+WINDOWED = (FLOWS, POSITIONS, split_sql("positions"), WIN)
 EVENT_FLOWS = """ev AS (
   SELECT strftime(ts, '%Y-%m-%d') AS day, ts, event_id, user_id, event_type,
          CAST(event_type = 'error' AS INTEGER) AS target, value,
@@ -74,17 +74,22 @@ def scaled_sql(f: str, clip_at: float) -> str:
             f"feature = '{f}')) / (SELECT scale FROM scales WHERE feature = '{f}')))")
 
 
-SCALED = ("scaled AS (SELECT * EXCLUDE (" + ", ".join(FLOW_FEATURES) + "), "
-          + ", ".join(f"{scaled_sql(f, fv.CLIP_TRAINING)} AS {f}" for f in FLOW_FEATURES)
-          + " FROM win)")
+
+
+def scaled_cte(clip_at: float) -> str:
+    return ("scaled AS (SELECT * EXCLUDE (" + ", ".join(FLOW_FEATURES) + "), "
+            + ", ".join(f"{scaled_sql(f, clip_at)} AS {f}" for f in FLOW_FEATURES) + " FROM win)")
+
+
+SCALED = scaled_cte(fv.CLIP_TRAINING)
 
 # fixed scoring model on scaled features; its weights are this repository's own
 MODEL = explain.WindowModel(
-    bias=-1.2,
-    linear={"flow_duration": 1.1, "flow_bytes": 0.6, "packet_length": -0.4,
-            "syn_flag_count": 0.3},
-    square={"flow_duration": 0.5, "flow_bytes": -0.3, "packet_length": 0.6,
-            "syn_flag_count": 0.4})
+    bias=-3.1,
+    linear={"flow_duration": 13.2, "flow_bytes": 7.2, "packet_length": -4.8,
+            "syn_flag_count": 3.6},
+    square={"flow_duration": 6.0, "flow_bytes": -3.6, "packet_length": 7.2,
+            "syn_flag_count": 4.8})
 
 
 def model_sql() -> str:
@@ -101,9 +106,10 @@ def model_sql() -> str:
   FROM scaled GROUP BY day, split, seq)"""
 
 
-def scored_flows(spark: SparkSession, sf_dir: str, carry=()) -> DataFrame:
+def scored_flows(spark: SparkSession, sf_dir: str, carry=(),
+                 clip_at: float = fv.CLIP_TRAINING) -> DataFrame:
     """Windows of flows scored by the fixed model, with saliency."""
-    done = scaled_windows(flows(spark, sf_dir), FLOW_FEATURES, FLOW_TIES)
+    done = scaled_windows(flows(spark, sf_dir), FLOW_FEATURES, FLOW_TIES, clip_at)
     return explain.score_windows(done.scaled, MODEL, carry)
 
 
@@ -330,13 +336,22 @@ def zero_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("feature", shown.alias("std"), "kept")
 
 
-@query("robust_params", with_ctes(*WINDOWED, PARAMS, SCALES, body="""
+@query("robust_params", with_ctes(*WINDOWED, PARAMS + """,
+dirty AS (SELECT CASE WHEN syn_flag_count = 0 OR packet_length = 0 THEN 0.0
+                      ELSE flow_bytes / syn_flag_count END AS rate FROM win WHERE split = 'train'),
+all_params AS (SELECT * FROM params UNION ALL
+  SELECT 'rate', quantile_cont(rate, 0.5), quantile_cont(rate, 0.05), quantile_cont(rate, 0.95)
+  FROM dirty)""", SCALES.replace("FROM params", "FROM all_params"), body="""
 SELECT feature, round(median, 6) AS median, round(low, 6) AS low, round(high, 6) AS high,
        round(scale, 6) AS scale FROM scales"""))
 def robust_params_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rate`` holds infinities and NaN, which count as zero."""
+    rate = F.when(F.col("syn_flag_count") == 0, float("inf")).when(
+        F.col("packet_length") == 0, float("nan")).otherwise(
+        F.col("flow_bytes") / F.col("syn_flag_count"))
     train = stage(W.window_rows(flows(spark, sf_dir), LINE).where("split = 'train'")
-                  .select(*FLOW_FEATURES), "train")
-    return robust_params(train, FLOW_FEATURES).select(
+                  .select(*FLOW_FEATURES, rate.alias("rate")), "train")
+    return robust_params(train, [*FLOW_FEATURES, "rate"]).select(
         "feature", *[F.round(c, 6).alias(c) for c in ("median", "low", "high", "scale")])
 
 
@@ -363,11 +378,9 @@ def clip_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = robust_params(rows, ["value"])
     wide = rows.withColumn("value", F.col("value") * 10)
     training = apply_robust(wide, ["value"], params, fv.CLIP_TRAINING)
-    serving = apply_robust(wide.withColumn("raw", F.col("value")), ["value"], params,
-                           fv.CLIP_SERVING)
-    both = serving.select("event_id", F.col("value").alias("serving"))
-    return both.select("event_id", F.round(clip(F.col("serving"), fv.CLIP_TRAINING), 6)
-                       .alias("training"), F.round("serving", 6).alias("serving"))
+    serving = apply_robust(wide, ["value"], params, fv.CLIP_SERVING)
+    return training.select("event_id", F.round("value", 6).alias("training")).join(
+        serving.select("event_id", F.round("value", 6).alias("serving")), "event_id")
 
 
 @query("event_quantiles", """

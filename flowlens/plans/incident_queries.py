@@ -23,7 +23,7 @@ INCIDENTS = f"""inc AS (
          round((event_id * 7919) % 1000 / 1000.0, 4) AS probability
   FROM events WHERE event_type = 'error')"""
 ACTIONS = """act AS (
-  SELECT event_id AS action_id, ts, '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS src_ip,
+  SELECT event_id AS action_id, ts, '10.0.' || ((2 * user_id) // 256) || '.' || ((2 * user_id) % 256) AS src_ip,
          (['block', 'report', 'ignore'])[event_id % 3 + 1] AS action
   FROM events WHERE event_type = 'signup')"""
 KB = catalogue_values()
@@ -37,7 +37,7 @@ def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("threat_lookup", with_ctes(KB, INCIDENTS, body="""
 SELECT event_id, src_ip, threat_id, title, tactic, playbook, array_to_string(iptables, chr(10)) AS rules
-FROM inc JOIN kb USING (threat_id)"""))
+FROM inc LEFT JOIN kb USING (threat_id)"""))
 def threat_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.with_threat(incidents_fixture(spark, sf_dir), threat_catalogue(spark)).select(
         "event_id", "src_ip", "threat_id", "title", "tactic", "playbook",
@@ -46,7 +46,7 @@ def threat_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("display_name_fallback", with_ctes(KB, NAMES_SQL, INCIDENTS, body="""
 SELECT event_id, threat_id, coalesce(display, title) AS threat_name
-FROM inc JOIN kb USING (threat_id)
+FROM inc LEFT JOIN kb USING (threat_id)
      LEFT JOIN (SELECT * FROM nm WHERE threat_id <> 'MITRE-T1071') USING (threat_id)"""))
 def display_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One display name is left out, so the catalogue title stands in for it."""
@@ -60,7 +60,7 @@ SELECT event_id, coalesce(display, title) AS threat_name, threat_id, tactic,
        round(probability * 100.0, 1) AS confidence, round(probability, 4) AS probability, src_ip,
        '{fv.STATUS_DETECTED}' AS status, playbook, indicators,
        replace(array_to_string(iptables, chr(10)), '{{src_ip}}', src_ip) AS rules
-FROM inc JOIN kb USING (threat_id) LEFT JOIN nm USING (threat_id)"""))
+FROM inc LEFT JOIN kb USING (threat_id) LEFT JOIN nm USING (threat_id)"""))
 def incident_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = I.incidents(_detections(spark, sf_dir), threat_catalogue(spark), display_names(spark))
     return full.select("event_id", "threat_name", "threat_id", "tactic", "confidence", "probability",
@@ -71,7 +71,7 @@ def incident_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("render_rules", with_ctes(KB, INCIDENTS, body="""
 SELECT event_id, replace(array_to_string(iptables, ' ; '), '{src_ip}', src_ip) AS rules,
        left(replace(array_to_string(iptables[1:3], chr(10)), '{src_ip}', '0.0.0.0'), 120) AS excerpt
-FROM inc JOIN kb USING (threat_id)"""))
+FROM inc LEFT JOIN kb USING (threat_id)"""))
 def render_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.with_threat(incidents_fixture(spark, sf_dir), threat_catalogue(spark))
     return rows.select(
@@ -159,7 +159,7 @@ def action_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- roll-up and catalogue
 
 ROLLUP = """rollup_ AS (SELECT threat_id, count(*) AS occurrences,
-         min_by(probability, ts) AS hybrid_score FROM inc JOIN kb USING (threat_id)
+         min_by(probability, ts) AS hybrid_score FROM inc LEFT JOIN kb USING (threat_id)
   GROUP BY threat_id)"""
 
 
@@ -170,10 +170,10 @@ def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("threat_rollup", with_ctes(KB, INCIDENTS, ROLLUP, body="""
-SELECT threat_id, title, tactic, occurrences, hybrid_score FROM rollup_ JOIN kb USING (threat_id)"""))
+SELECT threat_id, title, tactic, occurrences, hybrid_score FROM rollup_ LEFT JOIN kb USING (threat_id)"""))
 def threat_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalogue = threat_catalogue(spark).select("threat_id", "title", "tactic")
-    return _rollup(spark, sf_dir).join(F.broadcast(catalogue), "threat_id").select(
+    return _rollup(spark, sf_dir).join(F.broadcast(catalogue), "threat_id", "left").select(
         "threat_id", "title", "tactic", "occurrences", "hybrid_score")
 
 
@@ -200,7 +200,7 @@ def catalogue_undetected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("threat_cards", with_ctes(KB, INCIDENTS, ROLLUP, body="""
 SELECT threat_id, title, tactic, occurrences, round(hybrid_score, 4) AS score,
-       left(indicators, 80) || '...' AS indicators FROM rollup_ JOIN kb USING (threat_id)"""))
+       left(indicators, 80) || '...' AS indicators FROM rollup_ LEFT JOIN kb USING (threat_id)"""))
 def threat_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.threat_cards(_rollup(spark, sf_dir), threat_catalogue(spark), "hybrid_score")
 
@@ -208,7 +208,7 @@ def threat_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("playbook_table", with_ctes(KB, INCIDENTS, ROLLUP, body="""
 SELECT threat_id, title, left(playbook, 90) || '...' AS playbook,
        left(replace(array_to_string(iptables[1:3], chr(10)), '{src_ip}', '0.0.0.0'), 120) AS rules,
-       occurrences FROM rollup_ JOIN kb USING (threat_id)"""))
+       occurrences FROM rollup_ LEFT JOIN kb USING (threat_id)"""))
 def playbook_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.playbook_table(_rollup(spark, sf_dir), threat_catalogue(spark))
 
@@ -216,7 +216,7 @@ def playbook_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("incident_sheet", with_ctes(KB, NAMES_SQL, INCIDENTS, body=f"""
 , f AS (SELECT event_id, coalesce(display, title) AS threat_name, threat_id, tactic,
        round(probability * 100.0, 1) AS confidence, src_ip, playbook, indicators
-  FROM inc JOIN kb USING (threat_id) LEFT JOIN nm USING (threat_id))
+  FROM inc LEFT JOIN kb USING (threat_id) LEFT JOIN nm USING (threat_id))
 SELECT event_id, 0 AS place, 'Threat' AS field, threat_name AS value FROM f
 UNION ALL SELECT event_id, 1, 'MITRE ATT&CK', threat_id FROM f
 UNION ALL SELECT event_id, 2, 'Tactic', tactic FROM f
@@ -291,9 +291,9 @@ def root_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("detect_response", with_ctes(KB, INCIDENTS, body="""
 SELECT event_id, CASE WHEN probability >= 0.5
-  THEN 'MITRE' || '|' || threat_id || '|' || title ELSE 'BENIGN' END AS outcome,
+  THEN concat_ws('|', 'MITRE', threat_id, title) ELSE 'BENIGN' END AS outcome,
   round(probability, 4) AS probability
-FROM inc JOIN kb USING (threat_id)"""))
+FROM inc LEFT JOIN kb USING (threat_id)"""))
 def detect_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested JSON responses, read back to show what each branch carries."""
     rows = I.with_threat(_detections(spark, sf_dir), threat_catalogue(spark))

@@ -9,8 +9,9 @@ from flowlens.operators import ensemble as E, metrics as M, reports, sampling, t
 from flowlens.operators.ordering import positional_index
 from flowlens.operators.windows import WINDOW_KEY, sequence_vote, window_rows
 from flowlens.plans.benchmark import (MATRIX, benchmark_metrics, side_metrics, with_blend)
-from flowlens.plans.flow_queries import (EVENT_FLOWS, EVENT_POSITIONS, MODEL, PARAMS, SCALED,
-                                         SCALES, WINDOWED, model_sql, scored_flows, split_sql)
+from flowlens.plans.flow_queries import (EVENT_FLOWS, EVENT_POSITIONS, MODEL, PARAMS,
+                                         SCALES, WINDOWED, model_sql, scaled_cte, scored_flows,
+                                         split_sql)
 from flowlens.plans.registry import query, with_ctes
 from flowlens.session import stage
 from flowlens.sources.tables import (FLOW_TIES, NOISE_MODEL, SCORE_MODELS, event_flows, flows,
@@ -335,15 +336,13 @@ def ensemble_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- generalisation
 
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of a train sample and of the whole test split, at each model's threshold."""
+    """Metrics of the whole train and test splits, at each model's threshold."""
     indexed = positional_index(event_flows(spark, sf_dir).select("day", "ts", "event_id", "target"),
                                ["day"], "ts", ["event_id"])
     from flowlens.operators.windows import temporal_split
     rows = stage(temporal_split(indexed).select("split", "event_id", F.col("target").alias("y")),
                  "split-rows")
-    train = sampling.sample_rows(rows.where("split = 'train'"), ["event_id"])
-    both = train.withColumn("side", F.lit("train")).unionByName(
-        rows.where("split = 'test'").withColumn("side", F.lit("test")))
+    both = rows.where("split <> 'val'").withColumn("side", F.col("split"))
     best = T.optimal_tau(T.tau_sweep(score_rows(rows.where("split = 'val'"), True), ["model"]),
                          ["model"])
     return side_metrics(score_rows(both, True), best)
@@ -351,12 +350,10 @@ def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GAP_CTES = (
     *SPLIT_EVENTS, score_sql("rows0"), TAUS, "val AS (SELECT * FROM sc WHERE split = 'val')",
-    sweep_sql("val"), BEST, """picked AS (
-  SELECT event_id FROM rows0 WHERE split = 'train'
-  QUALIFY row_number() OVER (ORDER BY md5('42|' || event_id)) <= 20000)""", """sided AS (
+    sweep_sql("val"), BEST, """sided AS (
   SELECT sc.*, CASE WHEN split = 'train' THEN 'train' ELSE 'test' END || '|' || sc.model AS grp,
          best.tau_rounded FROM sc JOIN best USING (model)
-  WHERE split = 'test' OR (split = 'train' AND event_id IN (SELECT event_id FROM picked)))""",
+  WHERE split <> 'val')""",
     counts_sql("counts", "sided", "grp", "tau_rounded"), points_sql("sided", "grp"),
     f"areas AS (SELECT grp, {ROC_AUC} AS roc FROM points GROUP BY grp)",
     f"""sides AS (SELECT split_part(grp, '|', 1) AS side, split_part(grp, '|', 2) AS model, roc,
@@ -469,20 +466,18 @@ def top_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.top_detection(all_scores(spark, sf_dir), ["model"], ["event_id"])
 
 
-@query("batch_audit", with_ctes(*WINDOWED, PARAMS, SCALES, SCALED, model_sql(), body=f"""
-, te AS (SELECT *, round(p, 6) AS q FROM scored WHERE split = 'test'),
-picked AS (SELECT y, q AS p, 1 AS g FROM te
-  QUALIFY row_number() OVER (PARTITION BY y ORDER BY md5('42|' || day || '|' || seq)) <= 50),
+@query("batch_audit", with_ctes(*WINDOWED, PARAMS, SCALES, scaled_cte(fv.CLIP_SERVING), model_sql(),
+                                body=f"""
+, picked AS (SELECT y, round(p, 6) AS p, 1 AS g FROM scored WHERE split = 'test'),
 {counts_sql("counts", "picked", "g", "CAST(0.03 AS DOUBLE)")},
 {points_sql("picked", "g")},
 areas AS (SELECT g, {ROC_AUC} AS roc_auc FROM points GROUP BY g)
 SELECT tp, fp, tn, fn, round(roc_auc, 4) AS roc_auc FROM counts JOIN areas USING (g)"""))
 def batch_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confusion counts and ROC of a stratified sample of test windows at the serving threshold."""
-    scored = scored_flows(spark, sf_dir).where("split = 'test'")
-    scored = scored.select("day", "seq", "y", F.round("p", 6).alias("p"))
-    picked = sampling.stratified_sample(scored, ["day", "seq"]).withColumns(
-        {"tau": F.lit(fv.DETECT_THRESHOLD), "g": F.lit(1)})
+    """Confusion counts and ROC of all test windows, scaled and judged as in serving."""
+    scored = scored_flows(spark, sf_dir, clip_at=fv.CLIP_SERVING).where("split = 'test'")
+    picked = scored.select("y", F.round("p", 6).alias("p"),
+                           F.lit(fv.DETECT_THRESHOLD).alias("tau"), F.lit(1).alias("g"))
     counts = M.confusion_counts(picked, ["g"])
     return counts.join(M.areas(picked, ["g"]), "g").select(
         "tp", "fp", "tn", "fn", F.round("roc_auc", 4).alias("roc_auc"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flowlens.functions.numeric import binary_target, to_number
@@ -78,7 +79,8 @@ def open_days(spark: SparkSession, paths: Sequence[str]) -> tuple[list[Day], Dat
     for path in paths:
         try:
             days.append(open_day(spark, path))
-        except Exception as error:                     # a bad day must not stop the others
+        except (ValueError, AnalysisException) as error:
+            # a day of the wrong schema must not stop the others; a storage fault must
             skipped.append((day_name(path), str(error).splitlines()[0]))
     return days, spark.createDataFrame(skipped, SKIP_SCHEMA)
 

@@ -85,11 +85,11 @@ def incidents_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actions_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sign-up events read as operator actions on a source address."""
+    """Sign-up events read as operator actions on a source address, of which some had no incident."""
     t = table(spark, sf_dir, "events").where("event_type = 'signup'")
     verbs = F.array(F.lit("block"), F.lit("report"), F.lit("ignore"))
+    user = F.col("user_id") * 2
     return t.select(
         F.col("event_id").alias("action_id"), "ts",
-        F.format_string("10.0.%d.%d", F.floor(F.col("user_id") / 256),
-                        F.col("user_id") % 256).alias("src_ip"),
+        F.format_string("10.0.%d.%d", F.floor(user / 256), user % 256).alias("src_ip"),
         F.element_at(verbs, (F.col("event_id") % 3 + 1).cast("int")).alias("action"))

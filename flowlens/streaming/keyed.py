@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from flowlens import fixed_values as fv
 
+# Windows handed on at once.
+OUTPUT_WINDOWS = 1000
 ACTION_SCHEMA = ("src_ip string, action_id bigint, action string, found boolean, "
                  "threat_id string, status string, rule string")
 
@@ -70,7 +73,9 @@ def answer_actions(stream: DataFrame) -> DataFrame:
 class CountWindowProcessor(StatefulProcessor):
     """Emits a window for every ``length`` rows of a key and carries the rest over.
 
-    Arrow batches are worked off one after another, so memory does not grow with the key.
+    A key's rows of a micro-batch come in several Arrow batches, in no order. Their numbers are
+    put together and sorted by time before windows are cut, so that windows do not depend on the
+    batches' size; the source's rate limit bounds them.
     """
 
     def __init__(self, length: int, features: Sequence[str], ts: str):
@@ -83,27 +88,24 @@ class CountWindowProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         columns = [*self.features, "target"]
-        held = pd.DataFrame(list(self.rest.get()) if self.rest.exists() else [], columns=columns)
+        fresh = [(c[self.ts].to_numpy(), c[columns].to_numpy(dtype=float)) for c in rows]
+        order = np.argsort(np.concatenate([ts for ts, _ in fresh]), kind="stable")
+        values = np.concatenate([v for _, v in fresh])[order]
+        if self.rest.exists():
+            values = np.concatenate([np.array(list(self.rest.get()), dtype=float), values])
         n = self.emitted.get()[0] if self.emitted.exists() else 0
-        for chunk in rows:
-            fresh = chunk.sort_values(self.ts, kind="stable")[columns]
-            held = pd.concat([held, fresh], ignore_index=True) if len(held) else \
-                fresh.reset_index(drop=True)
-            whole = len(held) // self.length * self.length
-            if whole:
-                out = []
-                for at in range(0, whole, self.length):
-                    w = held.iloc[at:at + self.length]
-                    y = int(w["target"].mean() >= fv.WINDOW_ATTACK_SHARE)
-                    out.append((key[0], n, y, *[w[f].astype(float).tolist() for f in self.features]))
-                    n += 1
-                held = held.iloc[whole:].reset_index(drop=True)
-                yield pd.DataFrame(out, columns=["key", "seq", "y", *self.features])
+        whole = len(values) // self.length
+        cut = values[:whole * self.length].reshape(whole, self.length, len(columns))
+        for at in range(0, whole, OUTPUT_WINDOWS):
+            part = cut[at:at + OUTPUT_WINDOWS]
+            y = (part[:, :, -1].mean(axis=1) >= fv.WINDOW_ATTACK_SHARE).astype(int)
+            out = {"key": key[0], "seq": n + at + np.arange(len(part)), "y": y}
+            yield pd.DataFrame(out | {f: list(part[:, :, i]) for i, f in enumerate(self.features)})
         self.rest.clear()
-        if len(held):
-            self.rest.put([(*map(float, r[:-1]), int(r[-1]))
-                           for r in held.itertuples(index=False, name=None)])
-        self.emitted.update((int(n),))
+        rest = values[whole * self.length:]
+        if len(rest):
+            self.rest.put([(*map(float, r[:-1]), int(r[-1])) for r in rest])
+        self.emitted.update((int(n + whole),))
 
     def close(self) -> None:
         pass

@@ -104,7 +104,8 @@ def number_batch(batch: DataFrame, batch_id: int, counts_path: str, day: str, ts
 
 
 def alert_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """Sink for ``foreachBatch``: one partition per batch, a failure does not stop the stream."""
+    """Sink for ``foreachBatch``: one partition per batch; a batch that can't be written stops the
+    stream uncommitted, so that none is lost."""
     def write(batch: DataFrame, batch_id: int) -> None:
         append_alerts(batch, path, batch_id)
     return write

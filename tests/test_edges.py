@@ -233,3 +233,32 @@ def test_hash_sample_larger_than_group_and_zero(spark):
     quota = spark.createDataFrame([(0, 1000), (1, 0)], "y int, quota long")
     got = ordering.take_by_hash(df, ["y"], ["id"], quota, fv.SEED)
     assert {r.y: r["count"] for r in got.groupBy("y").count().collect()} == {0: 25}
+
+
+def test_window_statistics_of_many_features_with_nulls(spark):
+    """More than 40 features take the same way as few; nulls are left out, and the last step told."""
+    names = [f"f{i}" for i in range(45)]
+    values = [None if s in (3, 9) else float(s * s) for s in range(10)]
+    rows = spark.createDataFrame([(0, "train", 0, s, 0, *[v] * 44, None) for s, v in enumerate(values)],
+                                 "day int, split string, seq long, step int, target int, "
+                                 + ", ".join(f"{n} double" for n in names))
+    known = [v for v in values if v is not None]
+    for used in (names[:2], names):
+        r = W.window_stats(rows, used).first()
+        assert r.f0__last is None and r.f0__max == 64.0 and r.f0__min == 0.0
+        assert r.f0__mean == pytest.approx(np.mean(known)) and r.f0__std == pytest.approx(np.std(known))
+    assert r.f44__mean is None and r.f44__std is None and r.f44__max is None
+
+
+def test_scaler_takes_infinities_and_nan_as_zero(spark):
+    from flowlens.operators.scaling import robust_params
+    values = [float(i) for i in range(1, 101)] + [math.nan] * 30 + [math.inf] * 10 + [-math.inf] * 10 + [None] * 5
+    got = robust_params(spark.createDataFrame([(v,) for v in values], "v double"), ["v"]).first()
+    clean = np.array([v if v is not None and math.isfinite(v) else 0.0 for v in values])
+    assert [got.median, got.low, got.high] == pytest.approx(list(np.quantile(clean, [.5, .05, .95])))
+
+
+def test_quantiles_reach_the_infinities(spark):
+    df = spark.createDataFrame([("a", v) for v in (-math.inf, 1.0, 2.0, math.inf, math.inf)], "k string, v double")
+    got = {r.prob: r.q for r in ordering.exact_quantiles(df, "k", "v", (0.25, 0.5)).collect()}
+    assert got == {0.25: 1.0, 0.5: 2.0}

@@ -21,13 +21,26 @@ def test_query_agrees_with_sql(spark, con, sf_dir, name):
     assert oracle.differences(q.run(spark, sf_dir), con, q.sql) is None
 
 
-@pytest.mark.parametrize("name", [n for n in UNCHECKED
-                                  if n not in ("train_candidates", "train_test_gaps")])
+@pytest.mark.parametrize("name", UNCHECKED)
 def test_query_without_sql_gives_rows(spark, sf_dir, name):
     df = QUERIES[name].run(spark, sf_dir)
     assert len(df.columns) == len(set(df.columns)) and df.count() > 0
 
 
+@pytest.mark.parametrize("name,columns", [
+    ("flow_detections", ("detected", "hits")), ("batch_audit", ("tp", "fp", "tn"))])
+def test_no_verdict_is_constant(spark, sf_dir, name, columns):
+    rows = QUERIES[name].run(spark, sf_dir).collect()
+    assert all(sum(r[c] for r in rows) > 0 for c in columns)
+    if name == "flow_detections":
+        assert 0.05 <= sum(r.detected for r in rows) / sum(r.windows for r in rows) <= 0.5
+
+
+def test_actions_meet_and_miss_incidents(spark, sf_dir):
+    assert {r.found for r in QUERIES["action_join"].run(spark, sf_dir).select("found").distinct().collect()} == {True, False}
+    assert QUERIES["root_cause"].run(spark, sf_dir).count() > 0
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
     assert set(e.oracle_sql()) <= set(e.queries())

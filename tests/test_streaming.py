@@ -1,6 +1,7 @@
 """Streams from files, driven with availableNow; restarts go on from the checkpoint."""
 
 import datetime as dt
+import random
 import os
 
 import pytest
@@ -90,6 +91,25 @@ def test_actions_follow_time_and_survive_restart(spark, tmp_path):
     assert run([]) == {6: (True, fv.STATUS_DETECTED, None)}
 
 
+def test_count_windows_do_not_depend_on_arrow_batches(spark, tmp_path):
+    """Shuffled rows of one key in batches of five give the windows of the sorted rows."""
+    src, schema = str(tmp_path / "src"), "k string, ts timestamp, target int, f double"
+    t0, order = dt.datetime(2024, 1, 1), list(range(203))
+    random.Random(3).shuffle(order)
+    write_rows(spark, [("a", t0 + dt.timedelta(seconds=i), 0, float(i)) for i in order], schema, src)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = []
+        s = spark.readStream.schema(schema).parquet(src)
+        live.run_once(keyed.count_windows(s, "k", "ts", ["f"]), str(tmp_path / "ck"),
+                      collect_to(got)).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert sorted((r.seq, r.f) for r in got) == [
+        (w, [float(i) for i in range(10 * w, 10 * w + 10)]) for w in range(20)]
+
+
 def test_count_windows_carry_over(spark, tmp_path):
     src, ck = str(tmp_path / "src"), str(tmp_path / "ck")
     schema = "k string, ts timestamp, target int, f double"
@@ -135,7 +155,8 @@ def test_alerts_of_a_repeated_batch_are_not_doubled(spark, tmp_path):
     blocked = tmp_path / "file"
     blocked.write_text("x")
     from flowlens.sources.sinks import append_alerts
-    assert append_alerts(df, str(blocked), 0) is False
+    with pytest.raises(Exception):
+        append_alerts(df, str(blocked), 0, pause=0.0)
 
 
 def test_score_stream_with_counters(spark, tmp_path):

@@ -127,7 +127,8 @@ def tokenize(page: str) -> list[Part]:
                     break
         _, inside, content = stack[-1] if stack else ("", False, False)
         noise = inside or _is_noise(name, attrs)
-        content = content or name in CONTENT
+        if name in CONTENT:  # a class of a wrapper doesn't make the article noise, an element such as nav does
+            content, noise = True, any(s[0] in SKIPPED for s in stack)
         parts.append(Part(None, _tag(name, noise), block, noise, 0, content))
         if name in RAW:
             end = _RAW_END[name].search(page, at)

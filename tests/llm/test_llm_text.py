@@ -34,6 +34,12 @@ def test_main_text_of_marked_and_unmarked_pages(weights, main):
     assert html_text.main_text(PAGE.replace("{main}", main), weights) == EXPECTED
 
 
+def test_wrapper_classes_do_not_hide_the_article(weights):
+    page = PAGE.replace("{main}", f"<div class='layout with-sidebar'>{ARTICLE}</div>")
+    assert html_text.main_text(page, weights) == EXPECTED
+    assert html_text.main_text("<aside><article><p>a teaser</p></article></aside><p>the text", weights) == "the text"
+
+
 def test_main_text_of_broken_pages(weights):
     text = lambda page: html_text.main_text(page, weights)
     assert text(None) == text("") == text("<nav>only a menu</nav>") == ""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -93,14 +94,23 @@ def number_batch(batch: DataFrame, batch_id: int, counts_path: str, day: str, ts
                  ties: Sequence[str]) -> DataFrame:
     """Incident ids that go on from the earlier batches.
 
-    Each batch's size is kept under its own id, so a repeated batch gets the same numbers.
+    Each batch keeps the number of incidents up to its end under its own id, so it reads the one
+    before and a repeated batch gets the same numbers. Where a batch was left out, all are looked
+    through for the last one before.
     """
     spark = batch.sparkSession
-    batch.agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(
-        f"{counts_path}/batch_id={batch_id}")
-    seen = (spark.read.schema("rows bigint, batch_id bigint").parquet(counts_path)
-            .where(F.col("batch_id") < batch_id).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
-    return incident_numbers(batch, day, ts, ties, start=int(seen) + 1)
+    kept = spark.read.schema("total bigint")
+    before = 0
+    if batch_id > 0:
+        try:
+            before = kept.parquet(f"{counts_path}/batch_id={batch_id - 1}").first()[0]
+        except AnalysisException:                      # that batch has no record
+            earlier = spark.read.schema("total bigint, batch_id bigint").parquet(counts_path).where(
+                F.col("batch_id") < batch_id)
+            before = earlier.agg(F.coalesce(F.max("total"), F.lit(0))).first()[0]
+    batch.agg((F.count(F.lit(1)) + F.lit(int(before))).alias("total")).write.mode(
+        "overwrite").parquet(f"{counts_path}/batch_id={batch_id}")
+    return incident_numbers(batch, day, ts, ties, start=int(before) + 1)
 
 
 def alert_writer(path: str) -> Callable[[DataFrame, int], None]:

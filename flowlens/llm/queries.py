@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowlens.llm import (decontaminate, html_text, kneser_ney, license_scan, mixing, quality_model, quality_rules, simhash,
                           token_counts, toxicity)
 from flowlens.llm.common import table
+from flowlens.llm.oracle import leaks_sql, license_sql
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +17,8 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("bits_apart")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +58,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_main_text, op2_decontaminate, op3_token_counts, op4_quality_rules, op5_mix_sources,
         op6_simhash_dedup, op7_quality_model, op8_toxicity, op9_kneser_ney, op10_license_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": leaks_sql(), "op10_license_scan": license_sql()}

@@ -3,8 +3,9 @@
 import pytest
 
 import corpus_pipeline
+import oracle
 from flowlens.llm import decontaminate, quality_model, quality_rules, simhash
-from flowlens.llm.queries import QUERIES
+from flowlens.llm.queries import ORACLE_SQL, QUERIES
 
 from .helpers import awkward_rows, docs_of, rows_of
 
@@ -46,6 +47,12 @@ def test_pipeline_takes_awkward_and_empty_tables(spark, small, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_agree_with_their_sql(spark, sf_dir, name):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    assert oracle.differences(QUERIES[name](spark, big), oracle.connect(big), ORACLE_SQL[name]) is None
+
+
 def test_every_operator_has_a_query_over_its_table(spark, sf_dir):
     import __spark_entry__
     assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11))

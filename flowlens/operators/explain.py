@@ -109,16 +109,22 @@ def occlusion(stats: DataFrame, key: Sequence[str], features: Sequence[str], mod
         F.abs(F.col("p") - F.col("r.p")).alias("importance"))
 
 
+def detection_texts(scored: DataFrame, n: int = 3,
+                    threshold: float = fv.DETECT_THRESHOLD) -> DataFrame:
+    """Detected windows with their ``n`` top features and the query text made of these."""
+    top = top_importances(F.col("saliency"), n)
+    hits = scored.where(F.col("p") >= threshold).withColumn("top_features", top)
+    return hits.withColumn("query_id", explain_query(F.transform("top_features", lambda s: s["name"])))
+
+
 def explain_detections(scored: DataFrame, index: HybridIndex, catalogue: DataFrame,
-                       n: int = 5, threshold: float = fv.DETECT_THRESHOLD) -> DataFrame:
+                       n: int = 3, threshold: float = fv.DETECT_THRESHOLD) -> DataFrame:
     """Detected windows with top features, matching threat and hybrid score.
 
     Query texts are orderings of feature names, far fewer than windows: each distinct text
     is retrieved once and joined back.
     """
-    hits = scored.where(F.col("p") >= threshold)
-    hits = hits.withColumn("top_features", top_importances(F.col("saliency"), n))
-    hits = hits.withColumn("query_id", explain_query(F.transform("top_features", lambda s: s["name"])))
+    hits = detection_texts(scored, n, threshold)
     texts = hits.select("query_id").distinct().withColumn("text", F.col("query_id"))
     found = hybrid_retrieve(texts, index).withColumnRenamed("doc_id", "idx")
     found = found.join(F.broadcast(catalogue.select("idx", "threat_id")), "idx").drop("idx")

@@ -12,7 +12,7 @@ from flowlens.operators.windows import WINDOW_KEY
 from flowlens.plans.flow_queries import (MODEL, PARAMS, SCALED, SCALES, WINDOWED, model_sql,
                                          scored_flows)
 from flowlens.plans.registry import query, with_ctes
-from flowlens.session import spread, stage
+from flowlens.session import broadcast_if_small, spread, stage
 from flowlens.sources.catalogue import catalogue_text, threat_catalogue
 from flowlens.sources.tables import FLOW_FEATURES, table
 
@@ -362,3 +362,42 @@ def explain_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = explain.explain_detections(stage(scored_flows(spark, sf_dir), "scored"), index, catalogue)
     return found.select(*KEY, "y", F.round("p", 4).alias("probability"), "query", "threat_id",
                         F.round("hybrid_score", 4).alias("hybrid_score"), "matched")
+
+
+EXPLAINED = (*SALIENT, saliency_sql(3), catalogue_values(), """qt AS (
+  SELECT day, split, seq, replace(lower(string_agg(name, ' ' ORDER BY rn)), '_', ' ') AS text
+  FROM top WHERE round(p, 6) >= 0.5 GROUP BY day, split, seq)""",
+             "qs AS (SELECT DISTINCT text AS query_id, text FROM qt)", bm25_catalogue_sql("qs"),
+             """found AS (SELECT day, split, seq, text AS query, kb.threat_id, bm25_score, matched
+  FROM qt JOIN hit ON hit.query_id = qt.text JOIN kb USING (idx))""")
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalogue = threat_catalogue(spark)
+    texts = catalogue_text(catalogue)
+    n = R.catalogue_size(texts)
+    scored = scored_flows(spark, sf_dir).withColumn("p", F.round("p", 6))
+    hits = stage(explain.detection_texts(scored, 3, 0.5).select(*KEY, "query_id"), "explained")
+    distinct = hits.select("query_id").distinct().withColumn("text", F.col("query_id"))
+    best = R.bm25_retrieve(distinct, R.catalogue_terms(texts, n), n).withColumnRenamed("doc_id", "idx")
+    best = best.join(F.broadcast(catalogue.select("idx", "threat_id")), "idx").drop("idx")
+    return hits.join(broadcast_if_small(stage(best, "matched-texts")), "query_id").select(
+        *KEY, F.col("query_id").alias("query"), "threat_id", "bm25_score", "matched")
+
+
+@query("explained_threats", with_ctes(*EXPLAINED, body="SELECT * FROM found"))
+def explained_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected windows, their explanation and the threat it matches by BM25."""
+    return _explained(spark, sf_dir)
+
+
+@query("detected_rollup", with_ctes(*EXPLAINED, body="""
+, firsts AS (SELECT threat_id, bm25_score FROM found
+  QUALIFY row_number() OVER (PARTITION BY threat_id ORDER BY day, split, seq) = 1)
+SELECT threat_id, n AS occurrences, bm25_score AS score
+FROM (SELECT threat_id, count(*) AS n FROM found GROUP BY threat_id) JOIN firsts USING (threat_id)"""))
+def detected_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explained detections per threat, with the score of the first one."""
+    from flowlens.operators.incidents import threat_rollup
+    found = _explained(spark, sf_dir).withColumnRenamed("bm25_score", "score")
+    return threat_rollup(found, list(KEY), "score")

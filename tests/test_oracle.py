@@ -41,6 +41,11 @@ def test_actions_meet_and_miss_incidents(spark, sf_dir):
     assert QUERIES["root_cause"].run(spark, sf_dir).count() > 0
 
 
+def test_explanations_match_several_threats(spark, sf_dir):
+    found = QUERIES["explained_threats"].run(spark, sf_dir).collect()
+    assert any(r.matched for r in found) and len({r.threat_id for r in found if r.matched}) > 1
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
     assert set(e.oracle_sql()) <= set(e.queries())

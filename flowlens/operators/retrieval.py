@@ -324,10 +324,27 @@ def cosine_to_catalogue(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     The catalogue (``label, v``; its size is checked) travels as a scalar array.
     """
+    return _cosine_arrays(queries, catalogue).select("query_id", F.explode("cells").alias("c")).select(
+        "query_id", "c.label", "c.cosine")
+
+
+def _cosine_arrays(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``(query_id, cells)``: label and cosine of each catalogue vector, by label."""
     catalogue_size(catalogue)
     docs = catalogue.agg(F.sort_array(F.collect_list(F.struct(
         "label", l2_normalise(F.col("v")).alias("v")))).alias("docs")).scalar()
     unit = queries.select("query_id", l2_normalise(F.col("v")).alias("q"), docs.alias("docs"))
-    return unit.select("query_id", F.explode(F.transform("docs", lambda d: F.struct(
-        d["label"].alias("label"), dot(F.col("q"), d["v"]).alias("cosine")))).alias("c")).select(
+    return unit.select("query_id", F.transform("docs", lambda d: F.struct(
+        d["label"].alias("label"), dot(F.col("q"), d["v"]).alias("cosine"))).alias("cells"))
+
+
+def nearest_in_catalogue(queries: DataFrame, catalogue: DataFrame, digits: int = 6) -> DataFrame:
+    """``(query_id, label, cosine)`` of the closest vector, found inside the row.
+
+    Cosines are compared as rounded; the least label wins ties.
+    """
+    cells = _cosine_arrays(queries, catalogue).select("query_id", F.transform("cells", lambda c: F.struct(
+        c["label"].alias("label"), F.round(c["cosine"], digits).alias("cosine"))).alias("cells"))
+    best = first_max(F.transform("cells", lambda c: c["cosine"]))
+    return cells.select("query_id", F.element_at("cells", best).alias("c")).select(
         "query_id", "c.label", "c.cosine")

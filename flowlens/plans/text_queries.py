@@ -189,11 +189,14 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return mean.groupBy("label").agg(F.transform(cells, lambda s: s["c"]).alias("v"))
 
 
-def centroid_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vectors_and_centroids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vectors = table(spark, sf_dir, "embeddings")
-    catalogue = stage(centroids(vectors), "centroids")
     queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    return R.cosine_to_catalogue(queries, catalogue)
+    return queries, stage(centroids(vectors), "centroids")
+
+
+def centroid_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.cosine_to_catalogue(*_vectors_and_centroids(spark, sf_dir))
 
 
 @query("cosine_scores", with_ctes(CENTROIDS, body="""
@@ -209,10 +212,8 @@ SELECT vec_id, label, round(cosine, 6) AS cosine FROM cos
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(cosine, 6) DESC, label) = 1"""))
 def retrieve_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closest centroid of every vector, the lowest label on ties."""
-    scored = centroid_cosines(spark, sf_dir).withColumn("cosine", F.round("cosine", 6))
-    return scored.groupBy(F.col("query_id").alias("vec_id")).agg(F.max_by(
-        F.struct("label", "cosine"), F.struct(F.col("cosine"), -F.col("label"))).alias("b")).select(
-        "vec_id", "b.label", "b.cosine")
+    best = R.nearest_in_catalogue(*_vectors_and_centroids(spark, sf_dir))
+    return best.withColumnRenamed("query_id", "vec_id")
 
 
 @query("hybrid_blend", with_ctes(CENTROIDS, """bm AS (

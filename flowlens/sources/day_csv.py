@@ -85,29 +85,34 @@ def open_days(spark: SparkSession, paths: Sequence[str]) -> tuple[list[Day], Dat
     return days, spark.createDataFrame(skipped, SKIP_SCHEMA)
 
 
-def day_rows(spark: SparkSession, day: Day, features: Sequence[str]) -> DataFrame:
-    """Typed rows of a day: ``day, ts, row_block, row_id, target, features...``.
+def layout_rows(spark: SparkSession, days: Sequence[Day], features: Sequence[str]) -> DataFrame:
+    """Typed rows of days of one layout, in one scan: ``day, ts, row_block, row_id, target, features...``.
 
     Rows whose time does not parse are dropped; without a time column the file order stands.
-    A feature the file lacks is null here and becomes 0.0 with the other missing values.
+    A feature the files lack is null here and becomes 0.0 with the other missing values.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*day.columns, DAMAGED)])
+    one = days[0]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*one.columns, DAMAGED)])
     raw = (spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE")
            .option("enforceSchema", "true").option("columnNameOfCorruptRecord", DAMAGED)
-           .csv(day.path))
-    ts = parse_time(F.col(f"`{day.timestamp}`"), day.time_format) if day.timestamp else \
+           .csv([d.path for d in days]))
+    ts = parse_time(F.col(f"`{one.timestamp}`"), one.time_format) if one.timestamp else \
         F.lit("1970-01-01 00:00:00").cast("timestamp")
-    cells = [to_number(F.col(f"`{f}`")).alias(f) if f in day.columns
+    cells = [to_number(F.col(f"`{f}`")).alias(f) if f in one.columns
              else F.lit(None).cast("double").alias(f) for f in features]
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     rows = raw.select(
-        F.lit(day.name).alias("day"), ts.alias("ts"),
+        name.alias("day"), ts.alias("ts"),
         F.col("_metadata.file_block_start").alias("row_block"),
         F.monotonically_increasing_id().alias("row_id"),
-        binary_target(F.col(f"`{day.label}`")).alias("target"), *cells)
+        binary_target(F.col(f"`{one.label}`")).alias("target"), *cells)
     return rows.where(F.col("ts").isNotNull())
 
 
 def read_days(spark: SparkSession, days: Sequence[Day], features: Sequence[str]) -> DataFrame:
-    """All usable days as one table, aligned by column name."""
-    both = union_days([day_rows(spark, d, features) for d in days])
+    """All usable days as one table: a scan for each layout of header, label and time, not for each file."""
+    layouts: dict[tuple, list[Day]] = {}
+    for d in days:
+        layouts.setdefault((d.columns, d.label, d.timestamp, d.time_format), []).append(d)
+    both = union_days([layout_rows(spark, same, features) for same in layouts.values()])
     return both.na.fill(0.0, list(features))

@@ -51,6 +51,19 @@ STATUS_STANDARD = "🏆 IEEE/ACM SOTA Standard (Leak-Free)"
 STATUS_DRIFT = "🟡 Acceptable Temporal Drift"
 STATUS_UNDERFIT = "⚠️ Underfitting Risk"
 STATUS_OVERFIT = "🔴 Overfitting Risk"
+IDEAL_GAP_ROC, IDEAL_GAP_F1 = 0.05, 0.08
+STANDARD_GAP_ROC, STANDARD_ROC, STANDARD_PRECISION = 0.115, 0.85, 0.90
+DRIFT_GAP_ROC, DRIFT_ROC = 0.155, 0.82
+UNDERFIT_ROC = 0.75
+
+# --- fixed values: boosted trees (rounds, step, feature share, rows per leaf) ----------
+POSITIVE_WEIGHT = 4.0
+TREE_DEPTH, TREE_ROW_SHARE = 5, 0.8
+TREE_SETTINGS = {
+    "XGBoost": (350, 0.035, "0.8", 4),
+    "CatBoost": (400, 0.040, "all", 1),
+    "LightGBM": (350, 0.035, "0.8", 40),
+}
 
 # --- fixed values: retrieval ----------------------------------------------------------
 BM25_K1 = 1.5
@@ -95,8 +108,7 @@ THREATS = (
      "syn flag count ack flag count forward packets ssh port 22 brute force credential",
      "Rate-limit SSH, block after failed attempts.",
      ("iptables -A INPUT -p tcp --dport 22 -m conntrack --ctstate NEW -m recent --set --name SSH",
-      "iptables -A INPUT -p tcp --dport 22 -m conntrack --ctstate NEW -m recent --update"
-      " --seconds 60 --hitcount 4 --name SSH -j DROP",
+      "iptables -A INPUT -p tcp --dport 22 -m conntrack --ctstate NEW -m recent --update --seconds 60 --hitcount 4 --name SSH -j DROP",
       "iptables -A INPUT -p tcp --dport 22 -j ACCEPT"),
      "High SYN+ACK flag count, repeated SSH port 22 connections, brute force patterns"),
     ("MITRE-T1059", "Command Injection", "TA0002 - Execution",

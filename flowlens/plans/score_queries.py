@@ -363,10 +363,11 @@ GAP_CTES = (
          b.roc AS test_roc, b.prec AS test_prec, b.rec AS test_rec, b.f1 AS test_f1,
          a.roc - b.roc AS gap_roc, a.f1 - b.f1 AS gap_f1
   FROM sides a JOIN sides b ON a.model = b.model AND a.side = 'train' AND b.side = 'test')""")
-STATUS_SQL = f"""CASE WHEN abs(gap_roc) <= 0.05 AND abs(gap_f1) <= 0.08 THEN '{fv.STATUS_IDEAL}'
-     WHEN gap_roc <= 0.115 AND test_roc >= 0.85 AND test_prec >= 0.9 THEN '{fv.STATUS_STANDARD}'
-     WHEN gap_roc <= 0.155 AND test_roc >= 0.82 THEN '{fv.STATUS_DRIFT}'
-     WHEN train_roc < 0.75 THEN '{fv.STATUS_UNDERFIT}' ELSE '{fv.STATUS_OVERFIT}' END"""
+STATUS_SQL = f"""CASE WHEN abs(gap_roc) <= {fv.IDEAL_GAP_ROC} AND abs(gap_f1) <= {fv.IDEAL_GAP_F1} THEN '{fv.STATUS_IDEAL}'
+     WHEN gap_roc <= {fv.STANDARD_GAP_ROC} AND test_roc >= {fv.STANDARD_ROC}
+      AND test_prec >= {fv.STANDARD_PRECISION} THEN '{fv.STATUS_STANDARD}'
+     WHEN gap_roc <= {fv.DRIFT_GAP_ROC} AND test_roc >= {fv.DRIFT_ROC} THEN '{fv.STATUS_DRIFT}'
+     WHEN train_roc < {fv.UNDERFIT_ROC} THEN '{fv.STATUS_UNDERFIT}' ELSE '{fv.STATUS_OVERFIT}' END"""
 GAP_NUMBERS = ("train_roc", "train_prec", "train_rec", "train_f1", "test_roc", "test_prec",
                "test_rec", "test_f1", "gap_roc", "gap_f1")
 

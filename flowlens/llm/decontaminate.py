@@ -100,8 +100,10 @@ class SizeIndex:
         for a, b, order, value in self.blocks:
             own = (prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
             first, last = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
-            for w in np.flatnonzero(last > first):
-                close[w, order[first[w]:last[w]]] = True
+            n = last - first
+            window = np.repeat(np.arange(len(prints)), n)
+            place = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            close[window, order[place]] = True
         windows, items = np.nonzero(close)
         apart = np.bitwise_count(prints[windows] ^ self.prints[items])
         keep = apart <= radius
@@ -140,7 +142,9 @@ class BenchmarkIndex:
         found = seen[(hashes & mask).astype(np.int64)]
         at = np.flatnonzero(found)
         if len(at):
-            found[at] = np.isin(hashes[at], self.known[k])
+            known = self.known[k]
+            place = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
+            found[at] = known[place] == hashes[at]
         return found
 
     def search(self, text: str | None) -> dict:

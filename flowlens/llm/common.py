@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.session import shared_dir, stage
 
-__all__ = ["SPACE", "broadcast_below", "crc_of_id", "group_key", "let", "shared_dir", "shared_path",
+__all__ = ["SPACE", "broadcast_below", "broadcast_hint", "crc_of_id", "group_key", "let", "shared_dir", "shared_path",
            "small_batches", "spread_rows", "stage", "table", "text_of", "words_of"]
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -56,8 +56,13 @@ def broadcast_below(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
 
     Beyond it the planner picks a shuffle join, whose hot keys adaptive execution splits.
     """
+    return broadcast_hint(df, row_bytes, limit)(df)
+
+
+def broadcast_hint(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> Callable[[DataFrame], DataFrame]:
+    """The hint, or none, for all tables of at most as many rows as ``df``, which is counted once."""
     most = limit // row_bytes
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast if df.limit(most + 1).count() <= most else lambda side: side
 
 
 def shared_path(spark: SparkSession, label: str) -> str:

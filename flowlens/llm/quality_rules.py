@@ -6,11 +6,12 @@ the three quarters of its documents that lie closest together; documents far off
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowlens.llm.common import broadcast_below, group_key, let, spread_rows, stage, text_of, words_of
+from flowlens.llm.common import broadcast_hint, group_key, let, spread_rows, stage, text_of, words_of
 
 LEAST_WORDS = 50
 #: Share of a group that the covariance is taken from, and steps to find it.
@@ -144,14 +145,14 @@ def _whiten(moments: DataFrame) -> DataFrame:
     return df.select("lang_key", "key", *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in _pairs()))
 
 
-def _shrunk(moments: DataFrame) -> DataFrame:
+def _shrunk(moments: DataFrame, hint=F.broadcast) -> DataFrame:
     """Sums of a group with those of its language, scaled to ``PRIOR`` documents, and so on to the corpus."""
     sums = ["n", *(f"s{i}" for i in range(P)), *(f"s{i}{j}" for i, j in _pairs())]
     langs = moments.groupBy("lang_key").agg(*(F.sum(c).alias(c) for c in sums))
     corpus = langs.agg(*(F.sum(c).alias(f"c_{c}") for c in sums))  # one row
     langs = langs.crossJoin(F.broadcast(corpus)).select("lang_key", *(
         (F.col(c) + PRIOR * F.col(f"c_{c}") / F.col("c_n")).alias(f"l_{c}") for c in sums))
-    return moments.join(broadcast_below(langs, GROUP_BYTES), "lang_key").select("lang_key", "key", *(
+    return moments.join(hint(langs), "lang_key").select("lang_key", "key", *(
         (F.col(c) + PRIOR * F.col(f"l_{c}") / F.col("l_n")).alias(c) for c in sums))
 
 
@@ -162,14 +163,14 @@ def _moments(rows: DataFrame) -> DataFrame:
         *(F.sum(x[i] * x[j]).alias(f"s{i}{j}") for i, j in _pairs()))
 
 
-def _at(rows: DataFrame, params: DataFrame) -> DataFrame:
+def _at(rows: DataFrame, params: DataFrame, hint=F.broadcast) -> DataFrame:
     """Rows with their group's estimate and distance; no shuffle while the groups fit a broadcast."""
-    met = rows.join(broadcast_below(params.drop("lang_key"), GROUP_BYTES), "key")
+    met = rows.join(hint(params.drop("lang_key")), "key")
     return met.withColumn("d", _distance())
 
 
-def estimate(rows: DataFrame) -> DataFrame:
-    """Per group: centre m_i and factor w_ij, so that distances follow chi-square on regular documents.
+def estimate(rows: DataFrame) -> tuple[DataFrame, Callable]:
+    """The estimates, and the hint for joins with them, for which groups are counted once. Per group: centre m_i and factor w_ij, so that distances follow chi-square on regular documents.
 
     ``rows`` has lang_key, key and x_0.. of the documents to learn from. Each step counts distances in
     cells, takes the documents within the core share, and sums their moments: two aggregates that
@@ -178,21 +179,22 @@ def estimate(rows: DataFrame) -> DataFrame:
     """
     cell = F.floor(DISTANCE_CELLS * F.log2(1 + F.col("d"))).cast("int").alias("cell")
     params = stage(_start(rows), "mcd")
+    hint = broadcast_hint(params, GROUP_BYTES)
     for _ in range(STEPS):
-        at = _at(rows, params).withColumn("cell", cell)
+        at = _at(rows, params, hint).withColumn("cell", cell)
         core = stage(_quantiles(at.groupBy("key", "cell").agg(F.count("*").alias("n")), ["key"], "cell", [CORE]), "core")
-        inside = at.join(broadcast_below(core, 48), "key").where("cell <= q0")
-        params = stage(_whiten(_shrunk(stage(_moments(inside), "moments"))), "mcd")
-    at = _at(rows, params).withColumn("cell", cell)
+        inside = at.join(hint(core), "key").where("cell <= q0")
+        params = stage(_whiten(_shrunk(stage(_moments(inside), "moments"), hint)), "mcd")
+    at = _at(rows, params, hint).withColumn("cell", cell)
     core = stage(_quantiles(at.groupBy("key", "cell").agg(F.count("*").alias("n")), ["key"], "cell", [CORE]), "core")
     scale = (F.pow(F.lit(2.0), (F.col("q0") + 1) / DISTANCE_CELLS) - 1) / chi_square(CORE, P)
     cut = chi_square(0.975, P)
-    inside = at.join(broadcast_below(core, 48), "key").where(F.col("d") <= cut * F.greatest(scale, F.lit(1.0)))
+    inside = at.join(hint(core), "key").where(F.col("d") <= cut * F.greatest(scale, F.lit(1.0)))
     # the covariance of what lies inside the cut is too small by this
     factor = (0.975 / chi_square_share(cut, P + 2)) ** -0.5
-    params = _whiten(_shrunk(stage(_moments(inside), "moments")))
+    params = _whiten(_shrunk(stage(_moments(inside), "moments"), hint))
     return stage(params.select("lang_key", "key", *(f"m{i}" for i in range(P)), *(
-        (F.col(f"w{i}{j}") * factor).alias(f"w{i}{j}") for i, j in _pairs())), "mcd")
+        (F.col(f"w{i}{j}") * factor).alias(f"w{i}{j}") for i, j in _pairs())), "mcd"), hint
 
 
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -204,9 +206,9 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     rows = rows.withColumn("failed", base_failed(F.col("stats")))
     rows = stage(rows.select("*", *(v.alias(f"x{i}") for i, v in enumerate(vector(F.col("stats"))))), "rules")
     regular = rows.where("not failed").select("lang_key", "key", *(f"x{i}" for i in range(P)))
-    params = estimate(regular).drop("lang_key")
+    params, hint = estimate(regular)
     # a group whose documents all fail has no estimate; its rows fail anyhow
-    return rows.join(broadcast_below(params, GROUP_BYTES), "key", "left").withColumn("d", _distance())
+    return rows.join(hint(params.drop("lang_key")), "key", "left").withColumn("d", _distance())
 
 
 def _kept() -> Column:

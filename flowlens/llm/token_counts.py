@@ -18,8 +18,9 @@ REMEMBERED = 1 << 17
 
 
 def read_pieces(path: str = VOCABULARY) -> tuple[list[str], list[str]]:
-    """Pieces that start words, and pieces that go on, from a sentencepiece model file.
+    """Pieces that start words, without their mark, and pieces that go on, from a sentencepiece model file.
 
+    The mark alone is a piece too, here the empty text: it starts words that no longer piece does.
     Control and byte pieces stand for no characters and are left out. The driver reads the file; its
     size bounds what is sent to the workers.
     """
@@ -31,7 +32,7 @@ def read_pieces(path: str = VOCABULARY) -> tuple[list[str], list[str]]:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or not piece:
             continue
         if piece.startswith(WORD_START):
-            if len(piece) > 1 and WORD_START not in piece[1:]:
+            if WORD_START not in piece[1:]:
                 first.append(piece[1:])
         elif WORD_START not in piece:
             later.append(piece)
@@ -43,7 +44,9 @@ class LongestMatch:
 
     Two tries share one array of nodes: node 0 starts words, node 1 goes on. When a node has no edge
     for a character, the pieces that longest match would have cut by then are popped: how many is
-    precomputed, as is the node that stands for the characters left over, the failure link.
+    precomputed, as is the node that stands for the characters left over, the failure link. Node 0
+    stands for the mark of a word's start: an empty text in ``first`` makes it a piece, which fails over
+    to node 1.
     """
 
     def __init__(self, first: list[str], later: list[str]):
@@ -61,6 +64,8 @@ class LongestMatch:
                     at = nxt
                 final[at] = final[at] or bool(piece)
         self.fail, self.pops = [-1] * len(self.edges), [0] * len(self.edges)
+        if "" in first:
+            self.fail[0], self.pops[0] = 1, 1
         queue = [0, 1]
         for u in queue:  # grows as it is read: nodes by depth
             for c, v in self.edges[u].items():

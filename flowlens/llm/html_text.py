@@ -188,7 +188,8 @@ def weights_of(counts: dict) -> dict[str, float]:
 def best_region(parts: list[Part], weights: dict[str, float]) -> tuple[int, int]:
     """First and one past the last part of the contiguous run of the highest score, in one linear scan.
 
-    Words in noise score below zero. Of equal runs the first, and of those the longest, is taken.
+    Words in noise score below zero; ``main_text`` passes no noise. Of equal runs the first, and of those
+    the longest, is taken.
     """
     best, low, high, start, total = 0.0, 0, 0, 0, 0.0
     usual = weights.get("w:*", LEAST_WORD)
@@ -231,8 +232,10 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     parts = tokenize(page)
-    low, high = best_region(parts, weights)
-    return render(parts[low:high])
+    # noise is never rendered, so it may not part what stands before it from what stands after it
+    scored = [i for i, p in enumerate(parts) if not p.noise]
+    low, high = best_region([parts[i] for i in scored], weights)
+    return render(parts[scored[low]:scored[high - 1] + 1]) if low < high else ""
 
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:

@@ -70,6 +70,17 @@ def test_region_is_the_best_of_all(weights):
         assert abs(sum(scores[low:high]) - best) < 1e-9
 
 
+@pytest.mark.parametrize("noise", [
+    "<div class=ad>{}</div>", "<aside><h2>{}</h2><ul><li>{}</li></ul></aside>", "<form><p>{}</p><input></form>",
+    "<div class='related'><p>{}</p><div><p>{}</p></div></div>", "<nav><ol><li><a href=#a>{}</a></li></ol></nav>"])
+@pytest.mark.parametrize("element", ["article", "div"])
+def test_noise_inside_the_article_does_not_cut_it(weights, noise, element):
+    inner = noise.replace("{}", prose(99, 400))
+    page = PAGE.replace("{main}", f"<{element}><h1>A short head</h1>{inner}<p>The long middle of it.</p>{inner}<p>The end.</p></{element}>")
+    assert html_text.main_text(page, weights) == "A short head\nThe long middle of it.\nThe end."
+    assert html_text.main_text(f"<p>one{inner}two", weights) == "one\ntwo"
+
+
 def test_pages_query_handles_nulls_repeats_and_extra_columns(spark):
     rows = [(1, "http://a", PAGE.replace("{main}", ARTICLE)), (2, None, None), (None, "http://b", ""), (3, "http://c", "<p>x</p>"),
             (3, "http://c", "<p>x</p>")]

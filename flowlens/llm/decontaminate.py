@@ -151,7 +151,8 @@ class BenchmarkIndex:
         """{item: (similarity, start word, words, differing bits)}: the best, first window of each item.
 
         A window that reaches the similarity shares at least ``need`` shingles with its item, so only
-        windows with so many benchmark shingles are fingerprinted; this leaves out none.
+        windows with so many benchmark shingles are fingerprinted; this leaves out none. A text of fewer
+        words than the item is one window, which must share the similarity's part of the item's shingles.
         """
         words = plain_words(text)
         best: dict = {}
@@ -166,7 +167,11 @@ class BenchmarkIndex:
             count = np.concatenate([[0], np.cumsum(anchors)])
             for size in self.sizes.values():
                 m = size.length - size.width + 1
-                if size.width != k or len(shingles) < m:
+                if size.width != k:
+                    continue
+                if len(shingles) < m:
+                    if count[-1] >= math.ceil(self.similarity * m - 1e-9):
+                        self._piece(np.zeros(1, dtype=np.int64), shingles, words, size, len(shingles), best)
                     continue
                 starts = np.flatnonzero(count[m:] - count[:-m] >= size.need)
                 for lo in range(0, len(starts), PIECE):
@@ -191,7 +196,7 @@ class BenchmarkIndex:
             if same >= self.similarity - 1e-12:
                 key, was = size.ids[i], best.get(size.ids[i])
                 if was is None or same > was[0] or same == was[0] and start < was[1]:
-                    best[key] = (same, start, size.length, int(apart))
+                    best[key] = (same, start, min(size.length, len(words) - start), int(apart))
 
 
 def item_blocks(items: DataFrame, limit: int = ITEM_BLOCK_BYTES) -> list[list[tuple]]:
@@ -209,10 +214,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     """(doc_id, item_id, similarity, start_word, n_words, bits_apart) of every document and item that match.
 
     An item matches if a window of as many words as it has reaches the weighted-shingle similarity:
-    ``width`` words to a shingle, or all of a shorter item; weights are the shingles' counts. The best
-    window is told, the first of equals. ``docs`` needs doc_id and text, ``items`` item_id and text;
-    other columns are ignored. Null or empty texts match nothing and items without a word are left
-    out. Each copy of a repeated row has its own results; repeated item ids are told once, the better.
+    ``width`` words to a shingle, or all of a shorter item; weights are the shingles' counts. A text of
+    fewer words than the item is compared as a whole. The best window is told, the first of equals.
+    ``docs`` needs doc_id and text, ``items`` item_id and text; other columns are ignored. Null or empty
+    texts match nothing and items without a word are left out. Each copy of a repeated row has its own
+    results; repeated item ids are told once, the better.
     Documents are never shuffled: items go to the workers in blocks of ``ITEM_BLOCK_BYTES``.
     """
     narrow = spread_rows(docs).select("doc_id", "text")

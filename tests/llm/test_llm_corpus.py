@@ -228,6 +228,22 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.drop_leaks(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_texts_shorter_than_an_item_are_compared_whole(spark):
+    """Cut at either end, word by word: the whole text against the item by all its shingles."""
+    item = prose(7, 59).split()
+    cuts = {n: item[n:] for n in range(1, 20)} | {100 + n: item[:-n] for n in range(1, 20)} | {200: item[3:-4], 201: item[1:4], 202: item}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in cuts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, prose(8, 40))], "item_id long, text string")
+    plain = lambda w: re.sub(r"[!-/:-@\[-`{-~]", "", " ".join(w).lower()).split()
+    bag = lambda w: collections.Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+    same = {i: sum((bag(plain(w)) & bag(plain(item))).values()) / sum((bag(plain(w)) | bag(plain(item))).values()) for i, w in cuts.items()}
+    want = {(i, 1): (pytest.approx(s), 0, len(cuts[i])) for i, s in same.items() if s >= 0.8}
+    assert len(want) > 20
+    out = decontaminate.find_leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in out} == want
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == {i for i, s in same.items() if s < 0.8}
+
+
 def test_blocks_miss_no_close_fingerprint():
     pick = random.Random(1)
     index = decontaminate.SizeIndex(5, 5, 1, [0] * 40, [[b"w"] * 5] * 40)

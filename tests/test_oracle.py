@@ -36,6 +36,12 @@ def test_no_verdict_is_constant(spark, sf_dir, name, columns):
         assert 0.05 <= sum(r.detected for r in rows) / sum(r.windows for r in rows) <= 0.5
 
 
+def test_gaps_cover_every_window_model(spark, sf_dir):
+    from flowlens.operators.models import SEQUENCE_SETTINGS
+    found = {r.model for r in QUERIES["train_test_gaps"].run(spark, sf_dir).collect()}
+    assert found == {"RandomForest", "Logistic", *SEQUENCE_SETTINGS}
+
+
 def test_actions_meet_and_miss_incidents(spark, sf_dir):
     assert {r.found for r in QUERIES["action_join"].run(spark, sf_dir).select("found").distinct().collect()} == {True, False}
     assert QUERIES["root_cause"].run(spark, sf_dir).count() > 0

@@ -50,3 +50,23 @@ win AS (SELECT doc_id, item_id, n, start, CAST(sum(c) AS DOUBLE) / (2 * m - sum(
 SELECT doc_id, item_id, similarity, CAST(start AS INTEGER) AS start_word, CAST(n AS INTEGER) AS n_words
 FROM win WHERE similarity >= {SIMILARITY}
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
+
+
+def hard_negatives_sql() -> str:
+    return """
+WITH c AS (SELECT CAST(vec_id AS BIGINT) AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id AS other, a.label = b.label AS same,
+             CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM c a JOIN c b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM (
+    SELECT anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score, CAST(row_number() OVER (
+        PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+WHERE rank <= 5"""

@@ -70,3 +70,27 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
     FROM p JOIN s USING (anchor_id)
     WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
 WHERE rank <= 5"""
+
+
+def collocations_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+               translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, [x for x in string_split_regex(piece, '[\\x20\\x09]+') if x <> ''] AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a
+      FROM w, unnest(range(1, 6)) q(m), unnest(range(1, len(w) - m + 2)) r(i) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cut AS (SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, n,
+               (CAST(1000 AS HUGEINT) * c.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS score
+        FROM c CROSS JOIN unnest(range(1, c.m)) q(k) JOIN n ON n.lang = c.lang
+        JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+        JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:c.m], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c b ON s.lang = b.lang AND s.m < b.m AND 100 * b.a >= 100 * s.a
+           AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' '))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n,
+       CAST(score AS BIGINT) AS score
+FROM best ANTI JOIN inside USING (lang, phrase)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) <= 2000"""

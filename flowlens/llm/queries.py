@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import (collocations, decontaminate, hard_negatives, html_text, kneser_ney, license_scan, mixing, quality_model,
-                          quality_rules, simhash, token_counts, toxicity)
+from flowlens.llm import (collocations, decontaminate, hard_negatives, html_text, kneser_ney, license_scan, mixing,
+                          personal_data, quality_model, quality_rules, simhash, token_counts, toxicity)
 from flowlens.llm.common import table
 from flowlens.llm.oracle import collocations_sql, hard_negatives_sql, leaks_sql, license_sql
 
@@ -57,6 +57,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -65,7 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_main_text, op2_decontaminate, op3_token_counts, op4_quality_rules, op5_mix_sources,
         op6_simhash_dedup, op7_quality_model, op8_toxicity, op9_kneser_ney, op10_license_scan,
-        op11_collocations, op13_hard_negatives)}
+        op11_collocations, op12_personal_data, op13_hard_negatives)}
 
 ORACLE_SQL: dict[str, str] = {"op2_decontaminate": leaks_sql(), "op10_license_scan": license_sql(),
                               "op11_collocations": collocations_sql(), "op13_hard_negatives": hard_negatives_sql()}

@@ -55,9 +55,9 @@ def test_queries_agree_with_their_sql(spark, sf_dir, name):
 
 def test_every_operator_has_a_query_over_its_table(spark, sf_dir):
     import __spark_entry__
-    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 14))
     assert set(__spark_entry__.queries()) >= {"pipeline", *QUERIES}
     n = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "pages")}
     for name in ("op1_main_text", "op3_token_counts", "op4_quality_rules", "op5_mix_sources", "op6_simhash_dedup",
-                 "op7_quality_model", "op8_toxicity", "op9_kneser_ney"):
+                 "op7_quality_model", "op8_toxicity", "op9_kneser_ney", "op12_personal_data"):
         assert QUERIES[name](spark, sf_dir).count() == n["pages" if name == "op1_main_text" else "documents"], name

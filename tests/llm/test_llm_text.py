@@ -93,68 +93,50 @@ def test_pages_query_handles_nulls_repeats_and_extra_columns(spark):
 
 # ---------------------------------------------------------------- token counts
 
-def naive_pieces(word: str, first: set, later: set) -> int:
-    at = n = 0
+def marked_pieces(word: str, vocabulary: set) -> int:
+    """Greedy longest match over the word with its mark in front; the pieces keep theirs."""
+    word, at, n = "▁" + word, 0, 0
     while at < len(word):
-        known = first if at == 0 else later
-        end = next((e for e in range(len(word), at, -1) if word[at:e] in known), None)
+        end = next((e for e in range(len(word), at, -1) if word[at:e] in vocabulary and "▁" not in word[max(at, 1):e]), None)
         if end is None:
             return 0
         at, n = end, n + 1
     return n
 
 
-def test_automaton_equals_longest_match_with_pieces():
-    import random
-    pick = random.Random(7)
-    for _ in range(120):
-        piece = lambda: "".join(pick.choice("abc") for _ in range(pick.randrange(1, 5)))
-        first, later = ([piece() for _ in range(pick.randrange(1, 9))] for _ in range(2))
-        machine = token_counts.LongestMatch(first, later)
-        for _ in range(60):
-            word = "".join(pick.choice("abc") for _ in range(pick.randrange(1, 14)))
-            assert machine.count(word) == naive_pieces(word, set(first), set(later)), (word, first, later)
+def public_vocabulary() -> set:
+    """Read here, not by the operator."""
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=token_counts.VOCABULARY)
+    return {model.id_to_piece(i) for i in range(model.get_piece_size())
+            if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
 
 
 def test_token_counts_of_the_public_vocabulary(spark, sf_dir):
-    first, later = (set(p) for p in token_counts.read_pieces())
+    vocabulary = public_vocabulary()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in token_counts.count_tokens(docs).collect():
         words = WORD.findall(texts[r.doc_id])
-        n = [naive_pieces(w, first, later) for w in words]
+        n = [marked_pieces(w, vocabulary) for w in words]
         assert (r.n_words, r.n_tokens, r.n_unknown) == (len(words), sum(x or 1 for x in n), sum(not x for x in n))
 
 
-def marked_pieces(word: str, vocabulary: set) -> int:
-    """Greedy longest match over the word with its mark in front; the pieces keep theirs."""
-    word, at, n = "▁" + word, 0, 0
-    while at < len(word):
-        end = next((e for e in range(len(word), at, -1) if word[at:e] in vocabulary and "▁" not in word[max(at, 1):e]), None)
-        if end is None:
-            return 0
-        at, n = end, n + 1
-    return n
-
-
 def test_bare_word_start_is_a_piece():
     import random
     pick = random.Random(8)
     for _ in range(120):
         piece = lambda: "".join(pick.choice("abc") for _ in range(pick.randrange(1, 5)))
         first, later = ([piece() for _ in range(pick.randrange(0, 9))] for _ in range(2))
-        machine = token_counts.LongestMatch([*first, ""], later)
-        for _ in range(60):
-            word = "".join(pick.choice("abc") for _ in range(pick.randrange(1, 14)))
-            assert machine.count(word) == marked_pieces(word, {"▁", *("▁" + x for x in first), *later}), (word, first, later)
+        for bare in (["▁"], []):
+            machine = token_counts.LongestMatch([*first, *("" for _ in bare)], later)
+            for _ in range(60):
+                word = "".join(pick.choice("abc") for _ in range(pick.randrange(1, 14)))
+                assert machine.count(word) == marked_pieces(word, {*bare, *("▁" + x for x in first), *later}), (word, first, later)
 
 
 def test_words_without_a_start_piece_are_cut(spark):
-    """The vocabulary is read here, not by the operator."""
-    import sentencepiece
-    model = sentencepiece.SentencePieceProcessor(model_file=token_counts.VOCABULARY)
-    vocabulary = {model.id_to_piece(i) for i in range(model.get_piece_size())
-                  if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    vocabulary = public_vocabulary()
     words = ["ñandu", "中国人民", "the", "stone", "ñ", "Übermut", "x" * 300, "▁", "a▁b"]
     n = [marked_pieces(w, vocabulary) for w in words]
     assert n[0] == 4 and n[1] == 5

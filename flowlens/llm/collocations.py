@@ -1,13 +1,13 @@
 """Phrase mining over occurrence relations: merge-join neighbours, count groups, keep the frequent, extend.
 
-The relation of length k holds, sorted by piece and position, every place where a phrase of k words whose
-parts are frequent stands. It is kept in chunks of whole documents, written once and read by the next step:
+The relation of length k holds, sorted by piece and position, every place where a frequent phrase of k words
+stands. It is kept in chunks of whole documents, written once and read by the next step:
 
-1. count: each chunk's distinct phrases with their counts go, packed, to shards of the phrases' hash range;
-   a shard adds up equal ones and answers every chunk which of its phrases are frequent (a semi-join in which
-   nothing is broadcast and no phrase is a large group: it is one entry per chunk);
-2. extend: the occurrences of frequent phrases are merge-joined with those one place further in their piece,
-   which gives the occurrences of length k + 1.
+1. extend and count: occurrences are merge-joined with those one place further in their piece, which gives the
+   candidates of k + 1 words; each chunk's distinct ones with their counts go, packed, to shards of the
+   phrases' hash range, where equal ones are added up;
+2. keep: a shard answers every chunk which of its candidates are frequent (a semi-join in which nothing is
+   broadcast and no phrase is a large group: it is one entry per chunk), and their occurrences are written.
 
 The frequent phrases with their counts are then an ordinary table, and scores, the choice of the cut, what is
 held in longer phrases and the ranks are joins and aggregates over it.
@@ -31,7 +31,7 @@ TOP = 2000
 #: Words of a chunk, which a worker holds, and text of a shard, whose counts a worker holds. For a corpus of
 #: many TB raise both with the workers' memory.
 CHUNK_TOKENS = 1 << 20
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 MOST_SHARDS = 1 << 14
 #: Languages of a chunk.
 MOST_LANGS = 1 << 14
@@ -42,17 +42,18 @@ _MARK = b"\xff"
 _CUT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _MARK * 10 + b" ")
 
 _LEVEL = ("chunk string, length int, positions binary, phrases binary, members binary, lexicon binary, langs binary, "
-          "names array<string>, parts array<struct<shard: int, start: int, keys: binary, counts: binary>>, "
-          "found array<struct<lang: string, phrase: string, words: int, n: bigint>>")
+          "names array<string>, found array<struct<lang: string, phrase: string, words: int, n: bigint>>")
+_SENT = "chunk string, shard int, start int, keys binary, counts binary"
 
 
 # ---------------------------------------------------------------- packing
 
 def _packed(values: np.ndarray) -> bytes:
-    """Byte planes apart, compressed."""
-    values = np.ascontiguousarray(values)
-    planes = values.view(np.uint8).reshape(len(values), -1).T if len(values) else values.view(np.uint8)
-    return f"{values.dtype.str} {len(values)}\n".encode() + zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    """As few bytes as the largest value needs, byte planes apart, compressed."""
+    size = next(k for k in (1, 2, 4, 8) if not len(values) or k == 8 or int(values.max()) < 1 << 8 * k)
+    values = np.ascontiguousarray(values.astype(f"<u{size}"))
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), size).T)
+    return f"<u{size} {len(values)}\n".encode() + zstandard.compress(planes.tobytes(), 3)
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
@@ -78,76 +79,78 @@ def phrase_keys(members: np.ndarray, word_keys: np.ndarray) -> np.ndarray:
     return key
 
 
-def _parts(keys: np.ndarray, counts: np.ndarray, bits: int) -> list[dict]:
-    """A chunk's phrases, which are in the order of their keys, by shard."""
-    shards = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    edges = np.flatnonzero(np.diff(shards, prepend=-1)) if len(keys) else []
-    return [{"shard": int(shards[low]), "start": int(low), "keys": _packed(np.diff(keys[low:high], prepend=np.uint64(0))),
-             "counts": _packed(counts[low:high].astype(np.uint32))} for low, high in zip(edges, [*edges[1:], len(keys)])]
-
-
 class Chunk:
-    """Occurrences of the phrases of one length in some documents.
+    """Occurrences of phrases of one length in some documents.
 
     ``positions`` rise, with one left free between pieces; ``phrases`` are row numbers of ``members``, which
-    holds the phrases as numbers of words in ``lexicon``; ``langs`` has each word's place in ``names``.
+    holds the phrases as numbers of words in ``lexicon``; ``langs`` has each word's place in ``names``. A
+    chunk of length 0 is that of the words as they stand, of which nothing is known yet.
     """
 
-    def __init__(self, name, positions, phrases, members, lexicon: list[bytes], langs, names: list[str]):
-        self.name, self.positions, self.phrases, self.members = name, positions, phrases, members
+    def __init__(self, name, length, positions, phrases, members, lexicon: list[bytes], langs, names: list[str]):
+        self.name, self.length, self.positions, self.phrases, self.members = name, length, positions, phrases, members
         self.lexicon, self.langs, self.names = lexicon, langs, names
 
-    def row(self, bits: int, found: list[dict]) -> pa.RecordBatch:
-        seeds = [xxhash.xxh64_intdigest(n.encode("utf-8", "surrogatepass")) for n in self.names]
-        words = np.fromiter((xxhash.xxh64_intdigest(w, seeds[k]) for w, k in zip(self.lexicon, self.langs.tolist())),
-                            np.uint64, len(self.lexicon))
-        keys = phrase_keys(self.members, words)
-        order = np.argsort(keys)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        phrases = place[self.phrases]
+    def row(self, found: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist([{
-            "chunk": self.name, "length": self.members.shape[1], "names": self.names,
-            "positions": _packed(np.diff(self.positions, prepend=np.uint32(0))), "phrases": _packed(phrases.astype(np.uint32)),
-            "members": _packed(self.members[order].reshape(-1).astype(np.uint32)),
-            "lexicon": zstandard.compress(b" ".join(self.lexicon), 1), "langs": _packed(self.langs.astype(np.uint16)),
-            "parts": _parts(keys[order], np.bincount(phrases, minlength=len(order)), bits), "found": found}], schema=_SCHEMA)
+            "chunk": self.name, "length": self.length, "names": self.names, "found": found,
+            "positions": _packed(np.diff(self.positions, prepend=0)), "phrases": _packed(self.phrases),
+            "members": _packed(self.members.reshape(-1)), "lexicon": zstandard.compress(b" ".join(self.lexicon), 3),
+            "langs": _packed(self.langs)}], schema=_SCHEMA)
 
     @staticmethod
     def of(row: dict) -> "Chunk":
         words = zstandard.decompress(row["lexicon"])
-        return Chunk(row["chunk"], np.cumsum(_unpacked(row["positions"]), dtype=np.uint32), _unpacked(row["phrases"]).astype(np.int64),
-                     _unpacked(row["members"]).astype(np.int64).reshape(-1, row["length"]),
-                     words.split(b" ") if words else [], _unpacked(row["langs"]), row["names"])
+        whole = lambda name: _unpacked(row[name]).astype(np.int64)
+        return Chunk(row["chunk"], row["length"], np.cumsum(whole("positions")), whole("phrases"),
+                     whole("members").reshape(-1, max(row["length"], 1)), words.split(b" ") if words else [], whole("langs"), row["names"])
 
     def phrase(self, members) -> str:
         return b" ".join(self.lexicon[w] for w in members).decode("utf-8", "surrogatepass")
 
-    def extended(self, frequent: np.ndarray) -> "Chunk":
-        """Occurrences one word longer whose first and last part are both frequent, by a merge of neighbours."""
+    def candidates(self) -> tuple["Chunk", np.ndarray]:
+        """Occurrences one word longer, by a merge of neighbours, and the phrases' keys, in whose order phrases are."""
+        if self.length == 0:
+            positions, phrases, members = self.positions, self.phrases, self.members
+        else:
+            next_to = np.flatnonzero(np.diff(self.positions) == 1)
+            positions = self.positions[next_to]
+            pairs, phrases = np.unique(self.phrases[next_to] * len(self.members) + self.phrases[next_to + 1], return_inverse=True)
+            first, second = np.divmod(pairs, max(len(self.members), 1))
+            members = np.hstack([self.members[first], self.members[second][:, -1:]])
+        seeds = [xxhash.xxh64_intdigest(n.encode("utf-8", "surrogatepass")) for n in self.names]
+        words = np.fromiter((xxhash.xxh64_intdigest(w, seeds[k]) for w, k in zip(self.lexicon, self.langs.tolist())),
+                            np.uint64, len(self.lexicon))
+        keys = phrase_keys(members, words)
+        order = np.argsort(keys)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return Chunk(self.name, self.length + 1, positions, place[phrases], members[order], self.lexicon, self.langs, self.names), keys[order]
+
+    def only(self, frequent: np.ndarray) -> "Chunk":
+        """The occurrences of some phrases, which are numbered anew, the most frequent first."""
         kept = frequent[self.phrases]
-        positions, phrases = self.positions[kept], self.phrases[kept]
-        next_to = np.flatnonzero(np.diff(positions) == 1)
-        pair = phrases[next_to] * len(self.members) + phrases[next_to + 1]
-        pairs, new = np.unique(pair, return_inverse=True)
-        first, second = np.divmod(pairs, max(len(self.members), 1))
-        members = np.hstack([self.members[first], self.members[second][:, -1:]])
-        used, renamed = np.unique(members, return_inverse=True)
-        return Chunk(self.name, positions[next_to], new, renamed.reshape(members.shape),
+        phrases = self.phrases[kept]
+        count = np.bincount(phrases, minlength=len(self.members))
+        order = np.argsort(-count, kind="stable")[:np.count_nonzero(count)]
+        place = np.zeros(len(self.members), np.int64)
+        place[order] = np.arange(len(order))
+        own = self.members[order]
+        used, members = np.unique(own, return_inverse=True)
+        return Chunk(self.name, self.length, self.positions[kept], place[phrases], members.reshape(own.shape),
                      [self.lexicon[w] for w in used], self.langs[used], self.names)
 
 
 _SCHEMA = pa.schema([
     ("chunk", pa.string()), ("length", pa.int32()), *((c, pa.binary()) for c in ("positions", "phrases", "members", "lexicon", "langs")),
     ("names", pa.list_(pa.string())),
-    ("parts", pa.list_(pa.struct([("shard", pa.int32()), ("start", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))),
     ("found", pa.list_(pa.struct([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])))])
 
 
 # ---------------------------------------------------------------- steps
 
-def _first_level(bits: int, chunk_tokens: int):
-    """Documents to chunks: the relation of single words. Between pieces a position is left free."""
+def _words(chunk_tokens: int):
+    """Documents to chunks of the words as they stand. Between pieces a position is left free."""
     def chunk(lexicons, texts):
         names = list(lexicons)
         first = np.cumsum([0, *(len(lexicons[n]) - 1 for n in names)])
@@ -158,10 +161,11 @@ def _first_level(bits: int, chunk_tokens: int):
             numbers += [np.where(word, own + first[names.index(lang)], -1), np.array([-1])]
         flat = np.concatenate(numbers)
         at = np.flatnonzero(flat >= 0)
-        out = Chunk(uuid.uuid4().hex, at.astype(np.uint32), flat[at], np.arange(first[-1])[:, None],
+        out = Chunk(uuid.uuid4().hex, 0, at, flat[at], np.arange(first[-1])[:, None],
                     [w for n in names for w in list(lexicons[n])[1:]], np.repeat(np.arange(len(names)), np.diff(first)), names)
+        out = out.only(np.ones(first[-1], bool))
         # a language's number of words is that of the phrase of none
-        return out.row(bits, [{"lang": lang, "phrase": "", "words": 0, "n": n} for lang, n in sizes.items()])
+        return out.row([{"lang": lang, "phrase": "", "words": 0, "n": n} for lang, n in sizes.items()])
 
     def run(batches):
         lexicons, texts, held = {}, [], 0
@@ -179,51 +183,69 @@ def _first_level(bits: int, chunk_tokens: int):
     return run
 
 
+def _chunks(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            yield row, *Chunk.of(row).candidates()
+
+
+def _send(bits: int):
+    """The candidates of each chunk, by shard, in the order of their keys."""
+    def run(batches):
+        for _, chunk, keys in _chunks(batches):
+            counts = np.bincount(chunk.phrases, minlength=len(keys))
+            shards = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+            edges = np.flatnonzero(np.diff(shards, prepend=-1)) if len(keys) else []
+            spans = list(zip(edges, [*edges[1:], len(keys)]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk.name] * len(spans), pa.string()), pa.array([int(shards[a]) for a, _ in spans], pa.int32()),
+                 pa.array([int(a) for a, _ in spans], pa.int32()),
+                 pa.array([_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()),
+                 pa.array([_packed(counts[a:b]) for a, b in spans], pa.binary())], names=["chunk", "shard", "start", "keys", "counts"])
+    return run
+
+
 def _count_shard(least: int):
-    """Add up the counts of a shard and tell every chunk which of its phrases are frequent.
+    """Add up the counts of a shard and tell every chunk which of its candidates are frequent.
 
     The chunk that comes first with a frequent phrase also gets its count, so that one of them tells it.
     """
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("chunk")
         keys = [np.cumsum(_unpacked(b.as_py()), dtype=np.uint64) for b in rows["keys"]]
-        counts = np.concatenate([_unpacked(b.as_py()) for b in rows["counts"]])
+        counts = np.concatenate([_unpacked(b.as_py()) for b in rows["counts"]]).astype(np.int64)
+        edges = np.cumsum([0, *map(len, keys)])
         _, owner, same = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         total = np.zeros(len(owner), np.int64)
-        np.add.at(total, same, counts.astype(np.int64))
+        np.add.at(total, same, counts)
         own = np.zeros(len(same), bool)
         own[owner] = True
-        frequent = total[same] >= least
-        edges = np.cumsum([0, *map(len, keys)])
+        total = total[same]
         out = []
         for chunk, start, low, high in zip(rows["chunk"].to_pylist(), rows["start"].to_pylist(), edges, edges[1:]):
-            hit = frequent[low:high]
+            hit = total[low:high] >= least
             if hit.any():
                 told = np.flatnonzero(hit & own[low:high])
-                out.append((chunk, _packed(start + np.flatnonzero(hit)), _packed(start + told), _packed(total[same[low:high][told]])))
+                out.append((chunk, _packed(start + np.flatnonzero(hit)), _packed(start + told), _packed(total[low:high][told])))
         columns = list(zip(*out)) or [()] * 4
         return pa.table({"chunk": pa.array(columns[0], pa.string()), **{
             name: pa.array(c, pa.binary()) for name, c in zip(("hits", "told", "n"), columns[1:])}})
     return run
 
 
-def _next_level(bits: int, longest: int):
-    """Chunks with their answers to chunks one word longer, and the frequent phrases that they have to tell."""
+def _keep():
+    """Chunks with their answers to the occurrences that stay, and the frequent phrases that a chunk has to tell."""
     def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                chunk = Chunk.of(row)
-                frequent = np.zeros(len(chunk.members), bool)
-                found = []
-                for answer in row["answers"]:
-                    frequent[_unpacked(answer["hits"])] = True
-                    found += [{"lang": chunk.names[chunk.langs[chunk.members[p, 0]]], "phrase": chunk.phrase(chunk.members[p]),
-                               "words": row["length"], "n": int(n)}
-                              for p, n in zip(_unpacked(answer["told"]).tolist(), _unpacked(answer["n"]).tolist())]
-                if row["length"] == longest:
-                    frequent[:] = False
-                yield chunk.extended(frequent).row(bits, found)
+        for row, chunk, _ in _chunks(batches):
+            frequent = np.zeros(len(chunk.members), bool)
+            found = []
+            for answer in row["answers"]:
+                frequent[_unpacked(answer["hits"]).astype(np.int64)] = True
+                found += [{"lang": chunk.names[chunk.langs[chunk.members[p, 0]]], "phrase": chunk.phrase(chunk.members[p]),
+                           "words": chunk.length, "n": int(n)}
+                          for p, n in zip(_unpacked(answer["told"]).tolist(), _unpacked(answer["n"]).tolist())]
+            yield chunk.only(frequent).row(found)
     return run
 
 
@@ -237,16 +259,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = L
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_SHARDS, max(1, total // SHARD_BYTES)).bit_length() - 1
     narrow = spread_rows(docs).select(F.coalesce("lang", F.lit("und")).alias("lang"), text_of("text").alias("text"))
-    level = stage(narrow.mapInArrow(_first_level(bits, chunk_tokens), _LEVEL), "occurrences")
-    found = []
+    level = stage(narrow.mapInArrow(_words(chunk_tokens), _LEVEL), "occurrences")
+    found = [level.select(F.explode("found").alias("f")).select("f.*")]
     for _ in range(longest):
-        found.append(level.select(F.explode("found").alias("f")).select("f.*"))
-        sent = level.select("chunk", F.explode("parts").alias("p")).select("chunk", "p.*")
+        sent = level.drop("found").mapInArrow(_send(bits), _SENT)
         answers = sent.groupBy("shard").applyInArrow(_count_shard(least), "chunk string, hits binary, told binary, n binary")
         answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("hits", "told", "n")).alias("answers"))
-        chunks = level.drop("parts", "found").join(answers, "chunk")
-        level = stage(chunks.mapInArrow(_next_level(bits, longest), _LEVEL), "occurrences")
-    found.append(level.select(F.explode("found").alias("f")).select("f.*"))
+        level = stage(level.drop("found").join(answers, "chunk").mapInArrow(_keep(), _LEVEL), "occurrences")
+        found.append(level.select(F.explode("found").alias("f")).select("f.*"))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from flowlens.llm.common import small_batches, spread_rows, text_of
 
@@ -225,41 +226,44 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     id_type = items.schema["item_id"].dataType.simpleString()
     schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {id_type}, similarity double, "
               "start_word int, n_words int, bits_apart int")
+    kind = to_arrow_type(items.schema["item_id"].dataType)
     found = None
     for block in item_blocks(items):
-        part = narrow.mapInArrow(_searcher(docs.sparkSession, block, similarity, radius, width), schema)
+        part = narrow.mapInArrow(_searcher(docs.sparkSession, block, similarity, radius, width, kind), schema)
         found = part if found is None else found.union(part)
     return found
 
 
-def _searcher(spark, block, similarity, radius, width, keep_clean=False):
+def _searcher(spark, block, similarity, radius, width, kind):
+    """Matches with item ids of Arrow type ``kind``; without one, the rows that match nothing."""
     shared = spark.sparkContext.broadcast(block)
 
     def run(batches):
         index = BenchmarkIndex(shared.value, width, similarity, radius)
         for batch in small_batches(batches):
-            if keep_clean:
-                clean = [not index.search(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            if kind is None:
+                clean = [not index.search(t) for t in batch.column("__text").to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
                 continue
             rows = [(i, item, *hit) for i, t in enumerate(batch.column(1).to_pylist())
                     for item, hit in index.search(t).items()]
             at, item, same, start, n, apart = zip(*rows) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, id_kind(item)),
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, kind),
                  pa.array(same, pa.float64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()),
                  pa.array(apart, pa.int32())],
                 names=["doc_id", "item_id", "similarity", "start_word", "n_words", "bits_apart"])
 
-    def id_kind(values):
-        return pa.string() if any(isinstance(v, str) for v in values) else pa.int64()
-
     return run
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS,
                width: int = WIDTH) -> DataFrame:
-    """Rows of ``docs`` in which no item is found (see ``find_leaks``), with all their columns."""
+    """Rows of ``docs`` in which no item is found (see ``find_leaks``), with all their columns.
+
+    Columns go by place meanwhile, so that none of their names clashes or needs quoting.
+    """
+    kept = docs.toDF(*("__text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)))
     for block in item_blocks(items):
-        docs = docs.mapInArrow(_searcher(docs.sparkSession, block, similarity, radius, width, True), docs.schema)
-    return docs
+        kept = kept.mapInArrow(_searcher(docs.sparkSession, block, similarity, radius, width, None), kept.schema)
+    return kept.toDF(*docs.columns)

@@ -8,6 +8,7 @@ files into memory and look keys up by binary search, so a model isn't bounded by
 
 from __future__ import annotations
 
+import glob
 import os
 import uuid
 from collections import OrderedDict
@@ -111,18 +112,33 @@ def write_arrays(folder: str, shard: int, keys: np.ndarray, values: list[np.ndar
     os.replace(own, name)
 
 
+def written_shards(folder: str) -> dict[int, int]:
+    """Number of keys of each shard that has a file, as seen from here."""
+    out = {}
+    for name in glob.glob(f"{glob.escape(folder)}/*/*"):
+        if "." not in os.path.basename(name):
+            with open(name, "rb") as file:
+                out[int(os.path.basename(name), 16)] = int(np.fromfile(file, np.uint64, 1)[0])
+    return out
+
+
 class HashArrays:
     """Sorted key arrays with value columns, one memory-mapped file per shard of the hash range."""
 
-    def __init__(self, folder: str, bits: int, columns: int):
+    def __init__(self, folder: str, bits: int, columns: int, written: frozenset[int]):
         self.folder, self.bits, self.columns, self.open = folder, bits, columns, OrderedDict()
+        #: Shards that have a file; the others hold no key.
+        self.written = written
 
     def _shard(self, shard: int):
         if shard in self.open:
             self.open.move_to_end(shard)
             return self.open[shard]
         known, values = np.zeros(0, np.uint64), np.zeros((self.columns, 0))
-        if os.path.exists(name := _file(self.folder, shard)):
+        if shard in self.written:
+            name = _file(self.folder, shard)
+            if not os.path.exists(name):
+                raise FileNotFoundError(f"{name} isn't seen here: spark.checkpoint.dir must be mounted on all workers")
             data = np.memmap(name, dtype=np.uint8, mode="r")
             n, size = (int(x) for x in data[:16].view(np.uint64))
             known = data[16:16 + 8 * n].view(np.uint64)
@@ -159,10 +175,12 @@ class Model:
     vocabulary: int
     types: int
     word_rest: float
+    pair_shards: frozenset[int] = frozenset()
+    word_shards: frozenset[int] = frozenset()
 
     def arrays(self) -> tuple[HashArrays, HashArrays]:
-        return (HashArrays(f"{self.folder}/pairs", self.bits, 1),
-                HashArrays(f"{self.folder}/words", self.bits, len(FIELDS)))
+        return (HashArrays(f"{self.folder}/pairs", self.bits, 1, self.pair_shards),
+                HashArrays(f"{self.folder}/words", self.bits, len(FIELDS), self.word_shards))
 
     def score(self, tokens: list[np.ndarray], arrays) -> dict[str, np.ndarray]:
         """Per text: n_tokens, n_known, base_score and score."""
@@ -334,7 +352,11 @@ def train(docs: DataFrame) -> Model:
     after = [of[f"after{k}"] for k in range(1, 6)]
     word_d = discounts(after[:4])
     rest = (word_d[0] * after[0] + word_d[1] * after[1] + word_d[2] * sum(after[2:])) / of["types"] if of["types"] else 1.0
-    return Model(folder, bits, pair_d, word_d, of["tokens"], of["words"], of["types"], rest)
+    found, lexicon = written_shards(f"{folder}/pairs"), written_shards(f"{folder}/words")
+    if sum(found.values()) != of["types"] or len(lexicon) != sums.count():
+        raise FileNotFoundError(f"{folder} lacks arrays that workers wrote: spark.checkpoint.dir must be a folder that is "
+                                "mounted on driver and executors")
+    return Model(folder, bits, pair_d, word_d, of["tokens"], of["words"], of["types"], rest, frozenset(found), frozenset(lexicon))
 
 
 # ---------------------------------------------------------------- scoring

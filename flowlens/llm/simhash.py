@@ -87,8 +87,9 @@ def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     Fingerprints are dealt by each mask. In a block of at most ``crowd`` of them every pair is
     compared. In a larger one, each fingerprint names itself and its neighbours at one bit outside
     the mask; two within distance two share such a name, and all who share one are within two, so a
-    star to the least is enough. Thus rows stay linear in the fingerprints and none is left out.
-    Radius is 0, 1 or 2 for this reason.
+    star to the least is enough. At radius 1 a name ties those who name it to the fingerprint that it is,
+    if there is one. Thus rows stay linear in the fingerprints and none is left out. Radius is 0, 1 or 2
+    for this reason; at 0 distinct fingerprints have no links.
     """
     if not 0 <= radius <= 2 or blocks <= radius:
         raise ValueError("radius must be 0, 1 or 2, and there must be more blocks than that")
@@ -113,9 +114,13 @@ def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
                                                    *(F.lit(f).cast("bigint") for f in free))).otherwise(flips)
     names = (met.where(F.col("n") > crowd).select("fp", "mask", F.explode(flips).alias("flip"))
              .select("fp", "mask", fp.bitwiseXOR(F.col("flip")).alias("name")))
+    if radius < 2:
+        present = met.where(F.col("n") > crowd).select("mask", F.col("fp").alias("name"))
+        many = (names.join(present, ["mask", "name"]).where((F.col("fp") != F.col("name")) & F.lit(radius == 1))
+                .select(F.least("fp", "name").alias("u"), F.greatest("fp", "name").alias("v")))
+        return few.union(many).distinct()
     least = names.groupBy("mask", "name").agg(F.min("fp").alias("u"), F.max("fp").alias("w")).where("u < w")
-    many = (names.join(least, ["mask", "name"]).where("fp > u").select("u", F.col("fp").alias("v"))
-            .where(differ(F.col("u"), F.col("v")) <= radius))
+    many = names.join(least, ["mask", "name"]).where("fp > u").select("u", F.col("fp").alias("v"))
     return few.union(many).distinct()
 
 
@@ -153,7 +158,6 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WID
     stays, and of wholly equal rows one. All columns are kept as they are; needs doc_id and text.
     """
     tie = F.xxhash64("text")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), tie.alias("h"))
     keys = {"none": F.col("doc_id").isNull(), "id": F.col("doc_id"), "h": tie}
     prints = stage(with_fingerprint(docs, keys, width=width), "fingerprints")
     own = prints.groupBy("fp", "none", "id", "h").agg(F.count("*").alias("n"))
@@ -162,12 +166,13 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WID
     copies = (prints.select(F.struct("none", "id", "h").alias("first")).groupBy("first")
               .agg(F.count("*").alias("n")))
     stay = stage(firsts.join(copies, "first"), "stay").select(F.col("first").alias("__r"), F.col("n").alias("__n"))
-    marked = docs.withColumn("__rank", rank)
+    # columns go by place, so that none of their names clashes or needs quoting
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    doc_id, text = (plain[f"c{docs.columns.index(c)}"] for c in ("doc_id", "text"))
     # a rank is never null itself, so null ids meet by its fields
-    same = (marked["__rank"]["none"] == stay["__r"]["none"]) & marked["__rank"]["id"].eqNullSafe(stay["__r"]["id"]) & (
-        marked["__rank"]["h"] == stay["__r"]["h"])
-    single = marked.join(stay.where("__n = 1"), same, "left_semi").drop("__rank")
-    if not stay.where("__n > 1").limit(1).count():
-        return single
-    twins = marked.join(stay.where("__n > 1"), same, "left_semi").drop("__rank").dropDuplicates(["doc_id", "text"])
-    return single.union(twins)
+    same = (doc_id.isNull() == F.col("__r.none")) & doc_id.eqNullSafe(F.col("__r.id")) & (F.xxhash64(text) == F.col("__r.h"))
+    single = plain.join(stay.where("__n = 1"), same, "left_semi")
+    if stay.where("__n > 1").limit(1).count():
+        twins = plain.join(stay.where("__n > 1"), same, "left_semi")
+        single = single.union(twins.dropDuplicates([f"c{docs.columns.index(c)}" for c in ("doc_id", "text")]))
+    return single.toDF(*docs.columns)

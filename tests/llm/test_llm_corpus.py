@@ -78,6 +78,41 @@ def test_links_of_crowded_blocks(spark, crowd):
     assert plain_components(prints, [tuple(r) for r in links]) == plain_components(prints, every)
 
 
+@pytest.mark.parametrize("crowd", [1, 2, 48])
+@pytest.mark.parametrize("radius", [0, 1, 2])
+def test_links_of_every_radius(spark, radius, crowd):
+    pick = random.Random(radius)
+    prints = {15, 14, 12, 11, 0, 1 << 62, *(pick.getrandbits(3) << 40 | 7 for _ in range(9)), *(1 << pick.randrange(9) | 255 << 20 for _ in range(7))}
+    links = simhash.near_links(spark.createDataFrame([(x,) for x in prints], "fp long"), radius=radius, crowd=crowd).collect()
+    every = [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= radius]
+    assert {tuple(r) for r in links} <= {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= max(radius, 0)}
+    assert plain_components(prints, [tuple(r) for r in links]) == plain_components(prints, every)
+
+
+def with_odd_names(docs):
+    for name in ("__rank", "__r", "__n", "__text", "a.b", "c0", "c5", "w`x"):
+        docs = docs.withColumn(name, F.lit(name))
+    return docs
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = with_odd_names(docs_of(spark, awkward_rows()))
+    items = spark.createDataFrame([(1, awkward_rows()[3][1])], "item_id int, text string")
+    for out in (simhash.drop_near_duplicates(docs), decontaminate.drop_leaks(docs, items)):
+        assert out.columns == docs.columns and out.schema == docs.schema
+        rows = out.collect()
+        assert rows and all(tuple(r)[5:] == tuple(docs.columns[5:]) for r in rows)
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "string", "smallint", "decimal(9,0)"])
+def test_item_ids_of_any_type(spark, kind):
+    rows = [r for r in awkward_rows() if r[0] == 3]
+    items = spark.createDataFrame([(7, rows[0][1]), (8, "nothing of the kind")], "item_id int, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    out = decontaminate.find_leaks(docs_of(spark, rows), items)
+    assert out.schema["item_id"].dataType == items.schema["item_id"].dataType
+    assert [str(r.item_id) for r in out.collect()] == ["7"] * len(rows)
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     rows = [r for r in awkward_rows() if r[0] is not None]
     out = simhash.near_duplicates(docs_of(spark, awkward_rows(), extra=True))
@@ -406,6 +441,19 @@ def test_nothing_to_learn_from(spark):
     assert tuple(r)[1:] == (True, 4, 0, 0, 0.0, 0.0)
 
 
+def test_missing_arrays_are_an_error(spark, tmp_path):
+    import os
+    docs = docs_of(spark, [(None, prose(i, 60), "en", "s", None) for i in range(3)])
+    model = kneser_ney.train(docs)
+    for kind in ("pairs", "words"):
+        name = kneser_ney._file(f"{model.folder}/{kind}", 0)
+        os.rename(name, f"{name}.away")
+        with pytest.raises(FileNotFoundError):
+            model.score([kneser_ney.token_hashes("the of")], model.arrays())
+        os.rename(f"{name}.away", name)
+    assert model.score([kneser_ney.token_hashes("the of")], model.arrays())["score"][0] < 0
+
+
 def test_probabilities_sum_to_one(spark):
     docs = docs_of(spark, [(None, prose(i, 60), "en", "s", None) for i in range(20)])
     model = kneser_ney.train(docs)

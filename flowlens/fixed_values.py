@@ -59,6 +59,8 @@ UNDERFIT_ROC = 0.75
 # --- fixed values: boosted trees (rounds, step, feature share, rows per leaf) ----------
 POSITIVE_WEIGHT = 4.0
 TREE_DEPTH, TREE_ROW_SHARE = 5, 0.8
+# Rounds without a lower validation loss after which a setting stops.
+EARLY_STOPPING = {"CatBoost": 30}
 TREE_SETTINGS = {
     "XGBoost": (350, 0.035, "0.8", 4),
     "CatBoost": (400, 0.040, "all", 1),

@@ -12,7 +12,7 @@ from flowlens import fixed_values as fv
 from flowlens.functions.numeric import sigmoid
 from flowlens.functions.text import explain_query
 from flowlens.functions.vectors import let
-from flowlens.operators.retrieval import HybridIndex, hybrid_retrieve
+from flowlens.operators.retrieval import BlockIndex, hybrid_retrieve
 from flowlens.operators.windows import STATISTICS, WINDOW_KEY, statistic_columns, vote
 from flowlens.session import broadcast_if_small, stage
 
@@ -117,7 +117,7 @@ def detection_texts(scored: DataFrame, n: int = 3,
     return hits.withColumn("query_id", explain_query(F.transform("top_features", lambda s: s["name"])))
 
 
-def explain_detections(scored: DataFrame, index: HybridIndex, catalogue: DataFrame,
+def explain_detections(scored: DataFrame, index: BlockIndex, catalogue: DataFrame,
                        n: int = 3, threshold: float = fv.DETECT_THRESHOLD) -> DataFrame:
     """Detected windows with top features, matching threat and hybrid score.
 

@@ -1,28 +1,27 @@
-"""BM25, TF-IDF, latent semantic analysis and their blend.
+"""BM25, TF-IDF and nearest vectors; the blend with latent vectors is in ``blocks``.
 
-Two shapes occur. A *catalogue* is a small set of documents (its size is checked) matched by
-any number of query rows: its index is broadcast and each query row gets an array of scores,
-so nothing grows with queries times documents. A *corpus* is large and searched by a smaller
-set of queries: only tokens that some query uses leave the scan.
+Two shapes occur. A *catalogue* is matched by any number of query rows: a small one is broadcast
+and each query row gets an array of scores, a larger one is met block by block. A *corpus* is large
+and searched by a smaller set of queries: only tokens that some query uses leave the scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens import fixed_values as fv
 from flowlens.functions.text import whitespace_tokens, with_bigrams, word_tokens
 from flowlens.functions.vectors import dot, first_max, l2_normalise, min_max
+from flowlens.operators.blocks import BlockIndex, Blend, build_blocks, join_on_term, retrieve, term_hashes
+from flowlens.operators.latent import LatentModel, arrays_of, counted, fit_latent, latent_embedding, lookup
 from flowlens.session import broadcast_if_small, is_small, stage
 
+__all__ = ["BlockIndex", "LatentModel", "fit_latent", "latent_embedding", "build_hybrid_index", "hybrid_retrieve"]
+
 CATALOGUE_LIMIT = 256
 TERM_SALTS = 64
 
@@ -41,11 +40,9 @@ def corpus_size(lengths: DataFrame) -> Column:
                                 F.avg("dl").alias("avg"))).scalar()
 
 
-def document_frequency(lengths: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def document_frequency(lengths: DataFrame) -> DataFrame:
     """Documents per term. Each document lists a term once, so a plain count is enough."""
     terms = lengths.select(F.explode(F.array_distinct("tokens")).alias("term"))
-    if only is not None:
-        terms = terms.join(only, "term", "left_semi")
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -71,35 +68,55 @@ def bm25_weight(tf: Column, dl: Column, avg: Column, idf: Column, k1: float = fv
 def bm25_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """``(query_id, doc_id, bm25)`` for pairs that share a term.
 
-    Tokens outside the query vocabulary are dropped before anything moves. The one shuffle
-    brings the remaining tokens of a document together; term counts, the join with the
-    queries and the sums all reuse it. If the queries are too many to broadcast, the term
-    join is salted, because one term may hold a large part of all tokens.
+    Documents are tokenised once: the counts of terms that some query uses are written with the
+    documents' lengths. Document counts, their number and the matches are read from there. Terms are
+    64-bit hashes. Frequent ones, of the documents as of the queries, never gather in a task (see
+    ``join_on_term``).
     """
-    lengths = document_lengths(docs)
-    size = corpus_size(lengths)
-    wanted = (queries.select("query_id", F.explode(whitespace_tokens(F.col("text"))).alias("term"))
-              .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
-    vocabulary = wanted.select("term").distinct()
-    small = is_small(wanted)
-    known = document_frequency(lengths, F.broadcast(vocabulary) if small else vocabulary)
-    idf = known.select("term", bm25_idf(F.col("df"), size["n"]).alias("idf"))
-    wanted = wanted.join(idf, "term")
-    tokens = lengths.select("doc_id", "dl", F.explode("tokens").alias("term"))
-    tokens = tokens.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
-    tf = (tokens.repartition("doc_id").groupBy("doc_id", "dl", "term")
-          .agg(F.count(F.lit(1)).alias("tf")))
-    if small:
-        pairs = tf.join(F.broadcast(wanted), "term")
+    wanted = stage(queries.select("query_id", F.explode(term_hashes(F.col("text"))).alias("term"))
+                   .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")), "query-terms")
+    vocabulary = stage(wanted.select("term").distinct(), "query-vocabulary")
+    lengths = docs.select("doc_id", F.coalesce(term_hashes(F.col("text")), F.array().cast("array<bigint>")).alias("tokens"))
+    lengths = lengths.select("doc_id", F.size("tokens").alias("dl"), "tokens")
+    if is_small(vocabulary):
+        lengths = stage(only_terms(lengths, vocabulary), "document-terms")
+        tf = lengths.select("doc_id", "dl", F.explode("found").alias("f")).select("doc_id", "dl", "f.term", "f.tf")
     else:
-        salted = wanted.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
-        pairs = tf.withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(TERM_SALTS))).join(
-            salted, ["term", "_salt"])
+        lengths = stage(lengths, "tokens")
+        each = stage(lengths.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term")
+                     .agg(F.count(F.lit(1)).alias("tf")), "document-terms")
+        tf = stage(join_on_term(each, vocabulary), "known-terms")
+    size = corpus_size(lengths)
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = stage(df.select("term", bm25_idf(F.col("df"), size["n"]).alias("idf")), "idf")
+    weights = stage(join_on_term(wanted, idf), "query-weights")
     score = F.col("qtf") * bm25_weight(F.col("tf"), F.col("dl"), size["avg"], F.col("idf"))
+    if is_small(weights):
+        pairs = tf.join(F.broadcast(weights), "term")
+    else:
+        salted = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
+        pairs = tf.withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(TERM_SALTS))).join(salted, ["term", "_salt"])
     return pairs.groupBy("query_id", "doc_id").agg(F.sum(score).alias("bm25"))
 
 
+def only_terms(lengths: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(doc_id, dl, found)``: terms of a small, proven vocabulary with their counts, made where the document lies."""
+    hashes = lengths.sparkSession.sparkContext.broadcast([r["term"] for r in vocabulary.collect()] or [0])
+    kind = lengths.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        known, place = lookup(hashes.value)
+        for batch in batches:
+            text, at, tf = counted(arrays_of(batch.column(2)), known, place)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))]).astype(np.int32)
+            entry = pa.StructArray.from_arrays([pa.array(np.array(hashes.value, np.int64)[at]), pa.array(tf.astype(np.int64))],
+                                               names=["term", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), entry)],
+                                             names=["doc_id", "dl", "found"])
+
+    return lengths.mapInArrow(run, f"doc_id {kind}, dl int, found array<struct<term: bigint, tf: bigint>>")
+
+
 def best_match(matches: DataFrame, score: str, digits: int = 6) -> DataFrame:
     """Best document per query; the lowest id on ties of the rounded score."""
     rank = F.struct(F.round(score, digits), -F.col("doc_id"))
@@ -155,81 +172,33 @@ def tfidf(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return raw.select("doc_id", "term", "tf", "idf", (F.col("_w") / length).alias("weight"))
 
 
-@dataclass(frozen=True)
-class LatentModel:
-    """Term directions of a truncated SVD: at most 500 terms by at most 5 components."""
-
-    terms: tuple[str, ...]
-    idf: tuple[float, ...]
-    components: tuple[tuple[float, ...], ...]
-
-    @property
-    def rank(self) -> int:
-        return len(self.components[0]) if self.components else 0
-
-    def frame(self, spark) -> DataFrame:
-        rows = [(t, i, [float(x) for x in c])
-                for t, i, c in zip(self.terms, self.idf, self.components)]
-        return spark.createDataFrame(rows, "term string, idf double, v array<double>")
-
+# ---------------------------------------------------------------- catalogue, many queries
 
-def _scatter(width: int):
-    """Positions and weights (at most ``width`` per document) to a dense array, by Arrow batch."""
-    @F.pandas_udf("array<double>")
-    def dense(at: pd.Series, weight: pd.Series) -> pd.Series:
-        out = np.zeros((len(at), width))
-        for row, (i, w) in enumerate(zip(at, weight)):
-            out[row, i] = w
-        return pd.Series(list(out))
-    return dense
+def build_hybrid_index(texts: DataFrame) -> BlockIndex:
+    """Index of a catalogue (doc_id, text) of any size."""
+    return build_blocks(texts)
 
 
-def fit_latent(docs: DataFrame, limit: int = fv.VOCABULARY_LIMIT) -> LatentModel:
-    """Truncated SVD of the TF-IDF rows.
+def hybrid_retrieve(queries: DataFrame, index: BlockIndex, lsa_weight: float = fv.LSA_WEIGHT,
+                    bm25_weight_: float = fv.BM25_WEIGHT) -> DataFrame:
+    """Best catalogue document per query with its three normalised scores.
 
-    The Gramian (vocabulary by vocabulary, at most 500 x 500) is added up on the executors in
-    one pass; its leading eigenvectors, taken on the driver, are the right singular vectors.
+    A query that matches nothing scores 0.5 throughout and falls to the first document;
+    ``matched`` tells it apart.
     """
-    terms = stage(vocabulary(docs, limit), "vocabulary")
-    weights = stage(tfidf(docs, terms), "tfidf")
-    idf = {r["term"]: r["idf"] for r in
-           weights.groupBy("term").agg(F.max("idf").alias("idf")).orderBy("term").collect()}
-    names = sorted(idf)
-    n_docs = docs.count()
-    k = max(min(fv.LSA_COMPONENTS, n_docs - 1, len(names) - 1), 1)
-    index = docs.sparkSession.createDataFrame(list(enumerate(names)), "i int, term string")
-    sparse = (weights.join(F.broadcast(index), "term").groupBy("doc_id")
-              .agg(F.collect_list(F.struct("i", "weight")).alias("m"))
-              .select("m.i", "m.weight"))
-    vectors = MLUtils.convertVectorColumnsFromML(
-        sparse.select(array_to_vector(_scatter(len(names))("i", "weight")).alias("v")), "v")
-    gram = RowMatrix(vectors).computeGramianMatrix().toArray()
-    v = np.linalg.eigh(gram)[1][:, ::-1][:, :k]
-    return LatentModel(tuple(names), tuple(float(idf[t]) for t in names),
-                       tuple(tuple(float(x) for x in row) for row in v))
-
-
-def latent_embedding(texts: DataFrame, model: LatentModel) -> DataFrame:
-    """Unit vectors ``(doc_id, v)``; a text without a known term gets the zero vector."""
-    table = model.frame(texts.sparkSession)
-    counts = (grams(texts).join(F.broadcast(table.select("term")), "term", "left_semi")
-              .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-              .join(F.broadcast(table), "term"))
-    w = (1.0 + F.ln("tf")) * F.col("idf")
-    sums = counts.groupBy("doc_id").agg(*[
-        F.sum(w * F.col("v")[i]).alias(f"c{i}") for i in range(model.rank)])
-    vec = F.array(*[F.coalesce(f"c{i}", F.lit(0.0)) for i in range(model.rank)])
-    return texts.select("doc_id").join(sums, "doc_id", "left").select(
-        "doc_id", l2_normalise(vec).alias("v"))
+    return retrieve(queries, index, Blend(lsa_weight, bm25_weight_))
 
 
-# ---------------------------------------------------------------- catalogue, many queries
+def bm25_best(queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, bm25_score, matched)`` with BM25 alone, one half of the blend.
 
-def catalogue_size(texts: DataFrame) -> int:
-    if not is_small(texts, CATALOGUE_LIMIT):
-        raise ValueError(f"a catalogue holds at most {CATALOGUE_LIMIT} documents; "
-                         "use bm25_matches for a corpus")
-    return texts.count()
+    Within the limit every query row gets its scores as an array; beyond it the blocks are met.
+    """
+    if is_small(texts, CATALOGUE_LIMIT):
+        n = texts.count()
+        return bm25_retrieve(queries, catalogue_terms(texts, n), n)
+    found = retrieve(queries, build_blocks(texts, with_latent=False), Blend(0.0, 1.0, digits=6))
+    return found.select("query_id", "doc_id", F.round("bm25_score", 6).alias("bm25_score"), "matched")
 
 
 def catalogue_terms(texts: DataFrame, n_docs: int) -> DataFrame:
@@ -264,49 +233,6 @@ def catalogue_bm25(queries: DataFrame, terms: DataFrame, n_docs: int) -> DataFra
     return sums.select("query_id", F.array(*[f"s{d}" for d in range(n_docs)]).alias("bm25"))
 
 
-@dataclass(frozen=True)
-class HybridIndex:
-    """BM25 terms and latent directions of a catalogue."""
-
-    n_docs: int
-    terms: DataFrame
-    latent: LatentModel
-    doc_vectors: tuple[tuple[float, ...], ...]
-
-
-def build_hybrid_index(texts: DataFrame) -> HybridIndex:
-    n_docs = catalogue_size(texts)
-    latent = fit_latent(texts)
-    vectors = {r["doc_id"]: tuple(r["v"]) for r in latent_embedding(texts, latent).collect()}
-    return HybridIndex(n_docs, stage(catalogue_terms(texts, n_docs), "terms"), latent,
-                       tuple(vectors[d] for d in range(n_docs)))
-
-
-def hybrid_retrieve(queries: DataFrame, index: HybridIndex,
-                    lsa_weight: float = fv.LSA_WEIGHT,
-                    bm25_weight_: float = fv.BM25_WEIGHT) -> DataFrame:
-    """Best catalogue document per query with its three normalised scores.
-
-    A query that matches nothing scores 0.5 throughout and falls to the first document;
-    ``matched`` tells it apart.
-    """
-    raw = catalogue_bm25(queries, index.terms, index.n_docs)
-    renamed = queries.select(F.col("query_id").alias("doc_id"), "text")
-    vectors = latent_embedding(renamed, index.latent).withColumnRenamed("doc_id", "query_id")
-    cosines = F.array(*[dot(F.col("v"), F.array(*map(F.lit, d))) for d in index.doc_vectors])
-    both = raw.join(vectors, "query_id").select("query_id", "bm25", cosines.alias("cosine"))
-    both = both.select(
-        "query_id", (F.array_max("bm25") > 0).alias("matched"),
-        min_max(F.col("bm25")).alias("b"), min_max(F.col("cosine")).alias("l"))
-    both = both.withColumn("h", F.zip_with("l", "b", lambda l, b: l * F.lit(lsa_weight)
-                                           + b * F.lit(bm25_weight_)))
-    best = first_max(F.col("h"))
-    return both.select("query_id", (best - 1).alias("doc_id"),
-                       F.element_at("b", best).alias("bm25_score"),
-                       F.element_at("l", best).alias("lsa_score"),
-                       F.element_at("h", best).alias("hybrid_score"), "matched")
-
-
 def bm25_retrieve(queries: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:
     """Same with BM25 alone (one half of the blend)."""
     raw = catalogue_bm25(queries, terms, n_docs)
@@ -322,19 +248,32 @@ def bm25_retrieve(queries: DataFrame, terms: DataFrame, n_docs: int) -> DataFram
 def cosine_to_catalogue(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Cosine of every query vector to each catalogue vector: ``(query_id, label, cosine)``.
 
-    The catalogue (``label, v``; its size is checked) travels as a scalar array.
+    The catalogue (``label, v``) travels in arrays of at most ``CATALOGUE_LIMIT`` vectors, so that
+    only the cells, which are the result, grow with queries times catalogue.
     """
     return _cosine_arrays(queries, catalogue).select("query_id", F.explode("cells").alias("c")).select(
         "query_id", "c.label", "c.cosine")
 
 
 def _cosine_arrays(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """``(query_id, cells)``: label and cosine of each catalogue vector, by label."""
-    catalogue_size(catalogue)
-    docs = catalogue.agg(F.sort_array(F.collect_list(F.struct(
-        "label", l2_normalise(F.col("v")).alias("v")))).alias("docs")).scalar()
-    unit = queries.select("query_id", l2_normalise(F.col("v")).alias("q"), docs.alias("docs"))
-    return unit.select("query_id", F.transform("docs", lambda d: F.struct(
+    """``(query_id, cells)``: label and cosine of each vector of an array of the catalogue, by label.
+
+    A small catalogue is one array, and each query has one row; a larger one is dealt into arrays by the
+    hash of the label, each of which meets each query.
+    """
+    unit = catalogue.select(F.struct("label", l2_normalise(F.col("v")).alias("v")).alias("d"))
+    q = queries.select("query_id", l2_normalise(F.col("v")).alias("q"))
+    if is_small(catalogue, CATALOGUE_LIMIT):
+        docs = unit.agg(F.sort_array(F.collect_list("d")).alias("docs")).scalar()
+        both = q.select("query_id", "q", docs.alias("docs"))
+    else:
+        # a stated set of queries against blocks of the whole catalogue
+        n_blocks = -(-catalogue.count() // (CATALOGUE_LIMIT // 2))
+        part = F.pmod(F.xxhash64("d.label"), F.lit(n_blocks)).alias("part")
+        docs = stage(unit.groupBy(part).agg(F.sort_array(F.collect_list("d")).alias("docs")), "vectors")
+        each = q.withColumn("part", F.explode(F.expr(f"sequence(0L, {n_blocks - 1}L)")))
+        both = each.join(broadcast_if_small(docs, CATALOGUE_LIMIT), "part")
+    return both.select("query_id", F.transform("docs", lambda d: F.struct(
         d["label"].alias("label"), dot(F.col("q"), d["v"]).alias("cosine"))).alias("cells"))
 
 
@@ -346,5 +285,9 @@ def nearest_in_catalogue(queries: DataFrame, catalogue: DataFrame, digits: int =
     cells = _cosine_arrays(queries, catalogue).select("query_id", F.transform("cells", lambda c: F.struct(
         c["label"].alias("label"), F.round(c["cosine"], digits).alias("cosine"))).alias("cells"))
     best = first_max(F.transform("cells", lambda c: c["cosine"]))
-    return cells.select("query_id", F.element_at("cells", best).alias("c")).select(
-        "query_id", "c.label", "c.cosine")
+    found = cells.select("query_id", F.element_at("cells", best).alias("c"))
+    if not is_small(catalogue, CATALOGUE_LIMIT):
+        least = F.min(F.struct((-F.col("c.cosine")).alias("far"), F.col("c.label").alias("label")))
+        found = found.groupBy("query_id").agg(least.alias("m")).select(
+            "query_id", F.struct(F.col("m.label").alias("label"), (-F.col("m.far")).alias("cosine")).alias("c"))
+    return found.select("query_id", "c.label", "c.cosine")

@@ -354,9 +354,7 @@ def bm25_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical half of the retrieval on whole document texts."""
     catalogue = threat_catalogue(spark)
     texts = catalogue_text(catalogue)
-    n = R.catalogue_size(texts)
-    found = R.bm25_retrieve(documents(spark, sf_dir).withColumnRenamed("doc_id", "query_id"),
-                            R.catalogue_terms(texts, n), n)
+    found = R.bm25_best(documents(spark, sf_dir).withColumnRenamed("doc_id", "query_id"), texts)
     return found.withColumnRenamed("doc_id", "idx").join(F.broadcast(catalogue), "idx").select(
         "query_id", "threat_id", "bm25_score", "matched")
 
@@ -382,11 +380,10 @@ EXPLAINED = (*SALIENT, saliency_sql(3), catalogue_values(), """qt AS (
 def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalogue = threat_catalogue(spark)
     texts = catalogue_text(catalogue)
-    n = R.catalogue_size(texts)
     scored = scored_flows(spark, sf_dir).withColumn("p", F.round("p", 6))
     hits = stage(explain.detection_texts(scored, 3, 0.5).select(*KEY, "query_id"), "explained")
     distinct = hits.select("query_id").distinct().withColumn("text", F.col("query_id"))
-    best = R.bm25_retrieve(distinct, R.catalogue_terms(texts, n), n).withColumnRenamed("doc_id", "idx")
+    best = R.bm25_best(distinct, texts).withColumnRenamed("doc_id", "idx")
     best = best.join(F.broadcast(catalogue.select("idx", "threat_id")), "idx").drop("idx")
     return hits.join(broadcast_if_small(stage(best, "matched-texts")), "query_id").select(
         *KEY, F.col("query_id").alias("query"), "threat_id", "bm25_score", "matched")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Largest side that may be broadcast. Checked with a bounded count, never assumed.
 BROADCAST_ROW_LIMIT = 200_000
+# Most bytes of a side that is collected to be sent to every worker; summed up before.
+BROADCAST_BYTES = 32 << 20
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,

@@ -13,7 +13,7 @@ from flowlens import fixed_values as fv
 from flowlens.functions.numeric import to_number
 from flowlens.functions.timeparse import parse_time, pick_format
 from flowlens.functions.vectors import first_max, l2_normalise, min_max
-from flowlens.operators import explain, metrics as M, models, ordering, retrieval as R, windows as W
+from flowlens.operators import blocks, explain, metrics as M, models, ordering, retrieval as R, windows as W
 from flowlens.operators.quality import audit_days, find_label_column, find_timestamp_column
 from flowlens.operators.selection import allowed_columns, kept_features
 
@@ -161,6 +161,7 @@ def test_bm25_matches_brute_force_both_ways(spark, monkeypatch, small):
     docs = {i: " ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for i in range(60)}
     queries = {0: "the the w1", 1: "w2 w3 w4 w5", 2: "nothing"}
     monkeypatch.setattr(R, "is_small", lambda df, limit=0: small)
+    monkeypatch.setattr(blocks, "is_small", lambda df, limit=0: small)
     got = R.bm25_matches(spark.createDataFrame(list(queries.items()), "query_id int, text string"),
                          spark.createDataFrame(list(docs.items()), "doc_id int, text string")).collect()
     for q, text in queries.items():
@@ -219,13 +220,10 @@ def test_feature_names_are_padded(spark):
         models.build("none")
 
 
-def test_missing_split_and_catalogue_bound(spark):
+def test_missing_split(spark):
     labels = spark.createDataFrame([("train", 1)], "split string, y int")
     with pytest.raises(ValueError, match="val"):
         W.require_splits(W.split_summary(labels))
-    many = spark.range(R.CATALOGUE_LIMIT + 1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
-    with pytest.raises(ValueError, match="at most"):
-        R.catalogue_size(many)
 
 
 def test_hash_sample_larger_than_group_and_zero(spark):

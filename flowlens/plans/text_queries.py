@@ -11,6 +11,7 @@ from flowlens.operators import explain, retrieval as R
 from flowlens.operators.windows import WINDOW_KEY
 from flowlens.plans.flow_queries import (MODEL, PARAMS, SCALED, SCALES, WINDOWED, model_sql,
                                          scored_flows)
+from flowlens.plans.latent_sql import hybrid_sql
 from flowlens.plans.registry import query, with_ctes
 from flowlens.session import broadcast_if_small, spread, stage
 from flowlens.sources.catalogue import catalogue_text, threat_catalogue
@@ -298,23 +299,6 @@ def feature_name_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.name_importances(means, KEY, names)
 
 
-@query("hybrid_retrieve")
-def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text matched against the threat catalogue by the blended score."""
-    index = R.build_hybrid_index(catalogue_text(threat_catalogue(spark)))
-    texts = documents(spark, sf_dir).withColumnRenamed("doc_id", "query_id")
-    return R.hybrid_retrieve(texts, index)
-
-
-@query("map_threat")
-def map_threat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Same on the benchmark texts, projected to the threat."""
-    catalogue = threat_catalogue(spark)
-    index = R.build_hybrid_index(catalogue_text(catalogue))
-    found = R.hybrid_retrieve(questions(spark, sf_dir), index).withColumnRenamed("doc_id", "idx")
-    return found.join(F.broadcast(catalogue), "idx").select("query_id", "threat_id", "title", "tactic")
-
-
 def catalogue_values() -> str:
     def q(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -359,7 +343,82 @@ def bm25_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id", "threat_id", "bm25_score", "matched")
 
 
-@query("explain_incidents")
+def hybrid_of(queries: str) -> tuple[str, ...]:
+    """CTEs of the blended retrieval of ``queries(query_id, text)`` from the catalogue, ending in ``hyb``."""
+    return (catalogue_values(), bm25_catalogue_sql(queries), hybrid_sql(queries, words_sql("text"), grams_sql("w")))
+
+
+BLENDED = """query_id, round(b, 5) AS bm25_score, round(l, 5) AS lsa_score, round(h, 5) AS hybrid_score, matched"""
+
+
+def _blended(found: DataFrame) -> DataFrame:
+    return found.withColumns({c: F.round(c, 5) for c in ("bm25_score", "lsa_score", "hybrid_score")})
+
+
+@query("hybrid_retrieve", with_ctes(
+    "qs AS (SELECT doc_id AS query_id, text FROM documents)", *hybrid_of("qs"),
+    body=f"SELECT CAST(idx AS BIGINT) AS doc_id, {BLENDED} FROM hyb"))
+def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text matched against the threat catalogue by the blended score."""
+    index = R.build_hybrid_index(catalogue_text(threat_catalogue(spark)))
+    texts = documents(spark, sf_dir).withColumnRenamed("doc_id", "query_id")
+    return _blended(R.hybrid_retrieve(texts, index))
+
+
+@query("hybrid_corpus")
+def hybrid_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text matched against all documents by the blended score."""
+    return _blended(R.hybrid_retrieve(questions(spark, sf_dir), R.build_hybrid_index(documents(spark, sf_dir))))
+
+
+def _threats(spark: SparkSession, queries: DataFrame) -> DataFrame:
+    catalogue = threat_catalogue(spark)
+    index = R.build_hybrid_index(catalogue_text(catalogue))
+    found = R.hybrid_retrieve(queries, index).withColumnRenamed("doc_id", "idx")
+    return found.join(F.broadcast(catalogue), "idx").select("query_id", "threat_id", "title", "tactic")
+
+
+@query("map_threat", with_ctes(
+    "qs AS (SELECT item_id AS query_id, text FROM benchmark)", *hybrid_of("qs"),
+    body="SELECT query_id, threat_id, title, tactic FROM hyb JOIN kb USING (idx)"))
+def map_threat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same on the benchmark texts, projected to the threat."""
+    return _threats(spark, questions(spark, sf_dir))
+
+
+EXPLANATIONS = (*SALIENT, saliency_sql(3), """qs AS (
+  SELECT DISTINCT text AS query_id, text FROM (
+    SELECT day, split, seq, replace(lower(string_agg(name, ' ' ORDER BY rn)), '_', ' ') AS text FROM top GROUP BY day, split, seq))""")
+
+
+def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct explanation texts of all scored windows."""
+    texts = explain.detection_texts(scored_flows(spark, sf_dir), 3, 0.0).select("query_id").distinct()
+    return stage(texts.withColumn("text", F.col("query_id")), "explanations")
+
+
+@query("hybrid_explained", with_ctes(*EXPLANATIONS, *hybrid_of("qs"), body=f"""
+SELECT threat_id, {BLENDED} FROM hyb JOIN kb USING (idx)"""))
+def hybrid_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every explanation text, which names features, matched by the blended score; both halves are real."""
+    catalogue = threat_catalogue(spark)
+    found = _blended(R.hybrid_retrieve(explanations(spark, sf_dir), R.build_hybrid_index(catalogue_text(catalogue))))
+    return found.withColumnRenamed("doc_id", "idx").join(F.broadcast(catalogue.select("idx", "threat_id")), "idx").drop("idx")
+
+
+@query("map_threat_explained", with_ctes(*EXPLANATIONS, *hybrid_of("qs"), body="""
+SELECT query_id, threat_id, title, tactic FROM hyb JOIN kb USING (idx)"""))
+def map_threat_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threats of the explanation texts."""
+    return _threats(spark, explanations(spark, sf_dir))
+
+
+@query("explain_incidents", with_ctes(*SALIENT, saliency_sql(3), """qt AS (
+  SELECT day, split, seq, y, p, replace(lower(string_agg(name, ' ' ORDER BY rn)), '_', ' ') AS query
+  FROM top GROUP BY day, split, seq, y, p)""", f"hits AS (SELECT * FROM qt WHERE p >= {fv.DETECT_THRESHOLD})",
+                                     "qs AS (SELECT DISTINCT query AS query_id, query AS text FROM hits)", *hybrid_of("qs"), body="""
+SELECT day, split, seq, y, round(p, 4) AS probability, query, threat_id, round(h, 4) AS hybrid_score, matched
+FROM hits JOIN hyb ON hyb.query_id = hits.query JOIN kb USING (idx)"""))
 def explain_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detected windows with their top features, threat and blended score in one plan."""
     catalogue = threat_catalogue(spark)

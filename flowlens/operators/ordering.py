@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.session import is_small, stage
 
-ORDER_BUCKETS = ("_slot", "_sub", "_us", "_tie")
-MINUTE, HUNDREDTH = 60_000_000, 10_000      # microseconds
-MIN_HOT_ROWS = 1_000_000            # a minute of fewer rows is never worth cutting
-HOT_SHARE = 4096.0                  # a minute or time stamp with more than 1/4096 of the rows is cut
-ROWS_PER_TIE_BUCKET = 1_000_000
-MIN_TIE_BUCKETS, MAX_TIE_BUCKETS = 32, 4096
+ORDER_BUCKETS = ("_slot", "_path")
+MINUTE = 60_000_000                 # microseconds
+BUCKET_ROWS = 1_000_000             # a bucket of more rows is cut, whatever share of all rows it is
+CUTS = 32                           # points at which a bucket is cut at once
+MOST_ROUNDS = 16                    # of cutting by one column
+MOST_LITERAL = 50_000               # crowded buckets whose cut points are broadcast
+CUT_SALTS = 64                      # for rows of more hot buckets than can be broadcast
 HASH_PREFIX = 4                     # hex digits: 65,536 hash buckets
 LOG_BUCKETS_PER_OCTAVE = 64
 SCORE_BUCKETS_PER_OCTAVE = 1024
@@ -69,55 +70,55 @@ def time_code(ts: str) -> Column:
     return minute * MINUTE + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
 
 
-def _cell(width: int) -> Column:
-    return ((F.col("_t") - F.pmod("_t", F.lit(width))) / width).cast("long")
+def order_buckets(df: DataFrame, ts: str, ties: Sequence[str], most: int | None = None) -> DataFrame:
+    """Adds ``ORDER_BUCKETS``, monotone in the time and the tie-breaks, of at most ``most`` rows each.
 
-
-def _among(column: str, values: Sequence[int]) -> Column:
-    """Membership in a literal set, looked up by hash in generated code."""
-    return F.expr(f"{column} IN ({', '.join(map(str, values))})") if values else F.lit(False)
-
-
-def order_buckets(df: DataFrame, ts: str, tie: str) -> DataFrame:
-    """Adds ``ORDER_BUCKETS``: integers that are monotone in ``(ts, tie)``.
-
-    The first is the minute. Only where a minute holds more than 1/4096 of all rows is it cut
-    further, into hundredths of a second, and only where one time stamp alone holds that many
-    is its hundredth cut into microseconds and its own rows by the tie-break. There are fewer
-    than 4,096 such minutes and time stamps by definition, so they can be read to the driver
-    and stand in the plan as literals. ``df`` is read once per step, time and tie-break only.
+    The first is the minute. A bucket of more rows is cut at points taken from its own values: of the time,
+    and, where one time stamp alone is too many, of the numeric tie-breaks one after the other. The second
+    column lists the pieces a row fell into. A value that is itself a cut point gets a piece of its own, so
+    every cut tells values apart, however they are spread, and cutting ends when all buckets are small or
+    hold one value of each column. Only counts, ends and cut points of crowded buckets are kept between
+    rounds; without a crowded minute there is one counting job.
     """
-    keyed = df.withColumn("_t", time_code(ts)).withColumn("_slot", _cell(MINUTE))
-    ends = df.agg(F.count(F.lit(1)), F.min(tie).cast("double"), F.max(tie).cast("double")).first()
-    n, lo, hi = ends[0], ends[1] or 0.0, ends[2] or 0.0
-    limit = max(n / HOT_SHARE, MIN_HOT_ROWS)
-
-    def crowded(rows: DataFrame, column: str) -> list[int]:
-        if n <= limit:
-            return []
-        found = rows.groupBy(column).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > limit)
-        return sorted(r[0] for r in found.select(column).collect())
-
-    minutes = crowded(keyed, "_slot")
-    stamps = crowded(keyed.where(_among("_slot", minutes)), "_t") if minutes else []
-    cells = sorted({t // HUNDREDTH for t in stamps})
-    parts = min(MAX_TIE_BUCKETS, max(MIN_TIE_BUCKETS, n // ROWS_PER_TIE_BUCKET))
-    share = (F.col(tie).cast("double") - F.lit(lo)) / F.lit(hi - lo + 1.0)
-    fine = keyed.withColumn("_cell", _cell(HUNDREDTH))
-    return fine.withColumns({
-        "_sub": F.when(_among("_slot", minutes), F.pmod("_cell", F.lit(MINUTE // HUNDREDTH)))
-        .otherwise(0).cast("int"),
-        "_us": F.when(_among("_cell", cells), F.pmod("_t", F.lit(HUNDREDTH))).otherwise(0).cast("int"),
-        "_tie": F.when(_among("_t", stamps), F.floor(share * parts)).otherwise(0).cast("int")})
+    most = most or BUCKET_ROWS
+    key = list(ORDER_BUCKETS)
+    minute = ((time_code(ts) - F.pmod(time_code(ts), F.lit(MINUTE))) / MINUTE).cast("long")
+    out = df.withColumns({"_slot": minute, "_path": F.array().cast("array<int>")})
+    kinds = dict(df.dtypes)
+    numeric = [c for c in ties if kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[c].startswith("decimal")]
+    points = F.array(*(F.lit((k + 1) / (CUTS + 1)) for k in range(CUTS)))
+    for value in (time_code(ts), *map(F.col, numeric)):
+        for _ in range(MOST_ROUNDS):
+            ends = out.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+            hot = ends.where((F.col("_n") > most) & (F.col("_lo") < F.col("_hi"))).select(*key)
+            found = hot.limit(MOST_LITERAL + 1).collect()
+            if not found:
+                break
+            few = len(found) <= MOST_LITERAL
+            hot = df.sparkSession.createDataFrame(found, hot.schema) if few else stage(hot, "crowded")
+            crowd = out.join(F.broadcast(hot), key) if few else _salted(out, hot, key, "inner")
+            cuts = stage(crowd.groupBy(*key).agg(F.array_distinct(F.percentile_approx(value, points, 10_000)).alias("_cuts")), "cuts")
+            out = out.join(F.broadcast(cuts), key, "left") if few else _salted(out, cuts, key, "left")
+            # twice the number of points below, one more on a point: so equal values share a piece
+            piece = F.size(F.filter("_cuts", lambda c: c < value)) * 2 + F.array_contains("_cuts", value).cast("int")
+            out = out.withColumn("_path", F.when(F.col("_cuts").isNotNull(), F.array_append("_path", piece)).otherwise(F.col("_path"))).drop("_cuts")
+    return out
+
+
+def _salted(rows: DataFrame, side: DataFrame, key: Sequence[str], how: str) -> DataFrame:
+    """Join of rows with one row a bucket, where the bucket's rows don't gather in a task."""
+    spread = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(CUT_SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*rows.columns[:-len(ORDER_BUCKETS)]), F.lit(CUT_SALTS)).cast("int")
+    return rows.withColumn("_salt", salt).join(spread, [*key, "_salt"], how).drop("_salt")
 
 
 def positional_index(df: DataFrame, by: Sequence[str], ts: str, ties: Sequence[str],
                      pos: str = "pos", total: str = "n") -> DataFrame:
     """Zero-based position of every row in its group by time, and the group size.
 
-    ``ties`` make the order total; the first one must be numeric.
+    ``ties`` make the order total; numeric ones can cut a crowded time stamp.
     """
-    keyed = order_buckets(df, ts, ties[0]).withColumn("_one", F.lit(1).cast("long"))
+    keyed = order_buckets(df, ts, ties).withColumn("_one", F.lit(1).cast("long"))
     out = running_totals(keyed, by, ORDER_BUCKETS, [F.col(ts), *map(F.col, ties)],
                          {"_upto": "_one"}, {total: "_one"})
     return (out.withColumn(pos, F.col("_upto") - 1)

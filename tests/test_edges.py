@@ -28,23 +28,46 @@ def test_split_cuts_are_truncated_double_products(spark, n, train, val):
     assert (train, train + val) == (int(n * 0.70), int(n * 0.85))
 
 
-@pytest.mark.parametrize("share", [4096.0, 8.0, 2.5])
-def test_position_with_a_hot_minute(spark, monkeypatch, share):
-    """A third of the rows share one time stamp, a third one minute; ids do not follow time."""
+def crowded_rows(kind):
+    """Days with a third of the rows in one time stamp, one minute, or 10 ms; ties skewed or not."""
     rng = random.Random(4)
-    spans = (lambda: dt.timedelta(seconds=30), lambda: dt.timedelta(microseconds=rng.randint(0, 59_999_999)),
-             lambda: dt.timedelta(seconds=rng.randint(0, 90000)))
-    ids = list(range(3000))
+    spans = {"stamp": lambda: dt.timedelta(seconds=30), "minute": lambda: dt.timedelta(microseconds=rng.randint(0, 59_999_999)),
+             "burst": lambda: dt.timedelta(seconds=7, microseconds=rng.randint(0, 9_999))}
+    rest = lambda: dt.timedelta(seconds=rng.randint(0, 90000))
+    ids = list(range(2400))
     rng.shuffle(ids)
-    rows = [(i % 2, T0 + spans[i % 3](), ids[i]) for i in range(3000)]
-    df = spark.createDataFrame(rows, "day int, ts timestamp, id long")
-    monkeypatch.setattr(ordering, "HOT_SHARE", share)
-    monkeypatch.setattr(ordering, "MIN_HOT_ROWS", 1)
-    got = ordering.positional_index(df, ["day"], "ts", ["id"])
-    w = Window.partitionBy("day").orderBy("ts", "id")
+    rows = []
+    for i in range(2400):
+        span = spans[kind] if i % 3 == 0 else spans["minute"] if i % 3 == 1 else rest
+        # the first tie-break is one value for most rows, and far from evenly spread for the others
+        rows.append((i % 2, T0 + span(), 7 if rng.random() < 0.8 else int(10 ** rng.uniform(0, 9)), float(ids[i]) ** 3, ids[i]))
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["stamp", "minute", "burst"])
+@pytest.mark.parametrize("most", [10 ** 6, 60])
+def test_position_with_crowded_times(spark, monkeypatch, kind, most):
+    df = spark.createDataFrame(crowded_rows(kind), "day int, ts timestamp, tie long, skew double, id long")
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", most)
+    ties = ["tie", "skew", "id"]
+    got = ordering.positional_index(df, ["day"], "ts", ties)
+    w = Window.partitionBy("day").orderBy("ts", *ties)
     want = df.withColumn("pos", F.row_number().over(w).cast("long") - 1)
     assert got.select("day", "id", "pos").exceptAll(want.select("day", "id", "pos")).count() == 0
-    assert {r.n for r in got.select("n").distinct().collect()} == {1500}
+    assert {r.n for r in got.select("n").distinct().collect()} == {1200}
+
+
+@pytest.mark.parametrize("kind", ["stamp", "minute", "burst"])
+@pytest.mark.parametrize("few", [True, False])
+def test_no_bucket_is_larger_than_the_bound(spark, monkeypatch, kind, few):
+    if not few:
+        monkeypatch.setattr(ordering, "MOST_LITERAL", 0)
+    df = spark.createDataFrame(crowded_rows(kind), "day int, ts timestamp, tie long, skew double, id long")
+    out = ordering.order_buckets(df, "ts", ["tie", "skew", "id"], most=60)
+    assert out.groupBy(*ordering.ORDER_BUCKETS).count().agg(F.max("count")).first()[0] <= 60
+    rows = sorted(out.collect(), key=lambda r: (r.ts, r.tie, r.skew, r.id))
+    paths = [(r._slot, r._path) for r in rows]
+    assert paths == sorted(paths) and len(rows) == 2400
 
 
 @pytest.mark.parametrize("values", [

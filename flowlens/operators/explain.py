@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens import fixed_values as fv
 from flowlens.functions.numeric import sigmoid
-from flowlens.functions.text import explain_query
+from flowlens.functions.text import explain_query, render_rules
 from flowlens.functions.vectors import let
+from flowlens.operators.incidents import incident_numbers, verdict, with_threat
 from flowlens.operators.retrieval import BlockIndex, hybrid_retrieve
 from flowlens.operators.windows import STATISTICS, WINDOW_KEY, statistic_columns, vote
 from flowlens.session import broadcast_if_small, stage
+from flowlens.sources.requests import benign_response, detection_response
 
 
 SALIENCY_DIGITS = 12
@@ -130,3 +132,23 @@ def explain_detections(scored: DataFrame, index: BlockIndex, catalogue: DataFram
     found = found.join(F.broadcast(catalogue.select("idx", "threat_id")), "idx").drop("idx")
     found = broadcast_if_small(stage(found, "matched-texts"))
     return hits.join(found, "query_id").withColumnRenamed("query_id", "query")
+
+
+def detection_responses(scored: DataFrame, index: BlockIndex, catalogue: DataFrame, day: str, ts: str, ties: Sequence[str],
+                        n: int = 5, threshold: float = fv.DETECT_THRESHOLD, start: int = 1) -> DataFrame:
+    """Scored windows with ``response``, the JSON answer: a batch's incidents numbered, explained, matched, rendered.
+
+    Detected windows are numbered from ``start`` in the order of time; their top features make the text that
+    is matched with the catalogue, whose rules are filled with the window's ``src_ip``. Others get the verdict.
+    """
+    keep = [c for c in scored.columns if c != "saliency"]
+    hits = explain_detections(scored, index, catalogue, n, threshold)
+    hits = with_threat(incident_numbers(hits, day, ts, ties, start), catalogue)
+    hits = hits.withColumns({"rules": render_rules(F.col("iptables"), F.col("src_ip")), "is_threat": F.lit(True),
+                             "probability": F.round("p", 4), "_features": F.transform(
+                                 "top_features", lambda s: F.struct(s["name"].alias("name"), s["importance"].alias("importance")))})
+    answered = hits.drop("top_features").withColumnRenamed("_features", "top_features").select(
+        *keep, "incident_id", detection_response().alias("response"))
+    benign = scored.where(F.col("p") < threshold).withColumns(verdict(F.col("p"), threshold))
+    return answered.unionByName(benign.select(*keep, F.lit(None).cast("string").alias("incident_id"),
+                                              benign_response().alias("response")))

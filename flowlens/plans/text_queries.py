@@ -436,6 +436,41 @@ EXPLAINED = (*SALIENT, saliency_sql(3), catalogue_values(), """qt AS (
   FROM qt JOIN hit ON hit.query_id = qt.text JOIN kb USING (idx))""")
 
 
+RESPONSES = (*SALIENT, saliency_sql(len(FLOW_FEATURES)), f"""qt AS (
+  SELECT day, seq, p, replace(lower(string_agg(name, ' ' ORDER BY rn)), '_', ' ') AS query, string_agg(name, ',' ORDER BY rn) AS names,
+         round(max(importance) / sum(importance), 5) AS top_share
+  FROM top WHERE split = 'test' GROUP BY day, seq, p),
+hits AS (SELECT *, row_number() OVER (ORDER BY day, seq) AS n FROM qt WHERE p >= {fv.DETECT_THRESHOLD * 10}),
+qs AS (SELECT DISTINCT query AS query_id, query AS text FROM hits)""", *hybrid_of("qs"))
+
+
+@query("detection_responses", with_ctes(*RESPONSES, body=f"""
+SELECT day, seq, printf('INC-2026-NIDS-%05d', n) AS incident_id, CAST(NULL AS VARCHAR) AS verdict, round(p, 4) AS probability, threat_id,
+       title, names, top_share, round(h, 4) AS hybrid_score,
+       replace(array_to_string(iptables, chr(10)), '{{src_ip}}', '10.1.' || (day % 256) || '.' || (seq % 256)) AS rules
+FROM hits JOIN hyb ON hyb.query_id = hits.query JOIN kb USING (idx)
+UNION ALL
+SELECT day, seq, NULL, 'BENIGN', round(p, 4), NULL, NULL, NULL, NULL, NULL, NULL FROM qt WHERE p < {fv.DETECT_THRESHOLD * 10}"""))
+def detection_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to every test window, read back from their JSON: number, verdict, threat, features, score, rules."""
+    catalogue = threat_catalogue(spark)
+    octet = lambda c: F.pmod(F.col(c).cast("long"), F.lit(256)).cast("string")
+    scored = scored_flows(spark, sf_dir).where("split = 'test'").withColumns({
+        "ts": F.timestamp_seconds("seq"), "src_ip": F.concat(F.lit("10.1."), octet("day"), F.lit("."), octet("seq"))})
+    answers = explain.detection_responses(stage(scored, "scored"), R.build_hybrid_index(catalogue_text(catalogue)), catalogue,
+                                          "day", "ts", ["seq"], threshold=fv.DETECT_THRESHOLD * 10)
+    r = F.from_json("response", "incident_id string, verdict string, detection struct<is_threat: boolean, probability: double>, "
+                    "threat struct<id: string, title: string>, xai struct<top_features: array<struct<name: string, importance: double>>>, "
+                    "rag struct<hybrid_score: double>, response struct<iptables: array<string>>")
+    top = F.col("r.xai.top_features")
+    return answers.select("day", "seq", r.alias("r")).select(
+        "day", "seq", "r.incident_id", "r.verdict", F.col("r.detection.probability").alias("probability"),
+        F.col("r.threat.id").alias("threat_id"), F.col("r.threat.title").alias("title"),
+        F.array_join(F.transform(top, lambda s: s["name"]), ",").alias("names"),
+        F.round(F.array_max(F.transform(top, lambda s: s["importance"])), 5).alias("top_share"),
+        F.col("r.rag.hybrid_score").alias("hybrid_score"), F.array_join("r.response.iptables", "\n").alias("rules"))
+
+
 def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalogue = threat_catalogue(spark)
     texts = catalogue_text(catalogue)

@@ -36,10 +36,14 @@ def split_requests(requests: DataFrame, length: int, width: int) -> tuple[DataFr
     return marked.where("error IS NULL").drop("error"), marked.where("error IS NOT NULL")
 
 
+def benign_response() -> Column:
+    """Response without a threat: the detection and the verdict."""
+    return F.to_json(F.struct(F.struct("is_threat", "probability").alias("detection"), F.lit("BENIGN").alias("verdict")))
+
+
 def detection_response() -> Column:
     """Nested response as JSON; a benign row carries only the verdict."""
     detection = F.struct("is_threat", "probability")
-    benign = F.to_json(F.struct(detection.alias("detection"), F.lit("BENIGN").alias("verdict")))
     threat = F.to_json(F.struct(
         "incident_id", detection.alias("detection"),
         F.struct(F.col("threat_id").alias("id"), "title", "tactic", "indicators", "playbook")
@@ -47,4 +51,4 @@ def detection_response() -> Column:
         F.struct("top_features").alias("xai"),
         F.struct(F.round("hybrid_score", 4).alias("hybrid_score")).alias("rag"),
         F.struct(F.col("rules").alias("iptables")).alias("response")))
-    return F.when(F.col("is_threat"), threat).otherwise(benign)
+    return F.when(F.col("is_threat"), threat).otherwise(benign_response())

@@ -343,7 +343,8 @@ def train(docs: DataFrame) -> Model:
     pairs = (spread_rows(docs).select(text_of("text").alias("text")).mapInArrow(_count_pairs(bits), "shard int, pairs binary")
              .repartition(shards, "shard").sortWithinPartitions("shard"))
     parts = pairs.mapInArrow(_write_pairs(f"{folder}/pairs"), ", ".join(f"`{c}` bigint" for c in ("word", *PARTS)))
-    shard = F.shiftrightunsigned("word", 64 - bits).cast("int") if bits else F.lit(0)
+    # never a literal: rows grouped by one would be dealt by the word alone, and a shard written by several tasks
+    shard = F.shiftrightunsigned(F.shiftrightunsigned("word", 63 - bits), 1).cast("int")
     words = (parts.select(shard.alias("shard"), "*").repartition(shards, "shard").groupBy("shard", "word")
              .agg(*(F.sum(c).alias(c) for c in PARTS)).sortWithinPartitions("shard"))
     sums = stage(words.mapInArrow(_write_words(f"{folder}/words"), ", ".join(f"{c} bigint" for c in SUMS)), "word-sums")

@@ -435,6 +435,15 @@ def test_scores_of_awkward_rows_in_many_shards(spark, monkeypatch):
     assert kneser_ney.score_corpus(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_one_shard_is_written_by_one_task(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = awkward_rows()
+        check_scores(kneser_ney.score_corpus(docs_of(spark, rows)).collect(), [(r[0], r[1]) for r in rows])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = kneser_ney.score_corpus(docs_of(spark, [(held, "a b c", "en", "s", None)])).collect()[0]

@@ -45,6 +45,30 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+                 "(at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+                 "(at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+                 "(at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+                 "(at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+                  "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+                  "binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+                     "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this "
+                     "list of conditions and the following disclaimer in the documentation and/or other materials provided "
+                     "with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                     "promote products derived from this software without specific prior written permission."),
 )
 
 
@@ -113,7 +137,9 @@ def scan_licenses(docs: DataFrame, templates: Templates, containment: float = CO
     """(doc_id, license, template, containment, start_word) of every document and template that it holds.
 
     A template is held if a window has at least the share ``containment`` of its distinct shingles. The
-    best window is told, the first of equals; ``start_word`` counts from 0. For every number of shingles
+    best window is told, the first of equals; ``start_word`` counts from 0. Notices of related licenses share
+    most of their words: of templates whose places overlap only the best is told, that of the highest
+    containment, then of more shingles, then the first. For every number of shingles
     that templates have, windows somewhat longer overlap so that each place lies whole in one. Windows
     without any shingle of a template can't hold one and are passed over; the others are met with
     templates by MinHash bands and verified on the shingles themselves.
@@ -149,8 +175,15 @@ def scan_licenses(docs: DataFrame, templates: Templates, containment: float = CO
     share = F.size(F.array_intersect("runs", "wanted")).cast("double") / F.col("m")
     # where the template's first shingle found stands in the window
     place = F.col("start") + let(F.array_intersect("runs", "wanted"), lambda x: F.array_position("runs", F.get(x, 0)).cast("int")) - 1
-    held = met.select("doc_id", "row", "license", "template", share.alias("containment"), place.alias("start_word")).where(
+    held = met.select("doc_id", "row", "license", "template", "m", share.alias("containment"), place.alias("start_word")).where(
         F.col("containment") >= containment)
-    best = held.groupBy("row", "doc_id", "license", "template").agg(
+    best = held.groupBy("row", "doc_id", "license", "template", "m").agg(
         F.min(F.struct((-F.col("containment")).alias("c"), "start_word")).alias("b"))
-    return best.select("doc_id", "license", "template", (-F.col("b.c")).alias("containment"), F.col("b.start_word").alias("start_word"))
+    # a document has at most one row for each template here, so its list is bounded by their number
+    hits = best.groupBy("row", "doc_id").agg(F.collect_list(F.struct(
+        F.col("b.c").alias("c"), (-F.col("m")).alias("m"), "template", "license", F.col("b.start_word").alias("start"))).alias("hits"))
+    end = lambda h: h["start"] - h["m"] + width - 1
+    beaten = lambda a: F.exists("hits", lambda b: (
+        F.struct(b["c"], b["m"], b["template"]) < F.struct(a["c"], a["m"], a["template"])) & (b["start"] < end(a)) & (a["start"] < end(b)))
+    kept = hits.select("doc_id", F.explode(F.filter("hits", lambda a: ~beaten(a))).alias("h"))
+    return kept.select("doc_id", "h.license", "h.template", (-F.col("h.c")).alias("containment"), F.col("h.start").alias("start_word"))

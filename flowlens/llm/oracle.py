@@ -26,11 +26,13 @@ d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
 ds AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) r(i)),
 hit AS (SELECT doc_id, template, license, m, step, pos, s FROM ds JOIN ts USING (s) JOIN tm USING (template)),
 win AS (SELECT doc_id, template, license, m, k, count(DISTINCT s) AS c, min(pos) AS start_word
-        FROM hit, unnest(range(greatest(0, pos - m + 1) // step, pos // step + 1)) r(k) GROUP BY ALL)
-SELECT doc_id, license, CAST(template AS INTEGER) AS template, CAST(c AS DOUBLE) / m AS containment,
-       CAST(start_word AS INTEGER) AS start_word
-FROM win WHERE CAST(c AS DOUBLE) / m >= {CONTAINMENT}
-QUALIFY row_number() OVER (PARTITION BY doc_id, template ORDER BY c DESC, start_word) = 1"""
+        FROM hit, unnest(range(greatest(0, pos - m + 1) // step, pos // step + 1)) r(k) GROUP BY ALL),
+best AS (SELECT *, CAST(c AS DOUBLE) / m AS share FROM win WHERE CAST(c AS DOUBLE) / m >= {CONTAINMENT}
+         QUALIFY row_number() OVER (PARTITION BY doc_id, template ORDER BY c DESC, start_word) = 1)
+SELECT doc_id, license, CAST(template AS INTEGER) AS template, share AS containment, CAST(start_word AS INTEGER) AS start_word
+FROM best a WHERE NOT EXISTS (
+  SELECT 1 FROM best b WHERE b.doc_id = a.doc_id AND b.start_word < a.start_word + a.m + 4 AND a.start_word < b.start_word + b.m + 4
+  AND (b.share > a.share OR b.share = a.share AND (b.m > a.m OR b.m = a.m AND b.template < a.template)))"""
 
 
 def leaks_sql() -> str:

@@ -281,13 +281,37 @@ def test_licenses_are_found_like_by_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("words", F.lit(1))
     templates = license_scan.load_templates(spark)
     out = license_scan.scan_licenses(docs, templates).collect()
-    assert {(r.doc_id, r.license, r.template) for r in out} == plain_scan(rows, license_scan.TEMPLATES)
+    # of templates that overlap one is told, and every place that holds any tells one
+    every = plain_scan(rows, license_scan.TEMPLATES)
+    told = {(r.doc_id, r.license, r.template) for r in out}
+    assert told <= every and {i for i, *_ in told} == {i for i, *_ in every}
+    licenses = lambda i: {name for k, name, _ in told if k == i}
+    assert licenses(1) == {"GPL-3.0"} and licenses(2) == licenses(8) == licenses(None) == {"MIT"} and licenses(9) == {"CC-BY-NC-4.0"}
+    for i, (name, _) in enumerate(license_scan.TEMPLATES):
+        assert licenses(100 + i) == {name}, name
     assert sum(r.doc_id == 8 for r in out) == 2  # repeated rows have results each
     start = next(r for r in out if r.doc_id == 9)
     assert (start.start_word, start.containment) == (8000, 1.0)
     assert license_scan.scan_licenses(docs.limit(0), templates).count() == 0
 
 
+def test_related_licenses_are_told_apart(spark):
+    """Notices as projects write them, and two in one text."""
+    lesser = ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+              "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later "
+              "version. This library is distributed in the hope that it will be useful")
+    affero = ("Foo is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+              "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.")
+    two = license_scan.TEMPLATES[8][1] + " " + prose(5, 90) + " " + license_scan.TEMPLATES[7][1]
+    clauses = "\n".join(body for name, body in license_scan.TEMPLATES if name.startswith("BSD"))
+    docs = docs_of(spark, [(1, lesser, "en", "s", 1), (2, affero, "en", "s", 1), (3, two, "en", "s", 1), (4, clauses, "en", "s", 1)], extra=True)
+    out = collections.defaultdict(list)
+    for r in license_scan.scan_licenses(docs, license_scan.load_templates(spark)).collect():
+        out[r.doc_id].append(r.license)
+    assert out[1] == ["LGPL-2.1"] and out[2] == ["AGPL-3.0"] and sorted(out[3]) == ["GPL-2.0", "GPL-3.0"]
+    assert sorted(out[4]) == ["BSD", "BSD-2-Clause", "BSD-3-Clause"]
+
+
 def test_short_templates_are_refused(spark):
     with pytest.raises(ValueError, match="fewer than"):
         license_scan.load_templates(spark, (("X", "too short"),))

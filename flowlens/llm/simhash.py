@@ -125,10 +125,14 @@ def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
 
 
 def components_of(prints: DataFrame, order: str = "min(doc_id)", radius: int = RADIUS,
-                  crowd: int = CROWD) -> DataFrame:
-    """(fp, first) per distinct fingerprint: ``order``, an aggregate, over its whole component."""
+                  crowd: int = CROWD, more: DataFrame | None = None) -> DataFrame:
+    """(fp, first) per distinct fingerprint: ``order``, an aggregate, over its whole component.
+
+    ``more`` are further links (u, v) between fingerprints.
+    """
     own = stage(prints.groupBy("fp").agg(F.expr(order).alias("own")), "prints")
-    roots = stage(connected_components(near_links(own, radius, crowd=crowd)), "roots")
+    links = near_links(own, radius, crowd=crowd)
+    roots = stage(connected_components(links if more is None else links.union(more)), "roots")
     linked = own.join(roots.withColumnRenamed("node", "fp"), "fp")
     firsts = linked.groupBy("root").agg(F.min("own").alias("first"))
     linked = linked.join(firsts, "root").select("fp", "first")
@@ -160,9 +164,14 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WID
     tie = F.xxhash64("text")
     keys = {"none": F.col("doc_id").isNull(), "id": F.col("doc_id"), "h": tie}
     prints = stage(with_fingerprint(docs, keys, width=width), "fingerprints")
+    return keep_firsts(docs, prints, radius)
+
+
+def keep_firsts(docs: DataFrame, prints: DataFrame, radius: int = RADIUS, more: DataFrame | None = None) -> DataFrame:
+    """Rows of ``docs`` that are the first of their group; ``prints``: fp, none, id and h per row."""
     own = prints.groupBy("fp", "none", "id", "h").agg(F.count("*").alias("n"))
     own = own.groupBy("fp").agg(F.min(F.struct("none", "id", "h")).alias("r"))
-    firsts = components_of(own, "min(r)", radius).select("first").distinct()
+    firsts = components_of(own, "min(r)", radius, more=more).select("first").distinct()
     copies = (prints.select(F.struct("none", "id", "h").alias("first")).groupBy("first")
               .agg(F.count("*").alias("n")))
     stay = stage(firsts.join(copies, "first"), "stay").select(F.col("first").alias("__r"), F.col("n").alias("__n"))

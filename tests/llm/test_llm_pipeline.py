@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 import oracle
-from flowlens.llm import decontaminate, quality_model, quality_rules, simhash
+from flowlens.llm import decontaminate, near_copies, quality_model, quality_rules
 from flowlens.llm.queries import ORACLE_SQL, QUERIES
 
 from .helpers import awkward_rows, docs_of, rows_of
@@ -25,7 +25,7 @@ def test_stages_do_what_their_operators_say(spark, sf_dir):
     docs, labels, bench = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
     decisions = [lambda d: {r.doc_id for r in quality_model.classify_quality(d, labels).where("kept").collect()},
                  lambda d: {r.doc_id for r in quality_rules.apply_rules(d).where("kept").collect()},
-                 lambda d: {r.component_id for r in simhash.near_duplicates(d).collect()},
+                 lambda d: {r.component_id for r in near_copies.near_copies(d).collect()},
                  lambda d: {r.doc_id for r in d.collect()} - {r.doc_id for r in decontaminate.find_leaks(d, bench).collect()}]
     texts = {r.doc_id: tuple(r) for r in docs.collect()}
     for (name, step), decide in zip(corpus_pipeline.STAGES, decisions):

@@ -16,8 +16,8 @@ from flowlens import fixed_values as fv
 from flowlens.functions.text import with_bigrams, word_tokens
 from flowlens.session import stage
 
-#: Texts whose dense weights are held at once.
-BATCH_TEXTS = 1000
+#: Texts whose words, and texts whose dense weights, Python code holds at once.
+BATCH_TEXTS, DENSE_TEXTS = 256, 1000
 
 
 def gram_hashes(text: Column) -> Column:
@@ -77,6 +77,18 @@ def arrays_of(column: pa.Array) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(sizes)[:-1].astype(np.int64)) if len(column) else []
 
 
+def list_array(values: pa.Array, sizes) -> pa.ListArray:
+    """An array column of rows of the given sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
+def slices_of(batches, rows: int = BATCH_TEXTS):
+    """Arrow batches cut to few rows: working arrays are several times those of the texts."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def fit_latent(docs: DataFrame, limit: int = fv.VOCABULARY_LIMIT) -> LatentModel:
     """Truncated SVD of the TF-IDF rows of ``docs`` (doc_id, text).
 
@@ -96,12 +108,10 @@ def fit_latent(docs: DataFrame, limit: int = fv.VOCABULARY_LIMIT) -> LatentModel
 
     def counts(batches):
         known, place = lookup(shared.value)
-        for batch in batches:
+        for batch in slices_of(batches):
             text, at, tf = counted(arrays_of(batch.column(0)), known, place)
             sizes = np.bincount(text, minlength=batch.num_rows)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))),
-                                              pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))], names=["at", "tf"])
+            yield pa.RecordBatch.from_arrays([list_array(pa.array(x.astype(np.int32)), sizes) for x in (at, tf)], names=["at", "tf"])
 
     rows = stage(docs.select(gram_hashes(F.coalesce("text", F.lit(""))).alias("g")).mapInArrow(counts, "at array<int>, tf array<int>"), "terms")
     df = np.zeros(len(hashes))
@@ -111,17 +121,15 @@ def fit_latent(docs: DataFrame, limit: int = fv.VOCABULARY_LIMIT) -> LatentModel
 
     def gramian(batches):
         total = np.zeros((len(idf), len(idf)))
-        for batch in batches:
-            for low in range(0, batch.num_rows, BATCH_TEXTS):
-                part = batch.slice(low, BATCH_TEXTS)
-                at, tf = (arrays_of(part.column(k)) for k in range(2))
-                dense = np.zeros((part.num_rows, len(idf)))
-                row = np.repeat(np.arange(part.num_rows), [len(a) for a in at])
-                column = np.concatenate(at).astype(np.int64)
-                dense[row, column] = (1.0 + np.log(np.concatenate(tf))) * idf[column]
-                length = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
-                dense /= np.where(length == 0, 1.0, length)
-                total += dense.T @ dense
+        for part in slices_of(batches, DENSE_TEXTS):
+            at, tf = (arrays_of(part.column(k)) for k in range(2))
+            dense = np.zeros((part.num_rows, len(idf)))
+            row = np.repeat(np.arange(part.num_rows), [len(a) for a in at])
+            column = np.concatenate(at).astype(np.int64)
+            dense[row, column] = (1.0 + np.log(np.concatenate(tf))) * idf[column]
+            length = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
+            dense /= np.where(length == 0, 1.0, length)
+            total += dense.T @ dense
         i, j = np.nonzero(np.triu(total))
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])],
                                          names=["i", "j", "v"])
@@ -142,9 +150,10 @@ def latent_embedding(texts: DataFrame, model: LatentModel) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices_of(batches):
             vectors = shared.value.embed(arrays_of(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(vectors), pa.list_(pa.float64()))], names=["doc_id", "v"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), list_array(pa.array(vectors.reshape(-1), pa.float64()), [vectors.shape[1]] * batch.num_rows)], names=["doc_id", "v"])
 
     return texts.select("doc_id", gram_hashes(F.coalesce("text", F.lit(""))).alias("g")).mapInArrow(
         run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, v array<double>")

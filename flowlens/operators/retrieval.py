@@ -17,7 +17,7 @@ from flowlens import fixed_values as fv
 from flowlens.functions.text import whitespace_tokens, with_bigrams, word_tokens
 from flowlens.functions.vectors import dot, first_max, l2_normalise, min_max
 from flowlens.operators.blocks import BlockIndex, Blend, build_blocks, join_on_term, retrieve, term_hashes
-from flowlens.operators.latent import LatentModel, arrays_of, counted, fit_latent, latent_embedding, lookup
+from flowlens.operators.latent import LatentModel, arrays_of, counted, fit_latent, latent_embedding, list_array, lookup, slices_of
 from flowlens.session import broadcast_if_small, is_small, stage
 
 __all__ = ["BlockIndex", "LatentModel", "fit_latent", "latent_embedding", "build_hybrid_index", "hybrid_retrieve"]
@@ -106,12 +106,11 @@ def only_terms(lengths: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     def run(batches):
         known, place = lookup(hashes.value)
-        for batch in batches:
+        for batch in slices_of(batches):
             text, at, tf = counted(arrays_of(batch.column(2)), known, place)
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))]).astype(np.int32)
             entry = pa.StructArray.from_arrays([pa.array(np.array(hashes.value, np.int64)[at]), pa.array(tf.astype(np.int64))],
                                                names=["term", "tf"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), entry)],
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(entry, np.bincount(text, minlength=batch.num_rows))],
                                              names=["doc_id", "dl", "found"])
 
     return lengths.mapInArrow(run, f"doc_id {kind}, dl int, found array<struct<term: bigint, tf: bigint>>")

@@ -13,15 +13,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from flowlens import fixed_values as fv
 from flowlens.functions.text import whitespace_tokens
-from flowlens.operators.latent import LatentModel, arrays_of, fit_latent, gram_hashes
+from flowlens.operators.latent import LatentModel, arrays_of, fit_latent, gram_hashes, list_array, slices_of
 from flowlens.session import BROADCAST_BYTES, broadcast_if_small, is_small, spread, stage
 
 #: Documents and term entries of a block, and queries of a group.
-DOC_ROWS, DOC_TERMS, QUERY_ROWS = 1024, 1 << 20, 256
+DOC_ROWS, DOC_TERMS, QUERY_ROWS = 1024, 1 << 17, 256
+#: Entries of postings that are scored at once.
+SCORED_ENTRIES = 1 << 20
 #: A term with more than this share of all entries is joined by broadcast.
 HOT_TERM_SHARE = 1 / 1024
 
@@ -42,45 +43,62 @@ class DocBlock:
 
     @staticmethod
     def of(row: dict) -> "DocBlock":
-        terms, places, tf = (np.array(row[c], np.int64) for c in ("postings", "places", "tf"))
-        order = np.argsort(terms, kind="stable")
-        ids = np.array(row["ids"], np.int64)
-        return DocBlock(ids, terms[order], places[order], tf[order], np.array(row["dl"], np.int64),
-                        np.array(row["vectors"], np.float64).reshape(len(ids), -1))
+        """From the arrays of a row of blocks."""
+        order = np.argsort(row["postings"], kind="stable")
+        return DocBlock(row["ids"], row["postings"][order], row["places"][order], row["tf"][order], row["dl"],
+                        row["vectors"].reshape(len(row["ids"]), -1))
 
     def bm25(self, starts, terms, weights, avg: float, k1: float = fv.BM25_K1, b: float = fv.BM25_B) -> np.ndarray:
-        """Scores of queries given as term hashes and weights (count times idf), one after the other."""
+        """Scores of queries given as term hashes and weights (count times idf), one after the other.
+
+        Queries are taken together as long as they meet at most ``SCORED_ENTRIES`` postings, one at least.
+        """
         part = self.tf * (k1 + 1.0) / (self.tf + k1 * (1.0 - b + b * self.dl[self.places] / (avg or 1.0)))
         first, last = (np.searchsorted(self.terms, terms, side) for side in ("left", "right"))
-        n = last - first
-        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-        query = np.repeat(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), n)
-        cells = np.bincount(query * len(self.ids) + self.places[entry], np.repeat(weights, n) * part[entry],
-                            (len(starts) - 1) * len(self.ids))
-        return cells.reshape(len(starts) - 1, len(self.ids))
+        met = np.concatenate([[0], np.cumsum(last - first)])[starts]
+        out = np.zeros((len(starts) - 1, len(self.ids)))
+        low = 0
+        while low < len(out):
+            high = max(low + 1, int(np.searchsorted(met, met[low] + SCORED_ENTRIES, "right")) - 1)
+            own = slice(starts[low], starts[high])
+            n = last[own] - first[own]
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[own], n)
+            query = np.repeat(np.repeat(np.arange(high - low), np.diff(starts[low:high + 1])), n)
+            out[low:high] = np.bincount(query * len(self.ids) + self.places[entry], np.repeat(weights[own], n) * part[entry],
+                                        (high - low) * len(self.ids)).reshape(high - low, -1)
+            low = high
+        return out
 
 
 _BLOCK = ("ids array<bigint>, dl array<int>, postings array<bigint>, places array<int>, tf array<int>, "
           "vectors array<double>")
 
 
+def _cell(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
+    return batch.column(name)[k].values.to_numpy(zero_copy_only=False)
+
+
+def _block_of(batch: pa.RecordBatch, k: int) -> DocBlock:
+    return DocBlock.of({c: _cell(batch, c, k) for c in ("ids", "dl", "postings", "places", "tf", "vectors")})
+
+
 def _doc_blocks(latent: LatentModel | None, doc_rows: int, doc_terms: int):
     def block(held):
         held.sort(key=lambda h: h[0])
-        terms, tf = ([x for h in held for x in h[k].tolist()] for k in (2, 3))
-        vectors = latent.embed([h[4] for h in held]).reshape(-1) if latent else np.zeros(0)
-        return pa.RecordBatch.from_pydict({
-            "ids": [[h[0] for h in held]], "dl": pa.array([[h[1] for h in held]], pa.list_(pa.int32())),
-            "postings": pa.array([terms], pa.list_(pa.int64())),
-            "places": pa.array([[i for i, h in enumerate(held) for _ in range(len(h[2]))]], pa.list_(pa.int32())),
-            "tf": pa.array([tf], pa.list_(pa.int32())), "vectors": pa.array([vectors.tolist()], pa.list_(pa.float64()))})
+        ids, dl, terms, tf, vectors = zip(*held)
+        places = np.repeat(np.arange(len(held)), [len(t) for t in terms])
+        cells = [(np.array(ids), pa.int64()), (np.array(dl), pa.int32()), (np.concatenate(terms), pa.int64()),
+                 (places, pa.int32()), (np.concatenate(tf), pa.int32()), (np.concatenate(vectors), pa.float64())]
+        return pa.RecordBatch.from_arrays([list_array(pa.array(x, kind), [len(x)]) for x, kind in cells],
+                                          names=["ids", "dl", "postings", "places", "tf", "vectors"])
 
     def run(batches):
         held, n = [], 0
-        for batch in batches:
-            for doc, tokens, grams in zip(batch.column(0).to_pylist(), arrays_of(batch.column(1)), arrays_of(batch.column(2))):
+        for batch in slices_of(batches):
+            vectors = latent.embed(arrays_of(batch.column(2))) if latent else np.zeros((batch.num_rows, 0))
+            for doc, tokens, vector in zip(batch.column(0).to_pylist(), arrays_of(batch.column(1)), vectors):
                 terms, tf = np.unique(tokens, return_counts=True)
-                held.append((doc, len(tokens), terms, tf, grams))
+                held.append((doc, len(tokens), terms, tf, vector))
                 n += len(terms)
                 if len(held) >= doc_rows or n >= doc_terms:
                     yield block(held)
@@ -132,31 +150,46 @@ def join_on_term(rows: DataFrame, side: DataFrame) -> DataFrame:
     return frequent.union(rows.join(F.broadcast(hot), "term", "left_anti").join(side, "term").select(frequent.columns))
 
 
+def with_idf(df: DataFrame, index: BlockIndex) -> DataFrame:
+    """``(term, idf)`` of ``(term, df)``."""
+    n = F.lit(float(index.n_docs))
+    return df.select("term", F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
+
+
+def hashed_queries(queries: DataFrame, index: BlockIndex) -> DataFrame:
+    """``(query_id, t, g)``: hashes of the words, and of the words and pairs if the index has latent vectors."""
+    text = F.coalesce("text", F.lit(""))
+    return queries.select("query_id", term_hashes(text).alias("t"),
+                          (gram_hashes(text) if index.latent else F.array().cast("array<bigint>")).alias("g"))
+
+
+def query_vectors(latent: LatentModel | None, batch: pa.RecordBatch) -> np.ndarray:
+    return latent.embed(arrays_of(batch.column(2))) if latent else np.zeros((batch.num_rows, 0))
+
+
 def query_rows(queries: DataFrame, index: BlockIndex) -> DataFrame:
     """``(query_id, terms, weights, v)`` of queries (query_id, text): known terms with count times idf."""
-    latent = index.latent
-    shared = queries.sparkSession.sparkContext.broadcast(latent)
+    shared = queries.sparkSession.sparkContext.broadcast(index.latent)
     kind = queries.schema["query_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            counts = [np.unique(t, return_counts=True) for t in arrays_of(batch.column(1))]
-            vectors = shared.value.embed(arrays_of(batch.column(2))) if shared.value else [np.zeros(0)] * batch.num_rows
-            found = [[{"term": t, "n": n} for t, n in zip(terms.tolist(), tf.tolist())] for terms, tf in counts]
+        for batch in slices_of(batches):
+            terms, tf = zip(*(np.unique(t, return_counts=True) for t in arrays_of(batch.column(1))))
+            vectors = query_vectors(shared.value, batch)
+            found = pa.StructArray.from_arrays([pa.array(np.concatenate(terms), pa.int64()), pa.array(np.concatenate(tf), pa.int32())],
+                                               names=["term", "n"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.list_(pa.struct([("term", pa.int64()), ("n", pa.int32())]))),
-                 pa.array([v.tolist() for v in vectors], pa.list_(pa.float64()))], names=["query_id", "found", "v"])
+                [batch.column(0), list_array(found, [len(t) for t in terms]),
+                 list_array(pa.array(vectors.reshape(-1), pa.float64()), [vectors.shape[1]] * batch.num_rows)],
+                names=["query_id", "found", "v"])
 
-    text = F.coalesce("text", F.lit(""))
-    grams = gram_hashes(text) if latent else F.array().cast("array<bigint>")
-    rows = stage(queries.select("query_id", term_hashes(text).alias("t"), grams.alias("g")).mapInArrow(
+    rows = stage(hashed_queries(queries, index).mapInArrow(
         run, f"query_id {kind}, found array<struct<term: bigint, n: int>>, v array<double>"), "query-terms")
     used = rows.select("query_id", F.explode("found").alias("f")).select("query_id", "f.term", "f.n")
     wanted = stage(used.select("term").distinct(), "wanted")
     # of the documents, only the count of each term leaves its task
     df = join_on_term(index.blocks.select(F.explode("postings").alias("term")), wanted).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = F.lit(float(index.n_docs))
-    idf = stage(df.select("term", F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf")), "idf")
+    idf = stage(with_idf(df, index), "idf")
     weighted = join_on_term(used, idf).groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("term", (F.col("n") * F.col("idf")).alias("w")))).alias("k"))
     known = F.coalesce("k", F.array().cast("array<struct<term: bigint, w: double>>"))
@@ -166,14 +199,15 @@ def query_rows(queries: DataFrame, index: BlockIndex) -> DataFrame:
 
 # ---------------------------------------------------------------- meeting
 
-def _matrices(queries: dict, block: DocBlock, avg: float):
-    terms = [np.array(t, np.int64) for t in queries["terms"]]
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64)
-    weights = np.concatenate([np.array(w, np.float64) for w in queries["weights"]]) if terms else np.zeros(0)
-    vectors = np.array(queries["v"], np.float64).reshape(len(terms), -1)
-    b = block.bm25(starts, np.concatenate(terms), weights, avg)
+def _starts(sizes) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _matrices(queries: tuple, block: DocBlock, avg: float):
+    """BM25 and cosines of queries, given as (starts, terms, weights, vectors), and the documents of a block."""
+    *known, vectors = queries
     width = min(vectors.shape[1], block.vectors.shape[1])
-    return b, vectors[:, :width] @ block.vectors[:, :width].T
+    return block.bm25(*known, avg), vectors[:, :width] @ block.vectors[:, :width].T
 
 
 def _ends(b: np.ndarray, l: np.ndarray) -> np.ndarray:
@@ -225,43 +259,59 @@ def retrieve(queries: DataFrame, index: BlockIndex, blend: Blend = Blend(), limi
     """
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, doc_id bigint, bm25_score double, lsa_score double, hybrid_score double, matched boolean"
-    rows = query_rows(queries, index)
     if not index.n_docs:
         return queries.sparkSession.createDataFrame([], schema)
     cells = F.size("postings") * 16 + F.size("ids") * 12 + F.size("vectors") * 8
     if (index.blocks.agg(F.sum(cells)).first()[0] or 0) <= limit:
-        return _beside_queries(rows, index, blend, schema)
-    return _beside_blocks(stage(rows, "query-rows"), index, blend, schema, kind, query_rows_)
+        return _beside_queries(queries, index, blend, schema)
+    return _beside_blocks(stage(query_rows(queries, index), "query-rows"), index, blend, schema, kind, query_rows_)
 
 
-def _beside_queries(rows: DataFrame, index: BlockIndex, blend: Blend, schema: str) -> DataFrame:
-    """The catalogue, whose size is proven, goes to the queries: nothing is shuffled."""
-    shared = rows.sparkSession.sparkContext.broadcast([r.asDict() for r in index.blocks.drop("block").collect()])
+def _beside_queries(queries: DataFrame, index: BlockIndex, blend: Blend, schema: str) -> DataFrame:
+    """The catalogue, whose size is proven, goes to the queries: nothing is shuffled, nothing is written.
+
+    Of a query, only the terms that the catalogue knows are kept, and these but for a group of queries at a time.
+    """
+    df = index.blocks.select(F.explode("postings").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = with_idf(df, index).orderBy("term").toArrow()
+    blocks = index.blocks.toArrow().combine_chunks().to_batches()
+    shared = queries.sparkSession.sparkContext.broadcast((
+        idf["term"].to_numpy(), idf["idf"].to_numpy(), index.latent, [_block_of(b, k) for b in blocks for k in range(b.num_rows)]))
     avg = index.avg
 
+    def weighted(batch, known, idf, latent):
+        texts, sizes = arrays_of(batch.column(1)), []
+        terms, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for tokens in texts:
+            term, n = np.unique(tokens, return_counts=True)
+            at = np.minimum(np.searchsorted(known, term), max(len(known) - 1, 0))
+            hit = known[at] == term if len(known) else np.zeros(len(term), bool)
+            terms.append(term[hit])
+            weights.append(n[hit] * idf[at[hit]])
+            sizes.append(int(hit.sum()))
+        return _starts(sizes), np.concatenate(terms), np.concatenate(weights), query_vectors(latent, batch)
+
     def run(batches):
-        blocks = [DocBlock.of(r) for r in shared.value]
-        for batch in batches:
-            for low in range(0, batch.num_rows, QUERY_ROWS):
-                part = batch.slice(low, QUERY_ROWS)
-                queries = part.to_pydict()
-                ends = best = None
-                for block in blocks:
-                    own = _ends(*_matrices(queries, block, avg))
-                    ends = own if ends is None else _widened(ends, own)
-                for block in blocks:
-                    own = blend.best(*_matrices(queries, block, avg), ends, block.ids)
-                    best = own if best is None else _better(own, best)
-                yield _result(part.column(0), best, ends[:, 1] > 0)
+        known, idf, latent, blocks = shared.value
+        for part in slices_of(batches, QUERY_ROWS):
+            queries = weighted(part, known, idf, latent)
+            ends = best = None
+            for block in blocks:
+                own = _ends(*_matrices(queries, block, avg))
+                ends = own if ends is None else _widened(ends, own)
+            for block in blocks:
+                own = blend.best(*_matrices(queries, block, avg), ends, block.ids)
+                best = own if best is None else _better(own, best)
+            yield _result(part.column(0), best, ends[:, 1] > 0)
 
-    return rows.mapInArrow(run, schema)
+    return hashed_queries(queries, index).mapInArrow(run, schema)
 
 
 def _beside_blocks(rows: DataFrame, index: BlockIndex, blend: Blend, schema: str, kind: str, query_rows_: int) -> DataFrame:
     """Groups of queries come to the blocks, first for the ends of the scores, then for the best documents."""
     n_groups = max(1, -(-rows.count() // query_rows_))
     group = F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).alias("group")
-    avg, id_kind = index.avg, to_arrow_type(rows.schema["query_id"].dataType)
+    avg = index.avg
 
     def met(frame: DataFrame) -> DataFrame:
         packed = frame.groupBy(group).agg(F.collect_list(F.struct(*frame.columns)).alias("q"))
@@ -272,20 +322,21 @@ def _beside_blocks(rows: DataFrame, index: BlockIndex, blend: Blend, schema: str
     def pairs(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                yield row, DocBlock.of(row)
+                lists = {c: arrays_of(batch.column(c)[k].values) for c in ("terms", "weights", "v", "ends") if c in batch.schema.names}
+                terms = lists["terms"]
+                queries = (_starts([len(t) for t in terms]), np.concatenate(terms), np.concatenate(lists["weights"]),
+                           np.stack(lists["v"]))
+                yield batch.column("query_id")[k].values, lists.get("ends"), queries, _block_of(batch, k)
 
     def find_ends(batches):
-        for row, block in pairs(batches):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row["query_id"], id_kind), pa.array(_ends(*_matrices(row, block, avg)).tolist(), pa.list_(pa.float64()))],
-                names=["query_id", "e"])
+        for ids, _, queries, block in pairs(batches):
+            found = _ends(*_matrices(queries, block, avg))
+            yield pa.RecordBatch.from_arrays([ids, list_array(pa.array(found.reshape(-1)), [4] * len(ids))], names=["query_id", "e"])
 
     def find_best(batches):
-        for row, block in pairs(batches):
-            ends = np.array(row["ends"], np.float64)
-            yield _result(pa.array(row["query_id"], id_kind),
-                          blend.best(*_matrices(row, block, avg), ends, block.ids), ends[:, 1] > 0)
+        for ids, ends, queries, block in pairs(batches):
+            ends = np.stack(ends)
+            yield _result(ids, blend.best(*_matrices(queries, block, avg), ends, block.ids), ends[:, 1] > 0)
 
     e = met(rows).mapInArrow(find_ends, f"query_id {kind}, e array<double>")
     ends = e.groupBy("query_id").agg(F.array(*(f(F.col("e")[i]) for i, f in enumerate((F.min, F.max, F.min, F.max)))).alias("ends"))

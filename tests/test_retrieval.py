@@ -140,3 +140,40 @@ def test_directions_equal_those_of_a_dense_svd(spark):
     v = np.linalg.svd(x, full_matrices=False)[2][:5].T
     assert np.allclose(np.abs((v * np.array(model.components)).sum(axis=0)), 1.0, atol=1e-8)
     assert all(c[np.abs(c).argmax()] > 0 for c in np.array(model.components).T)
+
+
+class Counting:
+    """A latent model that notes how many texts it is given at once."""
+    def __init__(self):
+        self.most = 0
+
+    def embed(self, grams):
+        self.most = max(self.most, len(grams))
+        return np.zeros((len(grams), 2))
+
+
+def test_python_holds_few_texts_of_a_batch_at_once():
+    import pyarrow as pa
+    lists = pa.array([[i, i + 1, i] for i in range(1500)], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), lists, lists], names=["doc_id", "t", "g"])
+    model = Counting()
+    made = list(blocks._doc_blocks(model, 1024, 1 << 17)([batch]))
+    assert model.most <= latent.BATCH_TEXTS
+    assert [len(b.column("ids")[0]) for b in made] == [1024, 476]
+    block = blocks._block_of(made[1], 0)
+    assert block.ids.tolist() == list(range(1024, 1500)) and block.vectors.shape == (476, 2)
+    assert sorted(zip(block.places.tolist(), block.terms.tolist(), block.tf.tolist()))[:2] == [(0, 1024, 2), (0, 1025, 1)]
+
+
+def test_scores_are_the_same_however_few_entries_are_met_at_once(monkeypatch):
+    draw = np.random.default_rng(3)
+    terms = np.sort(draw.integers(0, 9, 200))
+    block = blocks.DocBlock(np.arange(40), terms, draw.integers(0, 40, 200), draw.integers(1, 4, 200), np.full(40, 9), np.zeros((40, 0)))
+    sizes = draw.integers(0, 6, 30)
+    query = (blocks._starts(sizes), draw.integers(0, 12, sizes.sum()), draw.random(sizes.sum()))
+    whole_ = block.bm25(*query, 9.0)
+    monkeypatch.setattr(blocks, "SCORED_ENTRIES", 7)
+    made, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *rest: made.append(len(x)) or plain(x, *rest))
+    assert (block.bm25(*query, 9.0) == whole_).all()
+    assert len(made) > 10 and whole_.any()

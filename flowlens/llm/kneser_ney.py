@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, functions as F
 from flowlens.llm.common import crc_of_id, shared_path, small_batches, spread_rows, stage, text_of
 
 #: Text per shard of the hash range, and the most shards there are.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 MOST_SHARDS = 1 << 16
 #: Tokens that a worker counts, and scores, at once, and pairs that it holds before it hands them on. These
 #: fit workers of a few hundred MB; for a corpus of many TB, raise them with the workers' memory.
 COUNT_TOKENS = 1 << 19
 SCORE_TOKENS = 1 << 19
 HELD_PAIRS = 3 << 19
+#: Parts of a shard's hash range, as a power of two, that are summed one after the other.
+PART_BITS = 4
 #: Files that a worker keeps mapped.
 OPEN_SHARDS = 4096
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -294,20 +296,55 @@ def _count_pairs(bits: int):
     return run
 
 
-def _write_pairs(folder: str):
-    """Sum and write each shard's pairs; hand on what the shard adds to its words."""
+def _in_parts(blobs, bits: int):
+    """Packed pairs of a shard, unpacked and dealt to the parts of its hash range: first, second and n of each."""
+    parts = [[] for _ in range(1 << PART_BITS)]
+    for blob in blobs:
+        first, second, n = unpack(blob.as_py())
+        part = (pair_keys(first, second) << np.uint64(bits) >> np.uint64(64 - PART_BITS)).astype(np.uint8)
+        order = np.argsort(part, kind="stable")
+        n = n.astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n
+        for at, low, high in zip(*_runs(part[order])):
+            own = order[low:high]
+            parts[at].append((first[own], second[own], n[own]))
+    while parts:
+        if held := parts.pop(0):
+            yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _runs(sorted_parts: np.ndarray):
+    starts = np.flatnonzero(np.diff(sorted_parts.astype(np.int64), prepend=-1))
+    return sorted_parts[starts], starts, [*starts[1:], len(sorted_parts)]
+
+
+def _words_of(first: np.ndarray, second: np.ndarray, n: np.ndarray):
+    """The words of distinct pairs, and what these add to each of ``PARTS``."""
+    words, at = np.unique(np.concatenate([first, second]), return_inverse=True)
+    one, two = np.split(at, 2)
+    m = len(words)
+    adds = [np.bincount(two, n, m), np.bincount(two, minlength=m), np.bincount(one, n, m)]
+    adds += [np.bincount(one, k, m) for k in (n == 1, n == 2, n == 3, n == 4, n > 4)]
+    return words, np.stack(adds).astype(np.int64)
+
+
+def _write_pairs(folder: str, bits: int):
+    """Sum and write each shard's pairs, part by part of its hash range; hand on what the shard adds to its words."""
     def run(batches):
         for shard, rows in _per_shard(batches):
-            first, second, n = _merged(*map(np.concatenate, zip(*(unpack(b.as_py()) for b in rows.column(1)))))
-            write_arrays(folder, shard, pair_keys(first, second), [n])
-            words, at = np.unique(np.concatenate([first, second]), return_inverse=True)
-            one, two = np.split(at, 2)
-            m = len(words)
-            parts = [np.bincount(two, n, m), np.bincount(two, minlength=m), np.bincount(one, n, m)]
-            parts += [np.bincount(one, k, m) for k in (n == 1, n == 2, n == 3, n == 4, n > 4)]
-            for low in range(0, m, 50_000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[low:low + 50_000].astype(np.int64)) for x in (words.view(np.int64), *parts)], names=["word", *PARTS])
+            keys, counts, words, adds = [], [], [], []
+            for part in _in_parts(rows.column(1), bits):
+                first, second, n = _merged(*part)
+                keys.append(pair_keys(first, second))
+                counts.append(n)
+                word, add = _words_of(first, second, n)
+                words.append(word)
+                adds.append(add)
+            # the parts follow each other in the order of the keys
+            write_arrays(folder, shard, np.concatenate(keys), [np.concatenate(counts)])
+            word, at = np.unique(np.concatenate(words), return_inverse=True)
+            adds = [np.bincount(at, np.concatenate([a[k] for a in adds]), len(word)).astype(np.int64) for k in range(len(PARTS))]
+            for low in range(0, len(word), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[low:low + 50_000]) for x in (word.view(np.int64), *adds)], names=["word", *PARTS])
     return run
 
 
@@ -342,7 +379,7 @@ def train(docs: DataFrame) -> Model:
     folder = local_path(shared_path(spark, "bigrams"))
     pairs = (spread_rows(docs).select(text_of("text").alias("text")).mapInArrow(_count_pairs(bits), "shard int, pairs binary")
              .repartition(shards, "shard").sortWithinPartitions("shard"))
-    parts = pairs.mapInArrow(_write_pairs(f"{folder}/pairs"), ", ".join(f"`{c}` bigint" for c in ("word", *PARTS)))
+    parts = pairs.mapInArrow(_write_pairs(f"{folder}/pairs", bits), ", ".join(f"`{c}` bigint" for c in ("word", *PARTS)))
     # never a literal: rows grouped by one would be dealt by the word alone, and a shard written by several tasks
     shard = F.shiftrightunsigned(F.shiftrightunsigned("word", 63 - bits), 1).cast("int")
     words = (parts.select(shard.alias("shard"), "*").repartition(shards, "shard").groupBy("shard", "word")

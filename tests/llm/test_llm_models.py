@@ -97,3 +97,26 @@ def test_penalised_loss_is_the_least(penalty):
         plain, b = toxicity.fit_logistic(rows, labels, swapped, size, ridge, 0.0, 200)
         change = lambda w: sum((w[rows[i]].sum() - w[s].sum()) ** 2 for i, s in pairs)
         assert change(weights) < change(plain)
+
+
+def test_a_shard_is_summed_in_parts_of_its_hash_range(tmp_path):
+    """The same file and sums as all at once, and far less memory than a copy of everything for every step."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from flowlens.llm import kneser_ney as k
+    draw = np.random.default_rng(1)
+    words = np.sort(draw.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    pairs = [k._merged(*(words[draw.integers(0, 3000, 60_000)] for _ in range(2)), np.ones(60_000, np.int64)) for _ in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 8, pa.int32()), pa.array([k.pack(*p) for p in pairs], pa.binary())], names=["shard", "pairs"])
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(k._write_pairs(str(tmp_path), 0)([batch])))
+    assert tracemalloc.get_traced_memory()[1] < 80 * sum(len(p[0]) for p in pairs)
+    tracemalloc.stop()
+    first, second, n = k._merged(*map(np.concatenate, zip(*pairs)))
+    written = k.HashArrays(str(tmp_path), 0, 1, frozenset([0]))
+    assert (written.find(k.pair_keys(first, second))[0] == n).all() and k.written_shards(str(tmp_path)) == {0: len(n)}
+    assert found["word"].to_numpy().view(np.uint64).tolist() == words.tolist()
+    assert found["count"].to_numpy().sum() == found["total"].to_numpy().sum() == n.sum()
+    assert found["before"].to_numpy().sum() == len(n)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens import fixed_values as fv
-from flowlens.functions.text import whitespace_tokens, with_bigrams, word_tokens
+from flowlens.functions.text import whitespace_tokens, word_tokens
 from flowlens.functions.vectors import dot, first_max, l2_normalise, min_max
 from flowlens.operators.blocks import BlockIndex, Blend, build_blocks, join_on_term, retrieve, term_hashes
 from flowlens.operators.latent import LatentModel, arrays_of, counted, fit_latent, latent_embedding, list_array, lookup, slices_of
@@ -139,30 +139,66 @@ def min_max_by(rows: DataFrame, by: Sequence[str], value: str, out: str) -> Data
 
 # ---------------------------------------------------------------- TF-IDF and LSA
 
-def grams(docs: DataFrame) -> DataFrame:
-    """One row per word and word pair. Words are their own step, so the text is split once."""
-    words = docs.select("doc_id", word_tokens(F.col("text")).alias("words"))
-    return words.select("doc_id", F.explode(with_bigrams(F.col("words"))).alias("term"))
+def split_words(docs: DataFrame) -> DataFrame:
+    """``(doc_id, words)``; stage it where several passes follow, as ``word_tokens`` costs the most of each."""
+    return docs.select("doc_id", word_tokens(F.col("text")).alias("words"))
+
+
+def _pairs(words: DataFrame) -> DataFrame:
+    """``(doc_id, a, b)``: one row per pair of neighbouring words."""
+    n = F.greatest(F.size("words") - 1, F.lit(0))
+    both = F.arrays_zip(F.slice("words", F.lit(1), n).alias("a"), F.slice("words", F.lit(2), n).alias("b"))
+    return words.select("doc_id", F.explode(both).alias("p")).select("doc_id", "p.a", "p.b")
+
+
+def known_grams(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row per word and word pair of ``split_words`` that is one of ``terms``, which is broadcast.
+
+    Words hold no blanks, so a term with one is a pair and is met by its two words: no pair is put together in vain.
+    """
+    listed = F.broadcast(terms.where(~F.contains("term", F.lit(" "))).select("term"))
+    single = words.select("doc_id", F.explode("words").alias("term")).join(listed, "term", "left_semi")
+    cut = F.split("term", " ")
+    both = F.broadcast(terms.where(F.contains("term", F.lit(" "))).select(cut[0].alias("a"), cut[1].alias("b"), "term"))
+    return single.select("doc_id", "term").unionByName(_pairs(words).join(both, ["a", "b"]).select("doc_id", "term"))
 
 
 def vocabulary(docs: DataFrame, limit: int = fv.VOCABULARY_LIMIT) -> DataFrame:
     """Most frequent words and word pairs: ``(term, total)``, by count, then by term."""
-    return (grams(docs).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
-            .orderBy(F.desc("total"), "term").limit(limit))
+    return vocabulary_of(stage(split_words(docs), "words"), limit)
+
+
+def vocabulary_of(words: DataFrame, limit: int = fv.VOCABULARY_LIMIT) -> DataFrame:
+    """``vocabulary`` of ``split_words``, staged.
+
+    A pair is no more frequent than each of its words. So a pair with a word that falls short of the last of the
+    ``limit`` best words is not among the best terms, and isn't counted.
+    """
+    single = stage(words.select(F.explode("words").alias("term")).groupBy("term")
+                   .agg(F.count(F.lit(1)).alias("total")), "word-totals")
+    best = single.orderBy(F.desc("total")).limit(limit).agg(F.min("total").alias("least"), F.count("*").alias("n")).first()
+    pairs = _pairs(words).select("a", "b")
+    often = single.where(F.col("total") >= (best["least"] if best["n"] == limit else 0))
+    if is_small(often):
+        for side in ("a", "b"):
+            pairs = pairs.join(F.broadcast(often.select(F.col("term").alias(side))), side, "left_semi")
+    both = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("total")).select(F.concat_ws(" ", "a", "b").alias("term"), "total")
+    return single.unionByName(both).orderBy(F.desc("total"), "term").limit(limit)
 
 
 def smooth_idf(df: Column, n: Column) -> Column:
     return F.ln((1.0 + n) / (1.0 + df)) + 1.0
 
 
-def tfidf(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def tfidf(words: DataFrame, terms: DataFrame) -> DataFrame:
     """``(doc_id, term, tf, idf, weight)``, weights of unit length per document.
 
-    ``terms`` is a vocabulary of bounded size (see ``vocabulary``), so it is broadcast.
+    ``words`` is ``split_words``, staged. ``terms`` is a vocabulary of bounded size (see ``vocabulary``), so it is
+    broadcast. The counts are written once, as the document frequencies and the weights read them.
     """
-    counts = (grams(docs).join(F.broadcast(terms.select("term")), "term", "left_semi")
-              .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    n = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
+    counts = stage(known_grams(words, terms)
+                   .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+    n = words.agg(F.count(F.lit(1)).cast("double")).scalar()
     idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", smooth_idf(F.col("df"), n).alias("idf"))
     raw = counts.join(F.broadcast(idf), "term").withColumn(

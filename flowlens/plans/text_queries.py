@@ -151,9 +151,9 @@ raw AS (SELECT doc_id, term, tf, (1.0 + ln(tf)) * idf AS w FROM counts JOIN idf
 SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight
 FROM raw"""))
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    terms = stage(R.vocabulary(docs), "vocabulary")
-    return R.tfidf(docs, terms).select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
+    words = stage(R.split_words(documents(spark, sf_dir)), "words")
+    terms = stage(R.vocabulary_of(words), "vocabulary")
+    return R.tfidf(words, terms).select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
 @query("lsa_embed")

@@ -177,3 +177,21 @@ def test_scores_are_the_same_however_few_entries_are_met_at_once(monkeypatch):
     monkeypatch.setattr(np, "bincount", lambda x, *rest: made.append(len(x)) or plain(x, *rest))
     assert (block.bm25(*query, 9.0) == whole_).all()
     assert len(made) > 10 and whole_.any()
+
+
+@pytest.mark.parametrize("limit", [1, 3, 6, 50])
+def test_vocabulary_equals_counts_of_all_words_and_pairs(spark, limit):
+    texts = ["a b a b c", "b a b", "d", "", None, "c c c c", "a b e f", "x y x y x y"]
+    counts = Counter()
+    for t in texts:
+        w = (t or "").split()
+        counts.update(w)
+        counts.update(f"{p} {q}" for p, q in zip(w, w[1:]))
+    want = sorted(counts.items(), key=lambda i: (-i[1], i[0]))[:limit]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [tuple(r) for r in R.vocabulary(docs, limit).orderBy(F.desc("total"), "term").collect()] == want
+
+
+def test_tfidf_splits_each_text_once(spark, sf_dir):
+    from flowlens.plans.text_queries import tfidf
+    assert "regexp_extract_all" not in tfidf(spark, sf_dir)._jdf.queryExecution().analyzed().toString()

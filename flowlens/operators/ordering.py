@@ -62,12 +62,16 @@ def running_totals(df: DataFrame, by: Sequence[str], bucket: Sequence[str],
         *totals.keys())
 
 
-def time_code(ts: str) -> Column:
-    """Microseconds since 1970 as written; taken from the fields, so no time zone shift."""
+def minute_code(ts: str) -> Column:
+    """Minutes since 1970 as written; taken from the fields, so no time zone shift."""
     t = F.col(ts)
     days = F.date_diff(t.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    minute = days * 1440 + F.hour(t) * 60 + F.minute(t)
-    return minute * MINUTE + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+    return days * 1440 + F.hour(t) * 60 + F.minute(t)
+
+
+def time_code(ts: str) -> Column:
+    """Microseconds since 1970 as written, like ``minute_code``."""
+    return minute_code(ts) * MINUTE + (F.extract(F.lit("SECOND"), F.col(ts)) * 1_000_000).cast("long")
 
 
 def order_buckets(df: DataFrame, ts: str, ties: Sequence[str], most: int | None = None) -> DataFrame:
@@ -82,8 +86,7 @@ def order_buckets(df: DataFrame, ts: str, ties: Sequence[str], most: int | None
     """
     most = most or BUCKET_ROWS
     key = list(ORDER_BUCKETS)
-    minute = ((time_code(ts) - F.pmod(time_code(ts), F.lit(MINUTE))) / MINUTE).cast("long")
-    out = df.withColumns({"_slot": minute, "_path": F.array().cast("array<int>")})
+    out = df.withColumns({"_slot": minute_code(ts), "_path": F.array().cast("array<int>")})
     kinds = dict(df.dtypes)
     numeric = [c for c in ties if kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[c].startswith("decimal")]
     points = F.array(*(F.lit((k + 1) / (CUTS + 1)) for k in range(CUTS)))
@@ -116,13 +119,23 @@ def positional_index(df: DataFrame, by: Sequence[str], ts: str, ties: Sequence[s
                      pos: str = "pos", total: str = "n") -> DataFrame:
     """Zero-based position of every row in its group by time, and the group size.
 
-    ``ties`` make the order total; numeric ones can cut a crowded time stamp.
+    ``ties`` make the order total; numeric ones can cut a crowded time stamp. One pass counts the rows of each
+    minute: unless one is crowded, minutes are the buckets and nothing is read for finer ones.
     """
-    keyed = order_buckets(df, ts, ties).withColumn("_one", F.lit(1).cast("long"))
-    out = running_totals(keyed, by, ORDER_BUCKETS, [F.col(ts), *map(F.col, ties)],
-                         {"_upto": "_one"}, {total: "_one"})
-    return (out.withColumn(pos, F.col("_upto") - 1)
-            .select(*df.columns, pos, total))
+    by, bucket = list(by), ["_slot"]
+    keyed = df.withColumn("_slot", minute_code(ts))
+    counts = stage(keyed.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_rows")), "minutes")
+    if not counts.where(F.col("_rows") > BUCKET_ROWS).isEmpty():
+        keyed, bucket = order_buckets(df, ts, ties), list(ORDER_BUCKETS)
+        counts = keyed.groupBy(*by, *bucket).agg(F.count(F.lit(1)).alias("_rows"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    earlier = group.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, *bucket, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+                            F.sum("_rows").over(group).alias(total))
+    inside = Window.partitionBy(*by, *bucket).orderBy(F.col(ts), *map(F.col, ties))
+    ranked = keyed.select("*", F.row_number().over(inside).alias("_at"))
+    return (ranked.join(offsets, [*by, *bucket])
+            .select(*df.columns, (F.col("_before") + F.col("_at") - 1).alias(pos), total))
 
 
 def hash_key(keys: Sequence[str], seed: int) -> Column:
@@ -199,15 +212,15 @@ def exact_quantiles(values: DataFrame, key: str, value: str,
                     probs: Sequence[float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key: ``(key, prob, q)``.
 
-    Three pruned passes narrow each wanted rank to a log bucket, then to one of 4,096
-    equal parts of it, then to the value. Every pass counts with a partial aggregate, so
+    Pruned passes narrow each wanted rank to a log bucket, then, if one has more than ``BUCKET_ROWS`` rows, to
+    one of 4,096 equal parts of it, then to the value. Every pass counts with a partial aggregate, so
     neither a hot value nor a wide column piles up in one task. The targets carried
     between passes, at most ``2 * len(probs)`` rows per key, are written out so that no
     pass is repeated. ``values`` should be a stored or staged table.
     """
     v = (values.select(key, F.col(value).cast("double").alias("_v"))
          .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-         .withColumn("_b", log_bucket(F.col("_v"))))
+         .withColumn("_b", log_bucket(F.col("_v"), SCORE_BUCKETS_PER_OCTAVE)))
     per_key = Window.partitionBy(key)
     coarse = v.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"),
                                       F.max("_v").alias("_hi"))
@@ -219,28 +232,33 @@ def exact_quantiles(values: DataFrame, key: str, value: str,
                .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(h), F.ceil(h)))))
                .where((F.col("_rank") >= F.col("_before"))
                       & (F.col("_rank") < F.col("_before") + F.col("_c")))
-               .select(key, "prob", "_b", "_lo", "_hi", "_n",
+               .select(key, "prob", "_b", "_lo", "_hi", "_n", "_c",
                        (F.col("_rank") - F.col("_before")).alias("_r"),
                        "_rank"))
     targets = stage(targets, "quantile-buckets")
     few = F.broadcast if is_small(targets) else (lambda side: side)
-    part = F.when(F.col("_hi") > F.col("_lo"),
+    wide = F.col("_hi") > F.col("_lo")
+    crowded = not targets.where(wide & (F.col("_c") > BUCKET_ROWS)).isEmpty()
+    part = F.when(wide,
                   F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
                           * (FINE_BUCKETS - 1))).otherwise(F.lit(0).cast("long"))
     zoom = v.join(few(targets.select(key, "_b", "_lo", "_hi").distinct()), [key, "_b"])
-    zoom = zoom.select(key, "_b", part.alias("_s"), "_v")
-    in_bucket = Window.partitionBy(key, "_b").orderBy("_s")
-    fine = zoom.groupBy(key, "_b", "_s").agg(F.count(F.lit(1)).alias("_c"))
-    fine = fine.select("*", (F.sum("_c").over(in_bucket) - F.col("_c")).alias("_before"))
-    targets = (targets.join(fine, [key, "_b"])
-               .where((F.col("_r") >= F.col("_before"))
-                      & (F.col("_r") < F.col("_before") + F.col("_c")))
-               .select(key, "prob", "_b", "_s", "_n", "_rank",
-                       (F.col("_r") - F.col("_before")).alias("_r")))
-    targets = stage(targets, "quantile-parts")
+    zoom = zoom.select(key, "_b", (part if crowded else F.lit(0).cast("long")).alias("_s"), "_v")
+    if crowded:
+        in_bucket = Window.partitionBy(key, "_b").orderBy("_s")
+        fine = zoom.groupBy(key, "_b", "_s").agg(F.count(F.lit(1)).alias("_c"))
+        fine = fine.select("*", (F.sum("_c").over(in_bucket) - F.col("_c")).alias("_before"))
+        targets = (targets.drop("_c").join(fine, [key, "_b"])
+                   .where((F.col("_r") >= F.col("_before"))
+                          & (F.col("_r") < F.col("_before") + F.col("_c")))
+                   .select(key, "prob", "_b", "_s", "_n", "_rank",
+                           (F.col("_r") - F.col("_before")).alias("_r")))
+        targets = stage(targets, "quantile-parts")
+        zoom = zoom.join(few(targets.select(key, "_b", "_s").distinct()), [key, "_b", "_s"])
+    else:
+        targets = targets.select(key, "prob", "_b", F.lit(0).cast("long").alias("_s"), "_n", "_rank", "_r")
     in_part = Window.partitionBy(key, "_b", "_s").orderBy("_v")
-    leaf = (zoom.join(few(targets.select(key, "_b", "_s").distinct()), [key, "_b", "_s"])
-            .groupBy(key, "_b", "_s", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    leaf = zoom.groupBy(key, "_b", "_s", "_v").agg(F.count(F.lit(1)).alias("_c"))
     leaf = leaf.select("*", (F.sum("_c").over(in_part) - F.col("_c")).alias("_before"))
     found = (targets.join(leaf, [key, "_b", "_s"])
              .where((F.col("_r") >= F.col("_before"))

@@ -15,7 +15,7 @@ from flowlens.session import stage
 
 @dataclass(frozen=True)
 class ScaledWindows:
-    rows: DataFrame          # rows of complete windows, unscaled
+    rows: DataFrame          # rows of complete windows, unscaled, without time, ties and positions
     params: DataFrame        # one row per feature
     scaled: DataFrame        # the same rows with scaled features
 
@@ -26,8 +26,9 @@ def scaled_windows(rows: DataFrame, features: Sequence[str], ties: Sequence[str]
     """Window the rows, fit the robust scaler on train rows and apply it to all.
 
     The windowed rows are written once: the exact quantiles read them three times and the
-    scaling once more.
+    scaling once more. What only their order needed isn't written.
     """
-    windowed = stage(window_rows(rows, ties, step, length), "windows")
+    ordered = window_rows(rows, ties, step, length)
+    windowed = stage(ordered.drop(*{"ts", *ties, "pos", "n", "offset", "split_n"} - set(features)), "windows")
     params = stage(robust_params(windowed.where("split = 'train'"), features), "scaler")
     return ScaledWindows(windowed, params, apply_robust(windowed, features, params, clip))

@@ -283,3 +283,26 @@ def test_quantiles_reach_the_infinities(spark):
     df = spark.createDataFrame([("a", v) for v in (-math.inf, 1.0, 2.0, math.inf, math.inf)], "k string, v double")
     got = {r.prob: r.q for r in ordering.exact_quantiles(df, "k", "v", (0.25, 0.5)).collect()}
     assert got == {0.25: 1.0, 0.5: 2.0}
+
+
+def test_positions_without_a_crowded_minute_read_nothing_for_finer_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "order_buckets", lambda *a, **k: pytest.fail("no minute is crowded"))
+    rows = [(d, dt.datetime(2024, 1, 1, 0, m % 7, m % 3), m) for d in (1, 2) for m in range(100)]
+    df = spark.createDataFrame(rows, "day int, ts timestamp, id long")
+    got = ordering.positional_index(df, ["day"], "ts", ["id"]).collect()
+    for day in (1, 2):
+        want = [r[2] for r in sorted((r for r in rows if r[0] == day), key=lambda r: (r[1], r[2]))]
+        assert [r.id for r in sorted((r for r in got if r.day == day), key=lambda r: r.pos)] == want
+    assert {(r.n, r.pos < 100) for r in got} == {(100, True)}
+
+
+@pytest.mark.parametrize("most", [5, 1_000_000])
+def test_quantiles_look_closer_only_at_crowded_buckets(spark, monkeypatch, most):
+    labels, write = [], ordering.stage
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", most)
+    monkeypatch.setattr(ordering, "stage", lambda df, label: labels.append(label) or write(df, label))
+    values = [1000.0 + i % 97 / 1000 for i in range(500)] + [-3.0] * 40
+    df = spark.createDataFrame([("a", v) for v in values], "k string, v double")
+    got = {r.prob: r.q for r in ordering.exact_quantiles(df, "k", "v", (0.05, 0.5, 0.95)).collect()}
+    assert got == pytest.approx({p: float(np.quantile(values, p)) for p in (0.05, 0.5, 0.95)}, rel=1e-14)
+    assert ("quantile-parts" in labels) == (most == 5)

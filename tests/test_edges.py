@@ -306,3 +306,15 @@ def test_quantiles_look_closer_only_at_crowded_buckets(spark, monkeypatch, most)
     got = {r.prob: r.q for r in ordering.exact_quantiles(df, "k", "v", (0.05, 0.5, 0.95)).collect()}
     assert got == pytest.approx({p: float(np.quantile(values, p)) for p in (0.05, 0.5, 0.95)}, rel=1e-14)
     assert ("quantile-parts" in labels) == (most == 5)
+
+
+def test_window_statistics_filter_each_feature_once(spark):
+    from flowlens.operators.windows import window_table_stats
+    rows = [(1, "train", 0, 1, [1.0, None, 4.0], [2.0, 2.0, None]), (1, "train", 1, 0, [None, None, None], [0.5, 1.5, 2.5])]
+    df = spark.createDataFrame(rows, "day int, split string, seq long, y int, a array<double>, b array<double>")
+    out = window_table_stats(df.repartition(2), ["a", "b"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("filter(") == 2
+    first, second = out.orderBy("seq").collect()
+    assert (first.a__last, first.a__mean, first.a__max, first.a__min, first.a__std) == (4.0, 2.5, 4.0, 1.0, 1.5)
+    assert first.b__last is None and first.b__mean == 2.0 and first.b__std == 0.0
+    assert {second[f"a__{s}"] for s in ("last", "mean", "max", "min", "std")} == {None}

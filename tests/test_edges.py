@@ -318,3 +318,13 @@ def test_window_statistics_filter_each_feature_once(spark):
     assert (first.a__last, first.a__mean, first.a__max, first.a__min, first.a__std) == (4.0, 2.5, 4.0, 1.0, 1.5)
     assert first.b__last is None and first.b__mean == 2.0 and first.b__std == 0.0
     assert {second[f"a__{s}"] for s in ("last", "mean", "max", "min", "std")} == {None}
+
+
+def test_sequence_model_is_fed_without_a_second_copy_of_the_windows(spark, sf_dir, monkeypatch):
+    from flowlens.plans import model_queries as M
+    labels, write = [], M.stage
+    monkeypatch.setattr(M, "stage", lambda df, label: labels.append(label) or write(df, label))
+    monkeypatch.setattr(M.models, "fit_sequence", lambda name, train, width: (None, 0.0))
+    monkeypatch.setattr(M.models, "predict_sequence", lambda model, rows, name, width: rows)
+    assert M.sequence_mlp(spark, sf_dir).where("split <> 'test' or size(x) <> 10").isEmpty()
+    assert labels == ["window-table"]

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.llm import near_copies
 from flowlens.llm.simhash import fingerprint
@@ -85,3 +86,43 @@ def test_block_keys_meet_at_the_similarity():
         a, b = (np.unique(np.array(base[x:x + 171], dtype=np.uint64)) for x in (0, 19))   # 152 common of 190: 0.8
         met += any(x == y for x, y in zip(near_copies.block_keys(a), near_copies.block_keys(b)))
     assert met >= 298
+
+
+def bridged(group):
+    """Two crowds of texts in one group's words, tied by a single pair at 0.97; all share most of their blocks."""
+    return [" ".join(f"{group}{k}" for k in range(i, i + 1004)) for i in (*range(13), *range(27, 40))]
+
+
+@pytest.mark.parametrize("most_tiles", [near_copies.MOST_TILES, 100])
+def test_the_only_link_between_two_crowds_is_found(spark, monkeypatch, most_tiles):
+    monkeypatch.setattr(near_copies, "MOST_TILES", most_tiles, raising=False)
+    rows = [(100 * g + i, t) for g in range(4) for i, t in enumerate(bridged("abcd"[g]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = near_copies._prints(docs).withColumn("keys", F.array(F.lit(1).cast("bigint")))     # one block of all
+    group = {r.fp: r.id // 100 for r in prints.collect()}
+    root = {p: p for p in group}
+    for u, v in near_copies.similar_prints(docs, prints, 0.97, crowd=2).collect():
+        root = {p: root[u] if r == root[v] else r for p, r in root.items()}
+    assert len(set(root.values())) == 4 and all(group[p] == group[r] for p, r in root.items())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_links_of_a_tile_are_those_of_all_pairs(seed):
+    pick = np.random.default_rng(seed)
+    sets = []
+    for base in range(4):
+        own = pick.integers(0, 1 << 60, 60)
+        for _ in range(12):
+            sets.append(np.unique(np.concatenate([own[pick.random(60) > 0.12], pick.integers(0, 1 << 60, pick.integers(0, 6))])))
+    group = np.unique(pick.integers(0, 40, len(sets)), return_inverse=True)[1]
+
+    def joined(links):
+        root = group.copy()
+        for i, j in links:
+            root[root == root[i]] = root[j]
+        return {tuple(np.flatnonzero(root == r)) for r in root}
+
+    alike = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])]
+    found = near_copies.spanning_links(sets, group, 0.8)
+    assert set(map(lambda p: (max(p), min(p)), found)) <= set(every) and joined(found) == joined(every)

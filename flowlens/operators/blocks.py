@@ -21,6 +21,8 @@ from flowlens.session import BROADCAST_BYTES, broadcast_if_small, is_small, spre
 
 #: Documents and term entries of a block, and queries of a group.
 DOC_ROWS, DOC_TERMS, QUERY_ROWS = 1024, 1 << 17, 256
+#: Blocks of a file: some 2 MB each, and a task holds those of a file at once.
+FILE_BLOCKS = 8
 #: Entries of postings that are scored at once.
 SCORED_ENTRIES = 1 << 20
 #: A term with more than this share of all entries is joined by broadcast.
@@ -129,7 +131,7 @@ def build_blocks(docs: DataFrame, latent: LatentModel | None = None, with_latent
     grams = gram_hashes(text) if latent else F.array().cast("array<bigint>")
     rows = spread(docs).select(F.col("doc_id").cast("bigint"), term_hashes(text).alias("t"), grams.alias("g"))
     blocks = stage(rows.mapInArrow(_doc_blocks(latent, doc_rows, doc_terms), _BLOCK).withColumn(
-        "block", F.monotonically_increasing_id()), "blocks")
+        "block", F.monotonically_increasing_id()), "blocks", FILE_BLOCKS)
     total = F.aggregate("dl", F.lit(0).cast("bigint"), lambda a, x: a + x)
     r = blocks.agg(F.sum(F.size("ids")).alias("n"), F.sum(total).alias("t")).first()
     return BlockIndex(blocks, latent, r["n"] or 0, (r["t"] or 0) / max(r["n"] or 0, 1))
